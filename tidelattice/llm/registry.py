@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from . import packing, sharding
+from . import packing, quality, sharding
 
 
 def queries() -> dict:
     out = {}
-    for module in (sharding, packing):
+    for module in (sharding, packing, quality):
         out |= {k: f for k, f in vars(module).items() if k.startswith("op") and k[2].isdigit()}
     return out
 

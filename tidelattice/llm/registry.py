@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-from . import packing, quality, sharding
+from . import jaccard, packing, quality, sharding
 
 
 def queries() -> dict:
     out = {}
-    for module in (sharding, packing, quality):
+    for module in (sharding, packing, quality, jaccard):
         out |= {k: f for k, f in vars(module).items() if k.startswith("op") and k[2].isdigit()}
     return out
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op5_jaccard_divideskip": jaccard.OP5_SQL}

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from . import jaccard, packing, quality, sharding
+from . import jaccard, lines, packing, quality, sharding
 
 
 def queries() -> dict:
     out = {}
-    for module in (sharding, packing, quality, jaccard):
+    for module in (sharding, packing, quality, jaccard, lines):
         out |= {k: f for k, f in vars(module).items() if k.startswith("op") and k[2].isdigit()}
     return out
 

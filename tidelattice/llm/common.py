@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -107,3 +108,12 @@ def _apart(pairs: DataFrame, joined: DataFrame, a: str, b: str) -> DataFrame:
     two = joined.select(F.col("id").alias(b), F.col("component").alias("_cb"))
     x = pairs.join(one, a, "left").join(two, b, "left")
     return x.where(F.coalesce("_ca", a) != F.coalesce("_cb", b)).select(a, b)
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """df written as Parquet below the shared checkpoint folder and read again; smaller than a checkpoint for large tables."""
+    spark = df.sparkSession
+    folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints-")
+    path = f"{folder.rstrip('/')}/{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

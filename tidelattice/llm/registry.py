@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-from . import jaccard, lines, packing, quality, sharding
+from . import decontaminate, jaccard, lines, packing, quality, sharding
 
 
 def queries() -> dict:
     out = {}
-    for module in (sharding, packing, quality, jaccard, lines):
+    for module in (sharding, packing, quality, jaccard, lines, decontaminate):
         out |= {k: f for k, f in vars(module).items() if k.startswith("op") and k[2].isdigit()}
     return out
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_jaccard_divideskip": jaccard.OP5_SQL}
+    return {"op6_positional_index": decontaminate.OP6_SQL, "op5_jaccard_divideskip": jaccard.OP5_SQL}

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from . import decontaminate, jaccard, lines, packing, quality, sharding
+from . import decontaminate, jaccard, lines, packing, quality, sharding, suffixtree
 
 
 def queries() -> dict:
     out = {}
-    for module in (sharding, packing, quality, jaccard, lines, decontaminate):
+    for module in (sharding, packing, quality, jaccard, lines, decontaminate, suffixtree):
         out |= {k: f for k, f in vars(module).items() if k.startswith("op") and k[2].isdigit()}
     return out
 

@@ -7,6 +7,8 @@ from prefix sums, so no Python object is made for a word.
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 import pyarrow as pa
 
@@ -152,3 +154,31 @@ def minimizers(h: np.ndarray, w: int) -> np.ndarray:
 
 def as_signed(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
+
+
+def squeeze(x: np.ndarray) -> bytes:
+    """Whole numbers as planes of bytes; planes of zeros take no room, others no more than their bytes."""
+    x = np.ascontiguousarray(x).view(np.uint64)
+    out = [len(x).to_bytes(6, "little")]
+    for plane in np.ascontiguousarray(x.view(np.uint8).reshape(-1, 8).T) if len(x) else ():
+        raw = plane.tobytes()
+        small = zlib.compress(raw, 1) if len(np.unique(plane[:4096])) < 200 else raw
+        small = small if len(small) < len(raw) else raw
+        out += [len(small).to_bytes(6, "little"), small]
+    return b"".join(out)
+
+
+def unsqueeze(data: bytes) -> np.ndarray:
+    n = int.from_bytes(data[:6], "little")
+    planes, at = np.zeros((8, n), np.uint8), 6
+    for i in range(8 if n else 0):
+        size = int.from_bytes(data[at : at + 6], "little")
+        raw = data[at + 6 : at + 6 + size]
+        planes[i] = np.frombuffer(raw if size == n else zlib.decompress(raw), np.uint8)
+        at += 6 + size
+    return np.ascontiguousarray(planes.T).view(np.uint64).ravel()
+
+
+def rising(x: np.ndarray) -> np.ndarray:
+    """Differences of an ascending array, its first value first; cumsum undoes it."""
+    return np.diff(x, prepend=np.zeros(1, x.dtype))

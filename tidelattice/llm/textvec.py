@@ -137,18 +137,25 @@ def minimizers(h: np.ndarray, w: int) -> np.ndarray:
     left = np.minimum.accumulate(x.reshape(-1, w), axis=1).ravel()
     right = np.minimum.accumulate(x.reshape(-1, w)[:, ::-1], axis=1)[:, ::-1].ravel()
     least = np.minimum(right[:n], left[w - 1 : w - 1 + n])
-    # place of the first value equal to the least one at or after each start
-    seen = np.flatnonzero(np.isin(h, least)) if len(h) < 64 else None
-    place = np.empty(n, np.int64)
-    if seen is not None:
-        for i in range(n):
-            place[i] = i + int(np.argmin(h[i : i + w]))
-        return place
-    todo = np.ones(n, bool)
+    # a run of equal least values keeps its place until the run passes it
+    change = np.flatnonzero(np.concatenate([[True], least[1:] != least[:-1]]))
+    stop = np.append(change[1:], n)
+    at = np.full(len(change), -1, np.int64)
+    open_ = np.arange(len(change))
     for d in range(w):
-        hit = todo & (h[d : d + n] == least)
-        place[hit] = np.flatnonzero(hit) + d
-        todo &= ~hit
+        hit = h[change[open_] + d] == least[change[open_]]
+        at[open_[hit]] = change[open_[hit]] + d
+        open_ = open_[~hit]
+        if not len(open_):
+            break
+    place = np.repeat(at, stop - change)
+    late = np.flatnonzero(place < np.arange(n))  # equal values within w of each other
+    for d in range(w):
+        if not len(late):
+            break
+        hit = h[late + d] == least[late]
+        place[late[hit]] = late[hit] + d
+        late = late[~hit]
     return place
 
 

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from . import decontaminate, jaccard, lines, packing, phrases, quality, sharding, suffixes, suffixtree
+from . import decontaminate, extraction, jaccard, lines, packing, phrases, quality, sharding, suffixes, suffixtree
 
 
 def queries() -> dict:
     out = {}
-    for module in (sharding, packing, quality, jaccard, lines, decontaminate, suffixtree, phrases, suffixes):
+    for module in (sharding, packing, quality, jaccard, lines, decontaminate, suffixtree, phrases, suffixes, extraction):
         out |= {k: f for k, f in vars(module).items() if k.startswith("op") and k[2].isdigit()}
     return out
 

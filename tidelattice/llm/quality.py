@@ -203,11 +203,11 @@ def fit(docs: DataFrame, order: int = 5) -> Model:
             yield pa.RecordBatch.from_arrays(cols, ["kind", "n", "slot", "v", "c"])
 
     hashed = rows.mapInArrow(slots, "kind string, n int, slot int, v double, c long").groupBy("kind", "n", "slot")
-    got = hashed.agg((F.sum(F.col("v") * F.col("c")) / F.sum("c")).cast("float").alias("v")).toPandas()
+    got = hashed.agg((F.sum(F.col("v") * F.col("c")) / F.sum("c")).alias("v")).withColumn("key", F.col("slot").cast("long"))
     arrays = {}
-    for (kind, n), part in got.groupby(["kind", "n"]):
-        part = part.sort_values("slot")
-        arrays[kind, int(n)] = (part["slot"].to_numpy(np.uint32), part["v"].to_numpy(np.float32))
+    for k, (keys, values) in common.gathered(got).items():
+        by = np.argsort(keys)
+        arrays[k] = (keys[by].astype(np.uint32), values[by].astype(np.float32))
     return Model(order, arrays)
 
 

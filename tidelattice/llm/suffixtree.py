@@ -210,10 +210,8 @@ class Tree:
 
 def fit(training: DataFrame, depth: int = 5, p_min: float = 1e-7, bits: float = 2.0) -> Tree:
     """A tree of all training texts.  A depth has at most 1 / p_min states, which bounds what the driver gathers."""
-    got = grow(count(training, depth + 1), depth, p_min, bits).toPandas()
-    arrays = {}
-    for (kind, n), part in got.groupby(["kind", "n"]):
-        arrays[kind, int(n)] = (part["g"].to_numpy(np.int64).view(np.uint64), part["v"].to_numpy(np.float64))
+    rows = grow(count(training, depth + 1), depth, p_min, bits).withColumnRenamed("g", "key")
+    arrays = {k: (keys.view(np.uint64), values) for k, (keys, values) in common.gathered(rows).items()}
     return Tree(arrays, depth)
 
 

@@ -79,7 +79,7 @@ def linked(postings: DataFrame, verify: Callable[[DataFrame], DataFrame], stars:
     are still in different components is compared: nothing is capped or lost.
     Returns (id, component) of the ids that have links.
     """
-    postings = cut(postings.distinct())
+    postings = stored(postings.distinct())
     edges = None
     for step in range(stars):
         end = F.min("id") if step % 2 == 0 else F.max("id")
@@ -98,7 +98,7 @@ def linked(postings: DataFrame, verify: Callable[[DataFrame], DataFrame], stars:
     joined = cut(components(edges))
     p = postings.join(joined.withColumnRenamed("component", "c"), "id", "left").select("key", "id", F.coalesce("c", "id").alias("c"))
     torn = p.groupBy("key").agg(F.min("c").alias("x"), F.max("c").alias("y")).where("x <> y").select("key")
-    p = cut(p.join(torn, "key"))
+    p = stored(p.join(torn, "key"))
     left, right = (p.select("key", F.col("id").alias(x), F.col("c").alias(f"c{x}")) for x in "ab")
     rest = left.join(right, "key").where("a < b and ca <> cb").select("a", "b").distinct()
     return components(edges.unionByName(verify(rest)))

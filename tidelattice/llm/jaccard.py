@@ -149,7 +149,7 @@ def probe(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
     pairs = common.cut(pairs)
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
     got = docs.join(wanted, "doc_id", "left_semi").mapInArrow(sets, "id long, members binary")
-    got = common.cut(got)
+    got = common.stored(got)
     x = pairs.join(got.select(F.col("id").alias("a"), F.col("members").alias("xa")), "a")
     x = x.join(got.select(F.col("id").alias("b"), F.col("members").alias("xb")), "b")
     return x.mapInArrow(check, "a long, b long")
@@ -169,13 +169,13 @@ def jaccard_classes(docs: DataFrame, k: int = 5, percent: int = 80, occur: int =
     into all its pairs, and no link between different components is lost.
     """
     docs = common.texts(docs, id_col, text_col).where("doc_id is not null")
-    prints = common.cut(fingerprints(docs, k))
+    prints = common.stored(fingerprints(docs, k))
     groups = prints.where("n > 0").groupBy("f1", "f2", "n").agg(F.min("doc_id").alias("rep"))
     reps = common.cut(groups.select(F.col("rep").alias("doc_id")).distinct())
     lengths = list_lengths(docs, k)
     own = docs.join(reps, "doc_id", "left_semi")
     postings = short_lists(own, lengths, k, percent, occur)
-    postings = common.cut(postings)
+    postings = common.stored(postings)
     # a list with one document names nobody
     shared = postings.groupBy("key").agg(F.count("*").alias("m")).where("m > 1").select("key")
     postings = postings.join(shared, "key").select("key", "id")

@@ -95,4 +95,4 @@ def markdown_rows(lines: DataFrame, value: str = "value") -> DataFrame:
     """Cells of the rows of a text table; rules between rows go."""
     x = lines.where(F.col(value).rlike(r"^\s*\|") & ~F.col(value).rlike(r"^\s*\|[\s:|-]+\|\s*$"))
     inner = F.regexp_replace(F.trim(value), r"^\||\|$", "")
-    return x.select(F.transform(F.split(inner, r"\|"), F.trim).alias("cells"))
+    return x.select(F.transform(F.split(inner, r"\|"), lambda x: F.trim(x)).alias("cells"))

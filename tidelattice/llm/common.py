@@ -8,9 +8,12 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import textvec as tv
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -137,3 +140,60 @@ def gathered(rows: DataFrame, parts: int = 16) -> dict:
     for r in cut(packed).toLocalIterator():
         held.setdefault((r["kind"], r["n"]), []).append((np.frombuffer(r["keys"], np.int64), np.frombuffer(r["v"], np.float64)))
     return {k: tuple(np.concatenate(x) for x in zip(*v, strict=True)) for k, v in held.items()}
+
+
+#: Bits of a bitmap: two megabytes, whatever it holds; a fuller one only lets more rows through to the join behind it.
+BITMAP_BITS, BITMAP_PARTS = 24, 16
+
+
+def _bit(x: np.ndarray) -> np.ndarray:
+    return (tv.mix(x.view(np.uint64)) >> np.uint64(64 - BITMAP_BITS)).astype(np.int64)
+
+
+def bitmap(keys: DataFrame, column: str) -> np.ndarray:
+    """A bit for the hash of each number in a column; bounded, so that it can go to all tasks."""
+    part = 1 << BITMAP_BITS >> 3 >> BITMAP_PARTS.bit_length() - 1
+
+    def run(batches):
+        held = np.zeros(1 << BITMAP_BITS, bool)
+        for batch in batches:
+            held[_bit(np.asarray(batch.column(0)))] = True
+        packed = np.packbits(held)
+        pieces = [(i, packed[i * part : (i + 1) * part]) for i in range(BITMAP_PARTS)]
+        pieces = [(i, x) for i, x in pieces if x.any()]
+        if pieces:
+            yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in pieces], pa.int32()), pa.array([x.tobytes() for _, x in pieces], pa.binary())], ["part", "bits"])
+
+    def either(pdf: pd.DataFrame) -> pd.DataFrame:
+        out = np.zeros(part, np.uint8)
+        for x in pdf["bits"]:
+            out |= np.frombuffer(x, np.uint8)
+        return pd.DataFrame({"part": pdf["part"].iloc[:1], "bits": [out.tobytes()]})
+
+    rows = keys.where(F.col(column).isNotNull()).select(F.col(column).cast("long")).mapInArrow(run, "part int, bits binary").withColumn("lot", F.spark_partition_id() % 32)
+    rows = rows.groupBy("part", "lot").applyInPandas(lambda pdf: either(pdf), "part int, bits binary")
+    out = np.zeros(1 << BITMAP_BITS >> 3, np.uint8)
+    for r in rows.groupBy("part").applyInPandas(lambda pdf: either(pdf), "part int, bits binary").collect():
+        out[r["part"] * part : (r["part"] + 1) * part] = np.frombuffer(r["bits"], np.uint8)
+    return out
+
+
+def has_bit(bits: np.ndarray, x: np.ndarray) -> np.ndarray:
+    at = _bit(x)
+    return (bits[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1).astype(bool)
+
+
+def shared_keys(postings: DataFrame) -> DataFrame:
+    """Postings (key, id) whose key has two or more of them.
+
+    Counts are combined before the shuffle; the bitmap keeps most postings that stand alone from being shuffled a second time.
+    """
+    twice = stored(postings.groupBy("key").agg(F.count("*").alias("m")).where("m > 1").select("key"))
+    bits = postings.sparkSession.sparkContext.broadcast(bitmap(twice, "key"))
+
+    def run(batches):
+        for batch in batches:
+            yield batch.filter(pa.array(has_bit(bits.value, np.asarray(batch.column(0)))))
+
+    near = postings.select("key", "id").mapInArrow(run, "key long, id long")
+    return near.join(twice, "key").select("key", "id")

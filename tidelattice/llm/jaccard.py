@@ -125,15 +125,25 @@ def short_lists(docs: DataFrame, lengths: np.ndarray, k: int, percent: int, occu
     return docs.mapInArrow(run, "key long, id long, n long")
 
 
-def probe(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose overlap is enough, by binary search of one's members among the other's."""
+def shingle_table(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
+    """(id, members): the packed shingle sets of the documents whose ids (doc_id) are given."""
+    bits = docs.sparkSession.sparkContext.broadcast(common.bitmap(ids, "doc_id"))
 
     def sets(batches):
         for batch in batches:
+            batch = batch.filter(pa.array(common.has_bit(bits.value, np.asarray(batch.column("doc_id")))))
             for a, b, raw, offsets in tv.slices(batch.column("text")):
                 keys, at = shingle_sets(raw, offsets, k)
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), pa.array([keys[x:y].tobytes() for x, y in zip(at[:-1], at[1:], strict=True)], pa.binary())], ["id", "members"])
 
+    # the bitmap lets a few others through
+    got = docs.mapInArrow(sets, "id long, members binary").join(ids.select(F.col("doc_id").alias("id")), "id", "left_semi")
+    return common.stored(got.groupBy("id").agg(F.max("members").alias("members")))
+
+
+def probe(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose overlap is enough, by binary search of one's members among the other's."""
+
     def check(batches):
         for batch in batches:
             keep = []
@@ -146,12 +156,8 @@ def probe(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
                 keep.append(100 * shared >= percent * (len(x) + len(y) - shared) and shared > 0)
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    pairs = common.cut(pairs)
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    got = docs.join(wanted, "doc_id", "left_semi").mapInArrow(sets, "id long, members binary")
-    got = common.stored(got)
-    x = pairs.join(got.select(F.col("id").alias("a"), F.col("members").alias("xa")), "a")
-    x = x.join(got.select(F.col("id").alias("b"), F.col("members").alias("xb")), "b")
+    x = pairs.join(sets.select(F.col("id").alias("a"), F.col("members").alias("xa")), "a")
+    x = x.join(sets.select(F.col("id").alias("b"), F.col("members").alias("xb")), "b")
     return x.mapInArrow(check, "a long, b long")
 
 
@@ -177,9 +183,9 @@ def jaccard_classes(docs: DataFrame, k: int = 5, percent: int = 80, occur: int =
     postings = short_lists(own, lengths, k, percent, occur)
     postings = common.stored(postings)
     # a list with one document names nobody
-    shared = postings.groupBy("key").agg(F.count("*").alias("m")).where("m > 1").select("key")
-    postings = postings.join(shared, "key").select("key", "id")
-    joined = common.linked(postings, lambda pairs: probe(pairs, docs, k, percent))
+    postings = common.stored(common.shared_keys(postings))
+    sets = shingle_table(docs, postings.select(F.col("id").alias("doc_id")).distinct(), k)
+    joined = common.linked(postings, lambda pairs: probe(pairs, sets, percent))
     classes = groups.join(joined, groups["rep"] == joined["id"], "left").select("f1", "f2", "n", F.coalesce("component", "rep").alias("c"))
     rows = prints.join(classes, ["f1", "f2", "n"], "left").select("doc_id", "n", F.coalesce("c", "doc_id").alias("c"))
     rows = rows.groupBy("doc_id").agg(F.max("n").alias("n_shingles"), F.min("c").alias("c"))

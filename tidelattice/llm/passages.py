@@ -101,7 +101,7 @@ def recurring(slices: DataFrame, seeds_of: Callable[[Slice], np.ndarray], bucket
             own = again[at : at + len(x)]
             out.append(tv.squeeze(tv.rising(x[own])))
             at += len(x)
-        return pd.DataFrame({"slice": pdf["slice"], "bucket": pdf["bucket"], "seeds": out})
+        return pd.DataFrame({"slice": pdf["slice"].astype(object), "bucket": pdf["bucket"], "seeds": out})
 
     sent = slices.mapInArrow(send, "slice string, bucket int, seeds binary, twice binary")
     return sent.groupBy("bucket").applyInPandas(meet, "slice string, bucket int, seeds binary")

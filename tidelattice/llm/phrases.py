@@ -77,7 +77,7 @@ class Phrases:
         return h, ids, begin, order, new
 
 
-def drop_repeats(docs: DataFrame, window: int = 20, seed: int = 6, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def drop_repeats(docs: DataFrame, window: int = 20, seed: int = 6, settle: bool = True, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_words, n_removed, kept for every row of docs.
 
     Words are [^\\x20\\x09-\\x0D]+, unchanged.  A word goes if a window of so many words of its
@@ -85,10 +85,13 @@ def drop_repeats(docs: DataFrame, window: int = 20, seed: int = 6, id_col: str =
     id, or earlier in the same document.  kept: the words that stay, joined by one space.
     A null text has no words.  A row with a null id keeps all its words and takes none from others; rows
     that repeat an id take nothing from each other.  An empty table gives no rows.
+
+    The input is read three times and must be cut and ordered alike each time; settle stores it once
+    for that.  A plain scan of files needs no settling.
     """
     docs = common.texts(docs, id_col, text_col)
     buckets = common.cells(docs.sparkSession)
-    slices = ps.slice_rows(docs)
+    slices = common.stored(ps.slice_rows(docs)) if settle else ps.slice_rows(docs)
 
     def seeds_of(s: ps.Slice) -> np.ndarray:
         x = Phrases(s, window, seed)
@@ -124,7 +127,7 @@ def drop_repeats(docs: DataFrame, window: int = 20, seed: int = 6, id_col: str =
         for x in h:
             out.append(tv.squeeze(tv.rising(x[late[at : at + len(x)]])))
             at += len(x)
-        return pd.DataFrame({"slice": pdf["slice"], "late": out})
+        return pd.DataFrame({"slice": pdf["slice"].astype(object), "late": out})
 
     def remove(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         out = []
@@ -157,7 +160,7 @@ def drop_repeats(docs: DataFrame, window: int = 20, seed: int = 6, id_col: str =
             kept = [raw[p : max(p, q - 1)].decode() for p, q in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
             ids = pd.array(s.ids, dtype="Int64")
             ids[~s.there] = pd.NA
-            out.append(pd.DataFrame({"doc_id": ids, "n_words": np.diff(w.first), "n_removed": np.diff(lost), "kept": kept}))
+            out.append(pd.DataFrame({"doc_id": ids, "n_words": np.diff(w.first), "n_removed": np.diff(lost), "kept": pd.Series(kept, dtype=object)}))
         return pd.concat(out) if out else pd.DataFrame({"doc_id": [], "n_words": [], "n_removed": [], "kept": []})
 
     by = slices.groupBy("slice")
@@ -167,7 +170,7 @@ def drop_repeats(docs: DataFrame, window: int = 20, seed: int = 6, id_col: str =
 
 
 def op7_phrase_automata(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = drop_repeats(common.table(spark, sf_dir, "documents"))
+    out = drop_repeats(common.table(spark, sf_dir, "documents"), settle=False)
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 

@@ -159,18 +159,18 @@ class Contexts:
         return {"bucket": k[other], "begin": begin[head], "count": count[head], "id": least}
 
 
-def drop_repeats(docs: DataFrame, length: int = 50, seed: int = 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def drop_repeats(docs: DataFrame, length: int = 50, seed: int = 20, settle: bool = True, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept (binary) for every row of docs.
 
     A byte of the UTF-8 text goes if a string of so many bytes covers it that also
     starts in a document with a smaller id; strings never cross documents.  n_spans counts the
     maximal removed runs; kept are the bytes that stay.  A null text is empty.  A row with a
     null id keeps all its bytes and takes none from others; rows that repeat an id take nothing from each
-    other.  An empty table gives no rows.
+    other.  An empty table gives no rows.  settle: as for phrases.
     """
     docs = common.texts(docs, id_col, text_col)
     buckets = common.cells(docs.sparkSession)
-    slices = ps.slice_rows(docs)
+    slices = common.stored(ps.slice_rows(docs)) if settle else ps.slice_rows(docs)
     seeds = common.stored(ps.recurring(slices, lambda s: Contexts(s, length, seed).seeds(), buckets))
 
     def pieces(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
@@ -207,7 +207,7 @@ def drop_repeats(docs: DataFrame, length: int = 50, seed: int = 20, id_col: str
             m = int(x.sum())
             out.append(tv.squeeze(np.diff(least[at : at + m], prepend=np.int64(0))))
             at += m
-        return pd.DataFrame({"slice": pdf["slice"], "bucket": pdf["bucket"], "least": out})
+        return pd.DataFrame({"slice": pdf["slice"].astype(object), "bucket": pdf["bucket"], "least": out})
 
     def remove(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         out = []
@@ -244,5 +244,5 @@ def drop_repeats(docs: DataFrame, length: int = 50, seed: int = 20, id_col: str
 
 
 def op8_deep_shallow(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = drop_repeats(common.table(spark, sf_dir, "documents"))
+    out = drop_repeats(common.table(spark, sf_dir, "documents"), settle=False)
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))

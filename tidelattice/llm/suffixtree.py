@@ -294,7 +294,7 @@ def word_sums(docs: DataFrame, buckets: int) -> DataFrame:
             sums.append(np.bincount(text[own], weights=logs[own], minlength=texts).astype(np.float64).tobytes())
             knowns.append(tv.squeeze(np.bincount(text[own], weights=known[own], minlength=texts).astype(np.int64)))
             at += n
-        out = pdf[["slice", "bucket", "head"]].copy()
+        out = pdf[["slice", "bucket", "head"]].astype({"slice": object})
         out["sums"], out["known"] = sums, knowns
         out["n"], out["v"] = 0, 0
         out.iloc[0, out.columns.get_loc("n")] = int(counts.sum())

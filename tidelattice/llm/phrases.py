@@ -114,7 +114,7 @@ def drop_repeats(docs: DataFrame, window: int = 20, seed: int = 6, settle: bool
                     rows["bucket"].append(k)
                     rows["h"].append(tv.squeeze(tv.rising(h[part])))
                     rows["id"].append(tv.squeeze(ids[part]))
-        return pd.DataFrame(rows)
+        return pd.DataFrame(rows, dtype=object)
 
     def first(pdf: pd.DataFrame) -> pd.DataFrame:
         h = [np.cumsum(tv.unsqueeze(x), dtype=np.uint64) for x in pdf["h"]]
@@ -161,7 +161,7 @@ def drop_repeats(docs: DataFrame, window: int = 20, seed: int = 6, settle: bool
             ids = pd.array(s.ids, dtype="Int64")
             ids[~s.there] = pd.NA
             out.append(pd.DataFrame({"doc_id": ids, "n_words": np.diff(w.first), "n_removed": np.diff(lost), "kept": pd.Series(kept, dtype=object)}))
-        return pd.concat(out) if out else pd.DataFrame({"doc_id": [], "n_words": [], "n_removed": [], "kept": []})
+        return pd.concat(out) if out else pd.DataFrame({"doc_id": [], "n_words": [], "n_removed": [], "kept": []}, dtype=object)
 
     by = slices.groupBy("slice")
     found = by.cogroup(seeds.groupBy("slice")).applyInPandas(locate, "slice string, bucket int, h binary, id binary")

@@ -188,7 +188,7 @@ def drop_repeats(docs: DataFrame, length: int = 50, seed: int = 20, settle: bool
                 rows["text"].append(pa.compress(x.s.raw[src].tobytes(), codec="zstd", asbytes=True))
                 rows["count"].append(tv.squeeze(count))
                 rows["id"].append(tv.squeeze(p["id"][own]))
-        return pd.DataFrame(rows)
+        return pd.DataFrame(rows, dtype=object)
 
     def order(pdf: pd.DataFrame) -> pd.DataFrame:
         counts = [tv.unsqueeze(x).view(np.int64) for x in pdf["count"]]
@@ -233,7 +233,7 @@ def drop_repeats(docs: DataFrame, length: int = 50, seed: int = 20, settle: bool
             ids[~s.there] = pd.NA
             kept = [raw[a:b] for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
             out.append(pd.DataFrame({"doc_id": ids, "n_bytes": np.diff(s.offsets), "n_removed": np.diff(lost), "n_spans": np.diff(spans), "kept": kept}))
-        return pd.concat(out) if out else pd.DataFrame({"doc_id": [], "n_bytes": [], "n_removed": [], "n_spans": [], "kept": []})
+        return pd.concat(out) if out else pd.DataFrame({"doc_id": [], "n_bytes": [], "n_removed": [], "n_spans": [], "kept": []}, dtype=object)
 
     by = slices.groupBy("slice")
     sent = by.cogroup(seeds.groupBy("slice")).applyInPandas(pieces, "slice string, bucket int, text binary, count binary, id binary")

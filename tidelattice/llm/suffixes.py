@@ -132,11 +132,12 @@ class Contexts:
         self.sums = sums
 
     def seeds(self) -> np.ndarray:
-        return self.h[np.unique(self.place)]
+        return self.h[self.place[tv.changes(self.place)]]  # places never fall
 
     def cut(self, recurring: np.ndarray, buckets: int):
         """Windows (starts) that take part, the piece of each and its place in it; pieces in order of (bucket, seed, hash)."""
-        use = ps.member(self.h[self.place], recurring)
+        new = tv.changes(self.place)
+        use = np.repeat(ps.member(self.h[self.place[new]], recurring), np.diff(np.append(np.flatnonzero(new), len(new))))
         starts, place = self.starts[use], self.place[use]
         of = np.searchsorted(self.s.offsets, starts, "right") - 1
         new = np.concatenate([[True], (place[1:] != place[:-1]) | (starts[1:] != starts[:-1] + 1) | (of[1:] != of[:-1])]) if len(starts) else np.zeros(0, bool)

@@ -33,7 +33,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 BYTE = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 #: Texts are handled in slices of about so many bytes, which bounds the working memory.
-SLICE = 4 << 20
+SLICE = 2 << 20
 
 
 def _powers(n: int, b: int) -> np.ndarray:
@@ -46,7 +46,7 @@ _POW: dict[int, np.ndarray] = {}
 
 
 def powers(n: int, b: int = BASE) -> np.ndarray:
-    if len(_POW.get(b, ())) < n:
+    if b not in _POW or len(_POW[b]) < n:
         _POW[b] = _powers(max(n, SLICE + (1 << 18)), b)
     return _POW[b][:n]
 
@@ -130,24 +130,29 @@ def minimizers(h: np.ndarray, w: int) -> np.ndarray:
     n = len(h) - w + 1
     if n <= 0:
         return np.zeros(0, np.int64)
-    # two-stack trick without loops over elements: least values from the left and right of blocks
-    pad = -(-len(h) // w) * w
-    x = np.full(pad, MASK, np.uint64)
-    x[: len(h)] = h
-    left = np.minimum.accumulate(x.reshape(-1, w), axis=1).ravel()
-    right = np.minimum.accumulate(x.reshape(-1, w)[:, ::-1], axis=1)[:, ::-1].ravel()
-    least = np.minimum(right[:n], left[w - 1 : w - 1 + n])
+    # least of runs of 1, 2, 4 ... values; two runs that overlap make w
+    least, size = h, 1
+    while 2 * size <= w:
+        least, size = np.minimum(least[:-size], least[size:]), 2 * size
+    if size < w:
+        least = np.minimum(least[: n], least[w - size : w - size + n])
+    least = least[:n]
     # a run of equal least values keeps its place until the run passes it
-    change = np.flatnonzero(np.concatenate([[True], least[1:] != least[:-1]]))
+    change = np.flatnonzero(changes(least))
     stop = np.append(change[1:], n)
-    at = np.full(len(change), -1, np.int64)
-    open_ = np.arange(len(change))
-    for d in range(w):
-        hit = h[change[open_] + d] == least[change[open_]]
-        at[open_[hit]] = change[open_[hit]] + d
-        open_ = open_[~hit]
-        if not len(open_):
-            break
+    # values that are the least of some run: few, so the first fitting one is near
+    top, size = np.concatenate([np.zeros(w - 1, np.uint64), least, np.zeros(w - 1, np.uint64)]), 1
+    while 2 * size <= w:
+        top, size = np.maximum(top[:-size], top[size:]), 2 * size
+    if size < w:
+        top = np.maximum(top[: len(h)], top[w - size : w - size + len(h)])
+    chosen = np.flatnonzero(h == top[: len(h)])
+    value, k = least[change], np.searchsorted(chosen, change)
+    open_ = np.flatnonzero(h[chosen[k]] != value)
+    while len(open_):
+        k[open_] += 1
+        open_ = open_[h[chosen[k[open_]]] != value[open_]]
+    at = chosen[k]
     place = np.repeat(at, stop - change)
     late = np.flatnonzero(place < np.arange(n))  # equal values within w of each other
     for d in range(w):
@@ -159,6 +164,13 @@ def minimizers(h: np.ndarray, w: int) -> np.ndarray:
     return place
 
 
+def changes(x: np.ndarray) -> np.ndarray:
+    """Where a value differs from the one before; the first always does."""
+    out = np.ones(len(x), bool)
+    out[1:] = x[1:] != x[:-1]
+    return out
+
+
 def as_signed(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
 

@@ -170,7 +170,7 @@ def drop_repeats(docs: DataFrame, length: int = 50, seed: int = 20, settle: bool
     other.  An empty table gives no rows.  settle: as for phrases.
     """
     docs = common.texts(docs, id_col, text_col)
-    buckets = common.cells(docs.sparkSession)
+    buckets = 4 * common.cells(docs.sparkSession)  # a bucket is sorted whole in one task
     slices = common.stored(ps.slice_rows(docs)) if settle else ps.slice_rows(docs)
     seeds = common.stored(ps.recurring(slices, lambda s: Contexts(s, length, seed).seeds(), buckets))
 

@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 from . import common
 
+#: Hash classes of document ids.
+CLASSES = 1 << 20
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
@@ -58,7 +60,11 @@ def phrases(index: DataFrame, wins: DataFrame) -> DataFrame:
     both = first.where("len > 1").join(shifted(2).select("win", "doc_id", "start"), ["win", "doc_id", "start"], "left_semi")
     starts = common.cut(first.where("len = 1").unionByName(both).distinct())
     need = starts.join(ranked.where("rank > 2"), ["win", "len"]).select("win", "doc_id", "start", (F.col("start") + F.col("off")).alias("pos"), "term")
-    near = index.join(starts.select("doc_id").distinct(), "doc_id", "left_semi")
+    # most documents hold no candidate: a broadcast of hash classes, at most CLASSES rows whatever the corpus, spares their postings the shuffle
+    cls = F.pmod(F.xxhash64("doc_id"), F.lit(CLASSES)).cast("int")
+    some = starts.select(cls.alias("cls")).distinct()
+    near = index.withColumn("cls", cls).join(F.broadcast(some), "cls", "left_semi").drop("cls")
+    near = near.join(starts.select("doc_id").distinct(), "doc_id", "left_semi")
     met = need.join(near, ["doc_id", "pos", "term"]).groupBy("win", "doc_id", "start").agg(F.countDistinct("pos").alias("n"))
     return starts.join(met, ["win", "doc_id", "start"], "left").where(F.coalesce("n", F.lit(0)) == F.greatest(F.col("len") - 2, F.lit(0))).select("win", "len", "doc_id", "start")
 

@@ -116,5 +116,6 @@ def word_count(text: str = "text") -> Column:
 
 def op2_length_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.table(spark, sf_dir, "documents").select("doc_id", "text")
-    rows = docs.select("doc_id", word_count().cast("long").alias("words"))
+    # the texts are read once; what follows needs their lengths alone
+    rows = common.stored(docs.select("doc_id", word_count().cast("long").alias("words")))
     return pack(rows, F.col("words")).select("doc_id", "n_tokens", "bucket", "padded_to", "batch", "place")

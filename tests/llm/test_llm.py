@@ -246,6 +246,13 @@ def test_contamination(spark, docs):
         assert (got[i]["n_words"], got[i]["n_hit"], got[i]["item_ids"]) == (len(w), len(hit), sorted(found)), i
         assert got[i]["contaminated"] == (len(hit) > 0 and 20 * len(hit) >= len(w))
     assert decontaminate.contamination(nothing(docs), spark.createDataFrame(items, "item_id long, text string")).count() == 0
+    # a benchmark too large for a broadcast
+    most, common.is_small.__defaults__ = common.is_small.__defaults__, (0,)
+    try:
+        shuffled = decontaminate.contamination(docs, spark.createDataFrame(items, "item_id long, text string")).collect()
+    finally:
+        common.is_small.__defaults__ = most
+    assert {r["doc_id"]: r for r in shuffled} == got
 
 
 def test_proximity(spark):

@@ -37,6 +37,20 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Tables go to all tasks only if they are measured to be at most this large.
+BROADCAST_BYTES = 32 << 20
+
+
+def is_small(df: DataFrame, size: Column, most: int = BROADCAST_BYTES) -> bool:
+    """Whether the rows of df, a table that is cheap to read, have at most so many bytes by the given size of a row."""
+    return (df.agg(F.sum(size.cast("long"))).first()[0] or 0) <= most
+
+
+def sized(df: DataFrame, size: Column) -> DataFrame:
+    """df, to be broadcast if it is small; joins with a larger one are shuffled."""
+    return F.broadcast(df) if is_small(df, size) else df
+
+
 def cells(spark: SparkSession, least: int = 16) -> int:
     """Partitions for data that Python tasks read whole: as many as Spark's shuffles have, which the cluster sizes by its input."""
     return max(least, int(spark.conf.get("spark.sql.shuffle.partitions")))

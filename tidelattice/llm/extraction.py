@@ -48,6 +48,10 @@ CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td
 ENDS_P = BLOCK - {"br", "html", "body", "head", "title", "option", "select", "caption", "td", "th", "tr", "tbody", "thead", "tfoot", "legend", "summary"}
 
 
+#: Lots of a host's pages where templates are too large for a broadcast.
+LOTS = 16
+
+
 class Block:
     """A run of text in one block. aside: in an element that is no article; main: in an article or main element; linked: characters in links."""
 
@@ -229,7 +233,15 @@ def extract(pages: DataFrame, share: float = 0.8, least_pages: int = 5, least_to
         F.coalesce(F.col(html_col).cast("string"), F.lit("")).alias("html"),
     ).withColumn("host", host_of(F.col("url")))
     rows = rows.withColumn("number", F.xxhash64("page_id", "url", "html"))
-    known = templates(rows, share, least_pages, least_tokens).withColumnRenamed("host", "_host")
+    # stored, so that its size is known and a hot host's pages are not bound to the partitioning of the templates
+    known = common.stored(templates(rows, share, least_pages, least_tokens).withColumnRenamed("host", "_host"))
+    size = F.octet_length("_host") + 64 + F.aggregate("classes", F.lit(0), lambda n, c: n + 8 * F.size(c) + 32)
+    small = common.is_small(known, size, broadcast_bytes)
+    if small:
+        known = F.broadcast(known)
+    else:  # each host's pages in as many lots
+        rows = rows.withColumn("_lot", F.pmod("number", F.lit(LOTS)).cast("int"))
+        known = known.withColumn("_known_lot", F.explode(F.sequence(F.lit(0), F.lit(LOTS - 1))))
 
     def run(batches):
         for batch in batches:
@@ -237,7 +249,8 @@ def extract(pages: DataFrame, share: float = 0.8, least_pages: int = 5, least_to
             out = [main_text(page.as_py(), c or []) for page, c in zip(batch.column("html"), classes, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(out, pa.string())], ["page_id", "url", "text"])
 
-    joined = rows.join(known, F.col("host") == F.col("_host"), "left").select("page_id", "url", "html", "classes")
+    same = F.col("host") == F.col("_host")
+    joined = rows.join(known, same if small else same & (F.col("_lot") == F.col("_known_lot")), "left").select("page_id", "url", "html", "classes")
     return joined.mapInArrow(run, "page_id long, url string, text string")
 
 

@@ -313,6 +313,11 @@ def test_extraction(spark):
     got = {r["page_id"]: r["text"] for r in extraction.extract(spark.createDataFrame([(*r, 1) for r in rows], "page_id long, url string, html string, text int")).collect()}
     assert len(got) == len(rows) and got[10] == "" and got[11] == ""
     assert got[12] == "plain text" and got[13] == "only this" and got[14] == "café A 1 < 2"
+    big = extraction.extract(spark.createDataFrame(rows, "page_id long, url string, html string"), broadcast_bytes=0).collect()
+    assert {r["page_id"]: r["text"] for r in big} == got
+    # copies of one page on a host keep their article
+    same = spark.createDataFrame([(i, "http://same.example/", page % (nav, 1, foot)) for i in range(6)], "page_id long, url string, html string")
+    assert {r["text"] for r in extraction.extract(same).collect()} == {"Head & 1 One bold word a < b c x y"}
     # the sentences that all pages of the host share are its template; on a host of its own they are text
     assert got[3].startswith("Head & 3")
     alone = extraction.main_text(page % (nav, 7, foot), [])

@@ -210,17 +210,24 @@ def main_text(page: str, classes: list[list[int]]) -> str:
     else:
         blocks = [x for x in blocks if 2 * x.linked < x.size]
     fixed = template_tokens([key_of(x) for x in tokens], classes) if classes else ()
-    texts = (x.text() for x in blocks if not fixed or key_of(x) not in fixed)
-    return " ".join(x for x in texts if x)
+    slots = [x for x in blocks if key_of(x) not in fixed] if fixed else blocks
+    if not slots and any(x.main for x in blocks):  # all pages of the host have the same article
+        slots = blocks
+    return " ".join(x for x in (b.text() for b in slots) if x)
 
 
 def host_of(url: Column) -> Column:
     return F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)", 1))
 
 
-def extract(pages: DataFrame, share: float = 0.8, least_pages: int = 5, least_tokens: int = 3, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
+def extract(
+    pages: DataFrame, share: float = 0.8, least_pages: int = 5, least_tokens: int = 3, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", broadcast_bytes: int = common.BROADCAST_BYTES
+) -> DataFrame:
     """page_id, url, text for every row of pages.
 
+    Templates go to all tasks if their measured size is at most broadcast_bytes, so that no page is shuffled; larger
+    ones meet the pages in a join by host and lot, with the same result.
+
     Blocks are in page order, joined by one space, white space inside one made a
     space and character references decoded.  A null html is an empty page; a page with a null
     url, or one without a host, shares the host ''; a null id and repeated rows are rows like any other (repeats count as one page

@@ -354,3 +354,24 @@ def test_pipeline(spark):
     docs = common.table(spark, "/root/testdata/sf0.001", "documents")
     assert 0 < out.count() <= docs.count()
     assert set(corpus_pipeline.COLUMNS) <= set(out.columns)
+
+
+def test_fuzzy_lines_find_every_similar_pair(spark):
+    rng = random.Random(11)
+    vocab = [f"v{i}" for i in range(60)]
+    found = []
+    for n in [4, 5, 5, 6, 8, 9, 10, 12, 15, 20, 30, 60] * 4:
+        base = [rng.choice(vocab) for _ in range(n)]
+        found.append(base)
+        for _ in range(2):
+            near = list(base)
+            for _ in range(rng.randint(1, 3)):
+                k = rng.randrange(len(near))
+                near[k : k + 1] = [rng.choice(vocab)]
+            found.append(near)
+    found = [list(x) for x in dict.fromkeys(map(tuple, found)) if len(x) >= 4]
+    pairs = [(a, b) for (a, x), (b, y) in itertools.combinations(enumerate(found), 2) if 5 * lines.edit_distance(x, y) <= max(len(x), len(y))]
+    want = classes(pairs, range(len(found)))
+    docs = spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(found)], "doc_id long, text string")
+    got = {r["doc_id"] for r in lines.dedup_lines(docs).where("n_removed = 0").collect()}
+    assert got == set(want.values()) and 40 < len(pairs)

@@ -86,11 +86,11 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     return ids.join(roots, "id", "left").select("id", F.coalesce("component", "id").alias("component"))
 
 
-def linked(postings: DataFrame, verify: Callable[[DataFrame], DataFrame], stars: int = 2) -> DataFrame:
+def linked(postings: DataFrame, verify: Callable[[DataFrame], DataFrame], stars: int = 2, prune: Callable[[DataFrame], DataFrame] = lambda pairs: pairs) -> DataFrame:
     """Components of the relation that verify() decides, over ids that share a key.
 
     postings (key, id); verify takes distinct pairs (a, b), a < b, and returns those
-    that link.  Two star rounds compare each id with one end of each of its lists;
+    that link.  prune takes pairs as they come and may drop those that verify would not return.  Two star rounds compare each id with one end of each of its lists;
     what they link needs no further comparison, so that a large group of near copies
     costs a few comparisons a member.  Then every pair of ids that share a key but
     are still in different components is compared: nothing is capped or lost.
@@ -109,7 +109,7 @@ def linked(postings: DataFrame, verify: Callable[[DataFrame], DataFrame], stars:
             joined = components(edges)
             pairs = spokes.select("id", "hub").distinct()
             pairs = _apart(pairs, joined, "id", "hub")
-        pairs = pairs.select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct()
+        pairs = prune(pairs.select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b"))).distinct()
         found = verify(pairs)
         edges = cut(found if edges is None else edges.unionByName(found))
     joined = cut(components(edges))
@@ -117,7 +117,8 @@ def linked(postings: DataFrame, verify: Callable[[DataFrame], DataFrame], stars:
     torn = p.groupBy("key").agg(F.min("c").alias("x"), F.max("c").alias("y")).where("x <> y").select("key")
     p = stored(p.join(torn, "key"))
     left, right = (p.select("key", F.col("id").alias(x), F.col("c").alias(f"c{x}")) for x in "ab")
-    rest = left.join(right, "key").where("a < b and ca <> cb").select("a", "b").distinct()
+    rest = left.join(right, "key").where("a < b and ca <> cb").select("a", "b")
+    rest = prune(rest).distinct()
     return components(edges.unionByName(verify(rest)))
 
 
@@ -198,11 +199,11 @@ def has_bit(bits: np.ndarray, x: np.ndarray) -> np.ndarray:
 
 
 def shared_keys(postings: DataFrame) -> DataFrame:
-    """Postings (key, id) whose key has two or more of them.
+    """Postings (key, id) whose key has two or more ids.
 
-    Counts are combined before the shuffle; the bitmap keeps most postings that stand alone from being shuffled a second time.
+    The ends of lists are combined before the shuffle; the bitmap keeps most postings that stand alone from being shuffled a second time.
     """
-    twice = stored(postings.groupBy("key").agg(F.count("*").alias("m")).where("m > 1").select("key"))
+    twice = stored(postings.groupBy("key").agg(F.min("id").alias("x"), F.max("id").alias("y")).where("x < y").select("key"))
     bits = postings.sparkSession.sparkContext.broadcast(bitmap(twice, "key"))
 
     def run(batches):

@@ -375,3 +375,9 @@ def test_fuzzy_lines_find_every_similar_pair(spark):
     docs = spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(found)], "doc_id long, text string")
     got = {r["doc_id"] for r in lines.dedup_lines(docs).where("n_removed = 0").collect()}
     assert got == set(want.values()) and 40 < len(pairs)
+
+
+def test_fuzzy_lines_group_short_lines(spark):
+    docs = spark.createDataFrame([(1, "Menu\nshare this"), (2, "share  THIS\nmenu\nother"), (3, "menu x")], "doc_id long, text string")
+    got = {r["doc_id"]: r["text"] for r in lines.dedup_lines(docs, short_lines=True).collect()}
+    assert got == {1: "Menu\nshare this", 2: "other", 3: "menu x"}

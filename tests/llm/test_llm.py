@@ -367,7 +367,7 @@ def test_fuzzy_lines_find_every_similar_pair(spark):
             near = list(base)
             for _ in range(rng.randint(1, 3)):
                 k = rng.randrange(len(near))
-                near[k : k + 1] = [rng.choice(vocab)]
+                near[k : k + 1] = rng.choice([[rng.choice(vocab)], [], [near[k], rng.choice(vocab)]])
             found.append(near)
     found = [list(x) for x in dict.fromkeys(map(tuple, found)) if len(x) >= 4]
     pairs = [(a, b) for (a, x), (b, y) in itertools.combinations(enumerate(found), 2) if 5 * lines.edit_distance(x, y) <= max(len(x), len(y))]
@@ -381,3 +381,10 @@ def test_fuzzy_lines_group_short_lines(spark):
     docs = spark.createDataFrame([(1, "Menu\nshare this"), (2, "share  THIS\nmenu\nother"), (3, "menu x")], "doc_id long, text string")
     got = {r["doc_id"]: r["text"] for r in lines.dedup_lines(docs, short_lines=True).collect()}
     assert got == {1: "Menu\nshare this", 2: "other", 3: "menu x"}
+
+
+def test_fuzzy_lines_one_fifth_shorter(spark):
+    for n in (5, 10, 30, 100):
+        w = [f"u{i}" for i in range(n)]
+        docs = spark.createDataFrame([(1, " ".join(w)), (2, " ".join(w[: n - n // 5]))], "doc_id long, text string")
+        assert [r["n_removed"] for r in lines.dedup_lines(docs).orderBy("doc_id").collect()] == [0, 1]

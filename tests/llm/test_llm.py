@@ -388,3 +388,20 @@ def test_fuzzy_lines_one_fifth_shorter(spark):
         w = [f"u{i}" for i in range(n)]
         docs = spark.createDataFrame([(1, " ".join(w)), (2, " ".join(w[: n - n // 5]))], "doc_id long, text string")
         assert [r["n_removed"] for r in lines.dedup_lines(docs).orderBy("doc_id").collect()] == [0, 1]
+
+
+def test_model_tells_seen_from_unseen(spark, monkeypatch):
+    rng = random.Random(22)
+    docs = spark.createDataFrame([(i, text(rng, 80), "en") for i in range(8)], "doc_id long, text string, lang string")
+    whole = quality.fit(docs)
+    seen = {(k, n): set(t.keys.tolist()) for (k, n, _), t in whole.tables.items()}
+    held = Counter(c for _, t, _ in docs.collect() for c in [t])
+    grams_ = set()
+    for t in held:
+        raw = np.frombuffer(t.encode(), np.uint8)
+        grams_ |= set(quality.packed(*quality.char_ids(raw, np.array([0, len(raw)])), 5).tolist())
+    assert seen["p", 5] == grams_  # whole keys, none folded
+    want = {r["doc_id"]: r["log10_ppl"] for r in quality.judge(docs).collect()}
+    monkeypatch.setattr(common, "MODEL_ROWS", 500)
+    got = {r["doc_id"]: r["log10_ppl"] for r in quality.judge(docs).collect()}
+    assert got == pytest.approx(want, abs=1e-9)  # many lots score as one

@@ -157,6 +157,33 @@ def gathered(rows: DataFrame, parts: int = 16) -> dict:
     return {k: tuple(np.concatenate(x) for x in zip(*v, strict=True)) for k, v in held.items()}
 
 
+#: Rows of a model that go to all tasks at once.
+MODEL_ROWS = 6_000_000
+
+
+def lot_of(context, lots: int):
+    """The lot of a number of at most 24 bits, in Spark as in numpy."""
+    if isinstance(context, Column):
+        return F.pmod(F.shiftright(context * F.lit(2654435761), 20), F.lit(lots))
+    return (context.astype(np.int64) * 2654435761 >> 20) % lots
+
+
+def model_lots(rows: DataFrame, symbol_bits: int, least: int, most: int = 0):
+    """(lot, lots, rows of the lot) of a back-off model (kind p or b first, n, g); least: about how many rows it has.
+
+    All that an n-gram can be scored by has the same two symbols before the last one, by which the
+    rows are dealt; n-grams of two and contexts of one are in all lots.
+    """
+    lots = max(1, -(-least // (most or MODEL_ROWS)))
+    if lots == 1:
+        yield 0, 1, rows
+        return
+    context = F.when(F.col("kind").startswith("p"), F.shiftright("g", symbol_bits)).otherwise(F.col("g")).bitwiseAND(F.lit((1 << 2 * symbol_bits) - 1))
+    rows = stored(rows.withColumn("lot", F.when(F.col("n") >= F.when(F.col("kind").startswith("p"), 3).otherwise(2), lot_of(context, lots))))
+    for lot in range(lots):
+        yield lot, lots, rows.where(F.col("lot").isNull() | (F.col("lot") == lot)).drop("lot")
+
+
 #: Bits of a bitmap: two megabytes, whatever it holds; a fuller one only lets more rows through to the join behind it.
 BITMAP_BITS, BITMAP_PARTS = 24, 16
 

@@ -1,10 +1,9 @@
 """Quality rules: base statistics of a text and n-gram perplexity bands by language.
 
 The model is a modified Kneser-Ney n-gram model over characters, counted by Spark
-over every document, one for each language.  An n-gram of up to five characters packs into
-60 bits exactly; for scoring, the probabilities are kept in arrays sorted by a
-hash of so many bits, which bounds what is broadcast whatever the corpus: n-grams that
-share a hash share the count-weighted mean of their probabilities.
+over every document, two for each language.  An n-gram of up to five characters packs into
+60 bits exactly, so that one that was seen and one that was not are told apart at any size.  A model of more rows than go
+to all tasks at once is dealt into lots by the two characters before the last one, and the texts are read once a lot.
 """
 
 from __future__ import annotations
@@ -16,9 +15,10 @@ from pyspark.sql import functions as F
 
 from . import common
 from . import textvec as tv
+from .suffixtree import Table
 
-#: Bits of a character, and of a hash in the model's arrays (at most 2**HASH_BITS entries an order).
-CHAR_BITS, HASH_BITS = 12, 23
+#: Bits of a character.
+CHAR_BITS = 12
 SYMBOLS = np.zeros(256, bool)
 SYMBOLS[list(b"#*$%&|<>")] = True
 
@@ -140,75 +140,52 @@ def kneser_ney(counts: DataFrame, order: int) -> DataFrame:
     return out
 
 
-def _lang_seed(lang: str) -> int:
-    seed = 0xCBF29CE484222325
-    for b in lang.encode():
-        seed = ((seed ^ b) * 0x100000001B3) & tv.MASK
-    return seed
-
-
-def _slot(g: np.ndarray, lang: str) -> np.ndarray:
-    return (tv.mix(g ^ np.uint64(_lang_seed(lang))) >> np.uint64(64 - HASH_BITS)).astype(np.uint32)
-
-
 class Model:
-    """Sorted hash arrays of one table for each (kind, order), and scoring by them."""
+    """A table of whole n-grams for each (kind, order, language), and scoring by them."""
 
     def __init__(self, order: int, arrays: dict):
-        self.order, self.arrays, self.index = order, arrays, None
+        self.order, self.tables = order, {k: Table(*v) for k, v in arrays.items()}
 
-    def find(self, kind: str, n: int, slots: np.ndarray) -> np.ndarray:
-        keys, values = self.arrays.get((kind, n), (np.zeros(0, np.uint32), np.zeros(0, np.float32)))
-        if not len(keys):
-            return np.full(len(slots), np.nan, np.float32)
-        at = np.minimum(np.searchsorted(keys, slots), len(keys) - 1)
-        return np.where(keys[at] == slots, values[at], np.float32(np.nan))
+    def find(self, kind: str, n: int, lang: str, g: np.ndarray) -> np.ndarray:
+        table = self.tables.get((kind, n, lang))
+        return np.full(len(g), np.nan) if table is None else table.find(g)
 
     def score(self, g: np.ndarray, lang: str) -> np.ndarray:
         """log10 probability of the last character of each packed n-gram."""
         n = self.order
-        if self.index is None:  # the sorted array of the highest order, spread out: one look for a seen n-gram
-            keys, values = self.arrays.get(("p", n), (np.zeros(0, np.uint32), np.zeros(0, np.float32)))
-            self.index = np.full(1 << HASH_BITS, np.nan, np.float32)
-            self.index[keys] = values
-        out = self.index[_slot(g, lang)]
+        out = self.find("p", n, lang, g)
         open_ = np.flatnonzero(np.isnan(out))
-        weight = np.zeros(len(open_), np.float32)
+        weight = np.zeros(len(open_))
         while len(open_) and n > 1:
             x = g[open_] & np.uint64((1 << CHAR_BITS * n) - 1)
-            weight += np.nan_to_num(self.find("b", n - 1, _slot(x >> np.uint64(CHAR_BITS), lang)), nan=0.0)
+            weight += np.nan_to_num(self.find("b", n - 1, lang, x >> np.uint64(CHAR_BITS)), nan=0.0)
             n -= 1
-            got = self.find("p", n, _slot(x & np.uint64((1 << CHAR_BITS * n) - 1), lang)) + weight
+            got = self.find("p", n, lang, x & np.uint64((1 << CHAR_BITS * n) - 1)) + weight
             out[open_] = got
             left = np.isnan(got)
             open_, weight = open_[left], weight[left]
-        base = self.find("b", 0, _slot(np.zeros(1, np.uint64), lang))[0]
-        size = len(self.arrays.get(("p", 1), ((),))[0]) + 1
+        base = self.find("b", 0, lang, np.zeros(1, np.uint64))[0]
+        # a language without counts: all characters are alike
+        size = len(self.tables["p", 1, lang].keys) + 1 if ("p", 1, lang) in self.tables else 1 << CHAR_BITS
         out[open_] = weight + np.nan_to_num(base, nan=0.0) - np.log10(size)
         return out
 
 
-def fit(docs: DataFrame, order: int = 5) -> Model:
-    """A model of every document of docs (text, lang); its arrays have at most 2**HASH_BITS entries a table."""
-    rows = kneser_ney(count_ngrams(docs, order), order)
+def models(docs: DataFrame, order: int):
+    """(lot, lots, Model) of every document of docs (text, lang): each model scores the n-grams of its lot."""
+    counts = common.cut(count_ngrams(docs, order))
+    rows = kneser_ney(counts, order).withColumn("kind", F.concat("kind", F.lit(":"), "lang"))
+    # contexts and lower orders: about as many rows again
+    for lot, lots, own in common.model_lots(rows.select("kind", "n", "g", "v"), CHAR_BITS, 2 * counts.count()):
+        got = common.gathered(own.withColumnRenamed("g", "key")).items()
+        yield lot, lots, Model(order, {(k[0], n, k[2:]): (keys.view(np.uint64), v) for (k, n), (keys, v) in got})
 
-    def slots(batches):
-        for batch in batches:
-            names, which = _by_lang(batch.column("lang"), batch.num_rows)
-            g = np.asarray(batch.column("g")).view(np.uint64)
-            s = np.zeros(len(g), np.uint32)
-            for i in np.unique(which):
-                s[which == i] = _slot(g[which == i], names[i])
-            cols = [batch.column("kind"), batch.column("n"), pa.array(s.astype(np.int32)), batch.column("v"), batch.column("c")]
-            yield pa.RecordBatch.from_arrays(cols, ["kind", "n", "slot", "v", "c"])
-
-    hashed = rows.mapInArrow(slots, "kind string, n int, slot int, v double, c long").groupBy("kind", "n", "slot")
-    got = hashed.agg((F.sum(F.col("v") * F.col("c")) / F.sum("c")).alias("v")).withColumn("key", F.col("slot").cast("long"))
-    arrays = {}
-    for k, (keys, values) in common.gathered(got).items():
-        by = np.argsort(keys)
-        arrays[k] = (keys[by].astype(np.uint32), values[by].astype(np.float32))
-    return Model(order, arrays)
+
+def fit(docs: DataFrame, order: int = 5) -> Model:
+    """One model of every document of docs (text, lang), for small corpora."""
+    rows = kneser_ney(count_ngrams(docs, order), order).withColumn("kind", F.concat("kind", F.lit(":"), "lang"))
+    got = common.gathered(rows.select("kind", "n", F.col("g").alias("key"), "v")).items()
+    return Model(order, {(k[0], n, k[2:]): (keys.view(np.uint64), v) for (k, n), (keys, v) in got})
 
 
 def base_statistics(w: tv.Words) -> dict[str, np.ndarray]:
@@ -247,33 +224,57 @@ def base_statistics(w: tv.Words) -> dict[str, np.ndarray]:
     return out
 
 
-SCORED = "doc_id long, lang string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_scored long, log10_p double"
+SCORED = "doc_id long, th long, lang string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_scored long, log10_p double"
 
 
-def score(docs: DataFrame, model: Model) -> DataFrame:
-    """Base statistics and log10 probability of every text (doc_id, lang, text)."""
-    shared = docs.sparkSession.sparkContext.broadcast(model.arrays)  # bounded by HASH_BITS
-    order = model.order
+def score(docs: DataFrame, model: Model, lot: int, lots: int) -> DataFrame:
+    """Base statistics (in lot 0, else null) and log10 probability of the lot's characters of every text (doc_id, th, lang, by, text); by: the language of the model."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by common.MODEL_ROWS
 
     def run(batches):
-        m = Model(order, shared.value)
+        m = shared.value
         for batch in batches:
-            names, which = _by_lang(batch.column("lang"), batch.num_rows)
+            names, which = _by_lang(batch.column("by"), batch.num_rows)
             for a, b, raw, offsets in tv.slices(batch.column("text")):
-                out = base_statistics(tv.Words(raw, offsets))
                 c, at = char_ids(raw, offsets)
-                g = packed(c, at, order)
+                g = packed(c, at, m.order)
                 of = np.repeat(which[a:b], np.diff(at))
+                in_lot = common.lot_of(g >> np.uint64(CHAR_BITS) & np.uint64((1 << 2 * CHAR_BITS) - 1), lots) == lot
                 p = np.zeros(len(g))
                 for i in np.unique(which[a:b]):
-                    own = of == i
+                    own = (of == i) & in_lot
                     p[own] = m.score(g[own], names[i])
-                out |= {"n_scored": np.diff(at).astype(np.int64), "log10_p": np.diff(np.concatenate([[0.0], np.cumsum(p)])[at])}
+                out = base_statistics(tv.Words(raw, offsets)) if not lot else dict.fromkeys(("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"))
+                out["n_scored"] = np.diff(at).astype(np.int64)
+                out["log10_p"] = np.diff(np.concatenate([[0.0], np.cumsum(p)])[at])
                 part = batch.slice(a, b - a)
-                cols = [part.column("doc_id"), part.column("lang"), *map(pa.array, out.values())]
-                yield pa.RecordBatch.from_arrays(cols, ["doc_id", "lang", *out])
+                cols = [pa.nulls(b - a, pa.int64()) if x is None else pa.array(x) for x in out.values()]
+                yield pa.RecordBatch.from_arrays([*map(part.column, ("doc_id", "th", "lang")), *cols], ["doc_id", "th", "lang", *out])
+
+    return docs.select("doc_id", "th", "lang", "by", "text").mapInArrow(run, SCORED)
 
-    return docs.mapInArrow(run, SCORED)
+
+def scores(docs: DataFrame, order: int) -> DataFrame:
+    """Base statistics and log10 probability of every row (doc_id, lang, text).
+
+    Two models of each language, of the texts whose hash is even and odd, score each other's texts,
+    so that no text is judged by its own counts or those of its copies.
+    """
+    th = F.xxhash64("text")
+    rows = docs.withColumn("th", th)
+    half = F.pmod(th, F.lit(2))
+    fitted = docs.select("text", F.concat("lang", F.lit("/"), half.cast("string")).alias("lang"))
+    rows = rows.withColumn("by", F.concat("lang", F.lit("/"), (1 - half).cast("string")))
+    out = None
+    for lot, lots, model in models(fitted, order):
+        got = common.cut(score(rows, model, lot, lots))
+        if out is None:
+            out = got
+            continue
+        more = got.select(F.col("doc_id").alias("_id"), F.col("th").alias("_th"), F.col("log10_p").alias("_p")).dropDuplicates(["_id", "_th"])
+        out = out.join(more, F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("th").eqNullSafe(F.col("_th")), "left")
+        out = out.withColumn("log10_p", F.col("log10_p") + F.coalesce("_p", F.lit(0.0))).drop("_id", "_th", "_p")
+    return out
 
 
 def bands(scored: DataFrame, width: float, floor: float) -> DataFrame:
@@ -308,9 +309,9 @@ def judge(
     """
     lang = F.coalesce(F.col(lang_col).cast("string"), F.lit("")) if lang_col in docs.columns else F.lit("")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), lang.alias("lang"), F.col(text_col).cast("string").alias("text"))
-    scored = score(rows, fit(rows, order))
+    scored = scores(rows, order)
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
-    scored = common.cut(scored.select("*", failed.alias("base_failed"), F.when(F.col("n_scored") > 0, -F.col("log10_p") / F.col("n_scored")).alias("log10_ppl")))
+    scored = common.cut(scored.drop("th").select("*", failed.alias("base_failed"), F.when(F.col("n_scored") > 0, -F.col("log10_p") / F.col("n_scored")).alias("log10_ppl")))
     # the mean of a short text strays further
     stray = F.coalesce(F.try_divide(F.lit(slack), F.sqrt("n_scored")), F.lit(0.0))
     out = scored.join(F.broadcast(bands(scored, width, floor)), "lang", "left")  # a row for each language

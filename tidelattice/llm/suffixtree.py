@@ -156,12 +156,13 @@ class Table:
     def __init__(self, keys: np.ndarray, values: np.ndarray):
         h = tv.mix(keys)
         order = np.argsort(h)
+        self.bits = max(1, min(self.BITS, len(keys).bit_length()))
         self.keys, self.values = keys[order], values[order].astype(np.float64)
-        self.start = np.searchsorted(h[order] >> np.uint64(64 - self.BITS), np.arange((1 << self.BITS) + 1, dtype=np.uint64)).astype(np.int32)
+        self.start = np.searchsorted(h[order] >> np.uint64(64 - self.bits), np.arange((1 << self.bits) + 1, dtype=np.uint64)).astype(np.int32)
         self.most = int(np.diff(self.start).max(initial=0))
 
     def find(self, g: np.ndarray) -> np.ndarray:
-        slot = (tv.mix(g) >> np.uint64(64 - self.BITS)).astype(np.int64)
+        slot = (tv.mix(g) >> np.uint64(64 - self.bits)).astype(np.int64)
         at = self.start[slot]
         out = np.full(len(g), np.nan)
         if not len(self.keys):

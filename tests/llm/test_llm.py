@@ -390,6 +390,19 @@ def test_fuzzy_lines_one_fifth_shorter(spark):
         assert [r["n_removed"] for r in lines.dedup_lines(docs).orderBy("doc_id").collect()] == [0, 1]
 
 
+def test_bands_reject_what_base_rules_pass(spark):
+    rng = random.Random(21)
+    rows = [(i, text(rng, 120)) for i in range(60)]
+    symbols = [(100 + i, " ".join(w + rng.choice(["&&&", "###", "$$$", "%%%"]) for w in text(rng, 120).split())) for i in range(12)]
+    mash = [(200 + i, " ".join("".join(rng.choice("qxzjkvwpfy") for _ in range(6)) for _ in range(80))) for i in range(3)]
+    got = {r["doc_id"]: r for r in quality.judge(spark.createDataFrame([(*r, "en") for r in rows + symbols + mash], "doc_id long, text string, lang string")).collect()}
+    assert not any(r["base_failed"] for r in got.values())
+    assert {i for i, r in got.items() if r["kept"]} == {i for i, _ in rows}
+    spread = [(0.6 + i / 1000, "en", False) for i in range(100)]
+    band = quality.bands(spark.createDataFrame(spread, "log10_ppl double, lang string, base_failed boolean"), 6.0, 0.35).first()
+    assert 0.2 < band["low"] < 0.6 and 0.7 < band["high"] < 1.1
+
+
 def test_model_tells_seen_from_unseen(spark, monkeypatch):
     rng = random.Random(22)
     docs = spark.createDataFrame([(i, text(rng, 80), "en") for i in range(8)], "doc_id long, text string, lang string")

@@ -418,3 +418,22 @@ def test_model_tells_seen_from_unseen(spark, monkeypatch):
     monkeypatch.setattr(common, "MODEL_ROWS", 500)
     got = {r["doc_id"]: r["log10_ppl"] for r in quality.judge(docs).collect()}
     assert got == pytest.approx(want, abs=1e-9)  # many lots score as one
+
+
+def test_tree_keeps_rare_contexts_of_large_corpora(spark, monkeypatch):
+    # "zqj" occurs ten times: under a share of 1e-7 of 200 million bytes, it stays a context
+    t = [(b"the cat sat on the mat "[i % 20] << 8 | b"he cat sat on the mat t"[i % 20], 10**7) for i in range(20)]
+    counts = Counter()
+    for g, c in t:
+        counts[g] += c
+    counts[ord("q") << 8 | ord("j")] += 10
+    counts[ord("z") << 8 | ord("q")] += 10
+    rows = suffixtree.grow(spark.createDataFrame(list(counts.items()), "g long, c long"), 1, 2.0).collect()
+    assert any(r["kind"] == "b" and r["n"] == 1 and r["g"] == ord("q") for r in rows)
+
+
+def test_tree_lots_score_as_one(spark, docs, monkeypatch):
+    docs = docs.where("doc_id < 210")
+    want = sorted((r["doc_id"], round(r["score"], 6)) for r in suffixtree.score_texts(docs).collect())
+    monkeypatch.setattr(suffixtree, "TREE_ROWS", 300)
+    assert sorted((r["doc_id"], round(r["score"], 6)) for r in suffixtree.score_texts(docs).collect()) == want

@@ -1,13 +1,13 @@
 """Scoring by a probabilistic suffix tree over the bytes of a text's words.
 
 A text is its words in lower case (A-Z), one space between them, and an end byte (a newline,
-which no word holds).  The tree's states are contexts of up to `depth` bytes.  A
-context is a candidate if it makes up at least p_min of the training bytes, so a
-depth has at most 1 / p_min of them whatever the corpus; it is retained if its next-byte distribution
+which no word holds).  The tree's states are contexts of up to `depth` bytes (seven at most).  A
+context is a candidate if it occurs twice in the training texts, whatever their size; it is retained if its next-byte distribution
 diverges enough from its parent's (its longest proper suffix), or if a descendant is.
 Distributions are smoothed by absolute discounting towards the parent's, at the
 root towards equal ones, so that they sum to one.  A byte is scored by the longest
-retained suffix of what stands before it.
+retained suffix of what stands before it.  A tree of more rows than go to all tasks at once is dealt into lots by
+the two bytes before the one that is scored, and the texts are read once a lot.
 """
 
 from __future__ import annotations
@@ -101,7 +101,7 @@ def count(docs: DataFrame, length: int) -> DataFrame:
     return docs.select("text").mapInArrow(run, "g long, c long").groupBy("g").agg(F.sum("c").alias("c"))
 
 
-def grow(counts: DataFrame, depth: int, p_min: float, bits: float) -> DataFrame:
+def grow(counts: DataFrame, depth: int, bits: float) -> DataFrame:
     """(kind, n, g, v): kind p: log10 probability of the last of n bytes after a retained context of n - 1; kind b: a context of n bytes and the log10 weight of its parent.
 
     A candidate's divergence is the code length it saves over its parent on the training bytes; it passes if
@@ -111,10 +111,8 @@ def grow(counts: DataFrame, depth: int, p_min: float, bits: float) -> DataFrame:
     for n in range(depth, 0, -1):
         x = tables[n + 1].groupBy(F.col("g").bitwiseAND(F.lit((1 << 8 * n) - 1)).alias("g")).agg(F.sum("c").alias("c"))
         tables[n] = common.cut(x)
-    total = tables[1].agg(F.sum("c")).first()[0] or 0
-    if not total:
+    if tables[1].isEmpty():
         return counts.sparkSession.createDataFrame([], "kind string, n int, g long, v double")
-    least = max(2.0, p_min * total)
     heads, passed = {}, {}
     for n in range(1, depth + 2):
         t = tables[n].withColumn("ctx", F.shiftrightunsigned("g", 8))
@@ -123,7 +121,7 @@ def grow(counts: DataFrame, depth: int, p_min: float, bits: float) -> DataFrame:
             tail = (1 << 8 * (n - 1)) - 1
             up = tables[n - 1].select(F.col("g").alias("tail"), F.col("c").alias("cu"), F.shiftrightunsigned("g", 8).alias("ctxu"))
             up = up.join(heads[n - 1].select(F.col("ctx").alias("ctxu"), F.col("total").alias("totalu")), "ctxu")
-            x = t.join(heads[n].where(F.col("total") >= least), "ctx").withColumn("tail", F.col("g").bitwiseAND(F.lit(tail))).join(up.select("tail", "cu", "totalu"), "tail")
+            x = t.join(heads[n].where(F.col("total") >= 2), "ctx").withColumn("tail", F.col("g").bitwiseAND(F.lit(tail))).join(up.select("tail", "cu", "totalu"), "tail")
             saved = F.sum(F.col("c") * F.log2(F.col("c") / F.col("total") * F.col("totalu") / F.col("cu")))
             passed[n] = x.groupBy("ctx").agg(saved.alias("saved"), F.first("kinds").alias("kinds")).where(F.col("saved") >= bits * F.col("kinds")).select("ctx")
     retained = {1: tables[1].select(F.lit(0).cast("long").alias("ctx")).limit(1)}
@@ -209,28 +207,56 @@ class Tree:
         return out
 
 
-def fit(training: DataFrame, depth: int = 5, p_min: float = 1e-7, bits: float = 2.0) -> Tree:
-    """A tree of all training texts.  A depth has at most 1 / p_min states, which bounds what the driver gathers."""
-    rows = grow(count(training, depth + 1), depth, p_min, bits).withColumnRenamed("g", "key")
-    arrays = {k: (keys.view(np.uint64), values) for k, (keys, values) in common.gathered(rows).items()}
-    return Tree(arrays, depth)
+#: Rows of a tree that go to all tasks at once.
+TREE_ROWS = 4_000_000
 
 
-def tree_scores(docs: DataFrame, tree: Tree) -> DataFrame:
-    """(doc_id, th, n_tokens, score) of each row (doc_id, th, text)."""
+def trees(training: DataFrame, depth: int = 5, bits: float = 2.0, most: int = 0):
+    """(lot, lots, Tree) of all training texts: each tree scores the bytes of its lot."""
+    rows = grow(count(training, depth + 1), depth, bits)
+    for lot, lots, own in common.model_lots(rows, 8, rows.count(), most or TREE_ROWS):
+        arrays = {k: (keys.view(np.uint64), values) for k, (keys, values) in common.gathered(own.withColumnRenamed("g", "key")).items()}
+        yield lot, lots, Tree(arrays, depth)
+
+
+def fit(training: DataFrame, depth: int = 5, bits: float = 2.0) -> Tree:
+    """One tree of all training texts, for small corpora."""
+    return next(trees(training, depth, bits, 1 << 62))[2]
+
+
+def tree_scores(docs: DataFrame, tree: Tree, lot: int = 0, lots: int = 1) -> DataFrame:
+    """(doc_id, th, n_tokens, score) of each row (doc_id, th, text); score: the sum over the bytes of the lot."""
     shared = docs.sparkSession.sparkContext.broadcast(tree)
 
     def run(batches):
         for batch in batches:
             for a, b, raw, offsets in tv.slices(batch.column("text")):
                 s, at = stream(raw, offsets)
-                p = shared.value.score(grams(s, at, shared.value.depth + 1))
+                g = grams(s, at, shared.value.depth + 1)
+                own = common.lot_of(g >> np.uint64(8) & np.uint64(0xFFFF), lots) == lot
+                p = np.zeros(len(g))
+                p[own] = shared.value.score(g[own])
                 sums = np.add.reduceat(p, at[:-1])
                 tokens = np.add.reduceat((s == 32) | (s == END), at[:-1], dtype=np.int64) + np.array(np.diff(at) > 1, np.int64)
                 part = batch.slice(a, b - a)
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("th"), pa.array(tokens), pa.array(sums)], ["doc_id", "th", "n_tokens", "score"])
 
-    return docs.mapInArrow(run, "doc_id long, th long, n_tokens long, score double")
+    return docs.select("doc_id", "th", "text").mapInArrow(run, "doc_id long, th long, n_tokens long, score double")
+
+
+def lot_scores(docs: DataFrame, training: DataFrame, depth: int, bits: float) -> DataFrame:
+    """(doc_id, th, n_tokens, score) of each row (doc_id, th, text) by all lots of the tree of the training texts."""
+    out = None
+    for lot, lots, tree in trees(training, depth, bits):
+        got = tree_scores(docs, tree, lot, lots)
+        got = common.cut(got) if lots > 1 else got
+        if out is None:
+            out = got
+            continue
+        more = got.select(F.col("doc_id").alias("_id"), F.col("th").alias("_th"), F.col("score").alias("_s")).dropDuplicates(["_id", "_th"])
+        out = out.join(more, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("th") == F.col("_th")))
+        out = out.select("doc_id", "th", "n_tokens", (F.col("score") + F.col("_s")).alias("score"))
+    return out
 
 
 def word_sums(docs: DataFrame, buckets: int) -> DataFrame:
@@ -332,7 +358,7 @@ def base_sums(docs: DataFrame, buckets: int) -> tuple[DataFrame, int, int]:
     return got.groupBy("slice").applyInPandas(gather, "doc_id long, th long, sums double, known long"), n or 0, v or 0
 
 
-def score_texts(docs: DataFrame, train: Column | None = None, depth: int = 5, p_min: float = 1e-7, bits: float = 2.0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def score_texts(docs: DataFrame, train: Column | None = None, depth: int = 5, bits: float = 2.0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for every row of docs.
 
     train: which rows to learn from (default: is_training of the id).  A null text is an
@@ -346,9 +372,8 @@ def score_texts(docs: DataFrame, train: Column | None = None, depth: int = 5, p_
     sums, n, v = base_sums(rows, common.cells(docs.sparkSession))
     ends = rows.where("train").count()
     n, v = n + ends, v + (ends > 0)
-    tree = fit(rows.where("train"), depth, p_min, bits)
     sums = sums.dropDuplicates(["doc_id", "th"]).withColumnsRenamed({"doc_id": "_id", "th": "_th"})
-    scored = tree_scores(rows, tree)
+    scored = lot_scores(rows, rows.where("train"), depth, bits)
     out = scored.join(sums, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("th") == F.col("_th")))
     return out.select(
         "doc_id",

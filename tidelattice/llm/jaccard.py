@@ -1,10 +1,10 @@
 """N-gram Jaccard join by T-occurrence search with DivideSkip.
 
 A document's inverted lists are ordered from short to long.  With similarity at least
-J, two sets of which one has s members share at least T = ceil(J s) of them.  DivideSkip
-sets the T - k longest lists aside: whoever reaches T must occur at least k times
-in the s - T + k short ones.  Those alone are stored, merged and counted; the long ones are
-probed by binary search for the candidates that are left.
+J, two sets of which one has s members share at least T = ceil(J s) of them, so at least
+one in the s - T + 1 shortest lists of each.  Those alone are stored; one shared key there makes a
+candidate.  Lists are not merged and occurrences not counted, as DivideSkip would: a candidate's whole
+sets are compared by binary search.
 
 List lengths come from a sketch: 2**SKETCH_BITS counters that every
 task adds to, whatever the corpus holds.  Any order that all documents share keeps the result exact;

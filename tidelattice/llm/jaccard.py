@@ -1,14 +1,13 @@
 """N-gram Jaccard join by T-occurrence search with DivideSkip.
 
-A document's inverted lists are ordered from short to long.  With similarity at least
+A document's inverted lists are ordered from short to long by their lengths over all documents.  With similarity at least
 J, two sets of which one has s members share at least T = ceil(J s) of them, so at least
-one in the s - T + 1 shortest lists of each.  Those alone are stored; one shared key there makes a
-candidate.  Lists are not merged and occurrences not counted, as DivideSkip would: a candidate's whole
-sets are compared by binary search.
+one in the s - T + 1 shortest lists of each; these name who can meet (see setjoin), and a document with fewer than T lists
+that anybody else is in meets nobody.  Among those that meet, each document's short lists are merged by a heap, the long
+ones probed by binary search, and those that reach the overlap of their pair link.
 
-List lengths come from a sketch: 2**SKETCH_BITS counters that every
-task adds to, whatever the corpus holds.  Any order that all documents share keeps the result exact;
-a better one only makes short lists shorter.
+List lengths are exact: slices of the input send their packed shingles to buckets of the hash, and get back
+how many documents hold each that two or more do.
 """
 
 from __future__ import annotations
@@ -19,10 +18,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common
+from . import common, setjoin
+from . import passages as ps
 from . import textvec as tv
 
-SKETCH_BITS, SKETCH_PARTS = 18, 32
+#: Bits of a shingle's hash by which lists are told apart before the sets themselves are compared.
+KEY_BITS = 48
+SALTS = (0x2545F4914F6CDD1D, 0x9FB21C651E98DF25)
 
 
 def shingle_sets(raw: np.ndarray, offsets: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -56,141 +58,181 @@ def required(size: np.ndarray | int, percent: int):
     return -(-size * percent // 100)
 
 
-def fingerprints(docs: DataFrame, k: int) -> DataFrame:
-    """(doc_id, n, f1, f2): size of the shingle set and two 64-bit sums that equal sets share."""
-
-    def run(batches):
-        for batch in batches:
-            for a, b, raw, offsets in tv.slices(batch.column("text")):
-                keys, at = shingle_sets(raw, offsets, k)
-                sums = []
-                for salt in (0x2545F4914F6CDD1D, 0x9FB21C651E98DF25):
-                    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(tv.mix(keys ^ np.uint64(salt)), dtype=np.uint64)])
-                    sums.append(pa.array((total[at[1:]] - total[at[:-1]]).view(np.int64)))
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), pa.array(np.diff(at)), *sums], ["doc_id", "n", "f1", "f2"])
-
-    return docs.mapInArrow(run, "doc_id long, n long, f1 long, f2 long")
+class Sets:
+    """The shingle sets of a slice: keys, n + 1 offsets, and two sums that equal sets share."""
 
+    def __init__(self, row, k: int):
+        self.slice, self.s = row["slice"], ps.Slice(row)
+        self.keys, self.at = shingle_sets(self.s.raw, self.s.offsets, k)
+        self.size = np.diff(self.at)
+        self.prints = [self._sum(tv.mix(self.keys ^ np.uint64(x))) for x in SALTS]
 
-def list_lengths(docs: DataFrame, k: int) -> np.ndarray:
-    """The sketch: about how many documents hold a shingle of each hash class."""
-    part = 1 << SKETCH_BITS >> SKETCH_PARTS.bit_length() - 1
+    def _sum(self, x: np.ndarray) -> np.ndarray:
+        total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(x, dtype=np.uint64)])
+        return total[self.at[1:]] - total[self.at[:-1]]
 
-    def run(batches):
-        held = np.zeros(1 << SKETCH_BITS, np.int64)
-        for batch in batches:
-            for _, _, raw, offsets in tv.slices(batch.column("text")):
-                keys, _ = shingle_sets(raw, offsets, k)
-                held += np.bincount((keys >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=1 << SKETCH_BITS)
-        if held.any():
-            yield pa.RecordBatch.from_arrays([pa.array(range(SKETCH_PARTS)), pa.array([held[i * part : (i + 1) * part].tobytes() for i in range(SKETCH_PARTS)])], ["part", "n"])
-
-    # some partial sums first, so that no task adds up the counters of all others
-    rows = docs.select("text").mapInArrow(run, "part long, n binary").withColumn("lot", F.spark_partition_id() % 64)
-    rows = rows.groupBy("part", "lot").applyInPandas(_adder(part), "part long, n binary")
-    got = rows.groupBy("part").applyInPandas(_adder(part), "part long, n binary").collect()  # 2 MB at any size
-    out = np.zeros(1 << SKETCH_BITS, np.int64)
-    for r in got:
-        out[r["part"] * part : (r["part"] + 1) * part] = np.frombuffer(r["n"], np.int64)
-    return out
-
-
-def _adder(part: int):
-    def add(pdf: pd.DataFrame) -> pd.DataFrame:
-        total = np.zeros(part, np.int64)
-        for x in pdf["n"]:
-            total += np.frombuffer(x, np.int64)
-        return pd.DataFrame({"part": pdf["part"].iloc[:1], "n": [total.tobytes()]})
+    def firsts(self) -> np.ndarray:
+        """The first row of each set that is not empty."""
+        order = np.lexsort((np.arange(len(self.size)), self.size, *self.prints))
+        new = np.zeros(len(order), bool)
+        for x in (*self.prints, self.size):
+            new |= tv.changes(x[order])
+        return np.sort(order[new & (self.size[order] > 0)])
 
-    return add
+    def members(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places in keys of the given rows' members, and the row (its place among those given) of each."""
+        n = self.size[rows]
+        own = np.repeat(np.arange(len(rows)), n)
+        return np.repeat(self.at[rows] - np.concatenate([[0], np.cumsum(n)])[:-1], n) + np.arange(int(n.sum())), own
 
 
-def short_lists(docs: DataFrame, lengths: np.ndarray, k: int, percent: int, occur: int) -> DataFrame:
-    """(key, id, n): postings of the s - T + occur shortest lists of each document."""
-    shared = docs.sparkSession.sparkContext.broadcast(lengths.astype(np.int64))
+def fingerprints(slices: DataFrame, k: int) -> DataFrame:
+    """(id, doc_id, n, f1, f2) of every row: its number, the size of its shingle set and two 64-bit sums that equal sets share."""
 
     def run(batches):
         for batch in batches:
-            ids = np.asarray(batch.column("doc_id"))
-            for a, b, raw, offsets in tv.slices(batch.column("text")):
-                keys, at = shingle_sets(raw, offsets, k)
-                size = np.diff(at)
-                doc = np.repeat(np.arange(b - a), size)
-                order = np.lexsort((keys, shared.value[(keys >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)], doc))
-                place = np.arange(len(keys)) - np.repeat(at[:-1], size)
-                need = np.minimum(size, size - required(size, percent) + occur)
-                own = order[place < np.repeat(need, size)]
-                yield pa.RecordBatch.from_arrays([pa.array(keys[own].view(np.int64)), pa.array(ids[a + doc[own]]), pa.array(size[doc[own]])], ["key", "id", "n"])
+            for row in batch.to_pylist():
+                x = Sets(row, k)
+                ids = pa.array(x.s.ids, mask=~x.s.there)
+                number = (x.slice << 20) + np.arange(len(x.size))
+                yield pa.RecordBatch.from_arrays([pa.array(number), ids, pa.array(x.size), *[pa.array(v.view(np.int64)) for v in x.prints]], ["id", "doc_id", "n", "f1", "f2"])
 
-    return docs.mapInArrow(run, "key long, id long, n long")
+    return slices.mapInArrow(run, "id long, doc_id long, n long, f1 long, f2 long")
 
 
-def shingle_table(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
-    """(id, members): the packed shingle sets of the documents whose ids (doc_id) are given."""
-    bits = docs.sparkSession.sparkContext.broadcast(common.bitmap(ids, "doc_id"))
+def list_lengths(slices: DataFrame, k: int, buckets: int) -> DataFrame:
+    """(slice, bucket, keys, n): the slice's shingles (ascending, packed) that two or more documents hold, and how many do; equal sets of a slice count once."""
 
-    def sets(batches):
+    def send(batches):
         for batch in batches:
-            batch = batch.filter(pa.array(common.has_bit(bits.value, np.asarray(batch.column("doc_id")))))
-            for a, b, raw, offsets in tv.slices(batch.column("text")):
-                keys, at = shingle_sets(raw, offsets, k)
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), pa.array([keys[x:y].tobytes() for x, y in zip(at[:-1], at[1:], strict=True)], pa.binary())], ["id", "members"])
+            for row in batch.to_pylist():
+                x = Sets(row, k)
+                at, _ = x.members(x.firsts())
+                keys = np.sort(x.keys[at] >> np.uint64(64 - KEY_BITS))
+                new = np.flatnonzero(tv.changes(keys)) if len(keys) else np.zeros(0, np.int64)
+                keys, n = keys[new], np.diff(np.append(new, len(keys)))
+                rows = {"slice": [], "bucket": [], "keys": [], "n": []}
+                for b, own in enumerate(ps.deal(keys, buckets)):
+                    if len(own):
+                        rows["slice"].append(x.slice)
+                        rows["bucket"].append(b)
+                        rows["keys"].append(tv.squeeze(tv.rising(keys[own])))
+                        rows["n"].append(tv.squeeze(n[own]))
+                yield pa.RecordBatch.from_pydict(rows, schema=pa.schema([("slice", pa.int64()), ("bucket", pa.int32()), ("keys", pa.binary()), ("n", pa.binary())]))
+
+    def add(pdf: pd.DataFrame) -> pd.DataFrame:
+        keys = [np.cumsum(tv.unsqueeze(x), dtype=np.uint64) for x in pdf["keys"]]
+        every = np.concatenate(keys)
+        n = np.concatenate([tv.unsqueeze(x).view(np.int64) for x in pdf["n"]])
+        order = np.argsort(every, kind="stable")
+        new = np.flatnonzero(tv.changes(every[order]))
+        total = np.empty(len(every), np.int64)
+        total[order] = np.repeat(np.add.reduceat(n[order], new), np.diff(np.append(new, len(every))))
+        out, lengths, at = [], [], 0
+        for x in keys:
+            own = total[at : at + len(x)]
+            out.append(tv.squeeze(tv.rising(x[own > 1])))
+            lengths.append(tv.squeeze(own[own > 1]))
+            at += len(x)
+        return pd.DataFrame({"slice": pdf["slice"], "bucket": pdf["bucket"], "keys": out, "n": lengths})
+
+    sent = slices.mapInArrow(send, "slice long, bucket int, keys binary, n binary")
+    return sent.groupBy("bucket").applyInPandas(add, "slice long, bucket int, keys binary, n binary")
 
-    # the bitmap lets a few others through
-    got = docs.mapInArrow(sets, "id long, members binary").join(ids.select(F.col("doc_id").alias("id")), "id", "left_semi")
-    return common.stored(got.groupBy("id").agg(F.max("members").alias("members")))
 
+def required(size: np.ndarray | int, percent: int):
+    """The least overlap of a set of that size with any partner: ceil(J * size)."""
+    return -(-size * percent // 100)
 
-def probe(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose overlap is enough, by binary search of one's members among the other's."""
 
-    def check(batches):
-        for batch in batches:
-            keep = []
-            for x, y in zip(batch.column("xa"), batch.column("xb"), strict=True):
-                x, y = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))
-                if len(x) > len(y):
-                    x, y = y, x
-                at = np.searchsorted(y, x)
-                shared = int((y[np.minimum(at, len(y) - 1)] == x).sum()) if len(y) else 0
-                keep.append(100 * shared >= percent * (len(x) + len(y) - shared) and shared > 0)
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    x = pairs.join(sets.select(F.col("id").alias("a"), F.col("members").alias("xa")), "a")
-    x = x.join(sets.select(F.col("id").alias("b"), F.col("members").alias("xb")), "b")
-    return x.mapInArrow(check, "a long, b long")
-
-
-def jaccard_classes(docs: DataFrame, k: int = 5, percent: int = 80, occur: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_shingles, n_links, component_id: classes of documents linked at similarity percent or more.
-
-    Texts are lower-cased (A-Z) and cut into words [^\\x20\\x09-\\x0D]+.  n_links counts
-    the documents of the same class other than itself.  A document without words has the empty set,
-    no links and its own id as component.  Rows with a null id are left out, as no
-    link can name them; rows that repeat an id are one document, whose set size is the largest.  An empty
-    table gives no rows.
-
-    Equal sets are joined first through their fingerprints, so copies cost one comparison
-    for the group.  Among their representatives links are confirmed in stars (see common.linked): no group is expanded
-    into all its pairs, and no link between different components is lost.
+def candidates(slices: DataFrame, lengths: DataFrame, k: int, percent: int) -> DataFrame:
+    """(id, n, f1, f2, members, short): rows with enough shared lists to have a partner, their sets, and the keys of their short lists that are shared."""
+
+    def find(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for _, row in left.iterrows():
+            x = Sets(row, k)
+            keys = [np.cumsum(tv.unsqueeze(v), dtype=np.uint64) for v in right["keys"]]
+            shared = np.concatenate(keys) if keys else np.zeros(0, np.uint64)
+            n = np.concatenate([tv.unsqueeze(v).view(np.int64) for v in right["n"]]) if keys else np.zeros(0, np.int64)
+            order = np.argsort(shared)
+            shared, n = shared[order], n[order]
+            rows = x.firsts()
+            at, own = x.members(rows)
+            own_keys = x.keys[at] >> np.uint64(64 - KEY_BITS)
+            place = np.minimum(np.searchsorted(shared, own_keys), max(len(shared) - 1, 0))
+            hit = shared[place] == own_keys if len(shared) else np.zeros(len(own_keys), bool)
+            length = np.where(hit, n[place], 1) if len(shared) else np.ones(len(own_keys), np.int64)
+            need = required(x.size[rows], percent)
+            alive = np.bincount(own[hit], minlength=len(rows)) >= need
+            use = alive[own]
+            at, own, own_keys, length = at[use], own[use], own_keys[use], length[use]
+            order = np.lexsort((own_keys, length, own))
+            at, own, own_keys, length = at[order], own[order], own_keys[order], length[order]
+            left_ = np.flatnonzero(alive)
+            size = x.size[rows[left_]]
+            first = np.concatenate([[0], np.cumsum(size)])
+            for i, r in enumerate(left_.tolist()):
+                a, b = int(first[i]), int(first[i + 1])
+                end = a + int(size[i] - need[r] + 1)
+                short = own_keys[a:end][length[a:end] > 1].view(np.int64)
+                out.append(((x.slice << 20) + int(rows[r]), int(size[i]), int(x.prints[0][rows[r]].view(np.int64)), int(x.prints[1][rows[r]].view(np.int64)), x.keys[at[a:b]].tobytes(), short))
+        return pd.DataFrame(out, columns=["id", "n", "f1", "f2", "members", "short"])
+
+    return slices.groupBy("slice").cogroup(lengths.groupBy("slice")).applyInPandas(find, "id long, n long, f1 long, f2 long, members binary, short array<long>")
+
+
+def links_of(percent: int):
+    """Solves a cell: links at a similarity of `percent` or more."""
+
+    def solve(payloads: list[bytes], weights: np.ndarray, side: np.ndarray | None):
+        index = setjoin.Index([np.frombuffer(x, np.uint64) for x in payloads])
+        roots, links = setjoin.Roots(index.n), np.zeros(index.n, np.int64)
+        for q in range(index.n) if side is None else np.flatnonzero(side).tolist():
+            ids, shared = index.search(q, int(required(int(index.size[q]), percent)))
+            use = ids > q if side is None else ~side[ids]
+            ids, shared = ids[use], shared[use]
+            ids = ids[100 * shared >= percent * (index.size[q] + index.size[ids] - shared)]
+            links[q] += weights[ids].sum()
+            links[ids] += weights[q]
+            for i in ids.tolist():
+                roots.join(q, i)
+        return np.array([roots.find(i) for i in range(index.n)], np.int64), links
+
+    return solve
+
+
+def jaccard_classes(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, n_shingles, n_links, component_id for every row of docs: classes of documents linked at similarity percent or more.
+
+    Texts are lower-cased (A-Z) and cut into words [^\\x20\\x09-\\x0D]+.  n_links counts the rows that a row itself links
+    with, copies among them.  A document without words (a null text, too) has the empty set, no links and its own id as
+    component.  Rows that repeat an id are documents of their own.  component_id is the least id of the class that
+    is not null; a row with a null id takes part in links, and has a null component if no row of its class has an id.
+    Columns other than the two are not looked at.  An empty table gives no rows.
+
+    Rows of one set are one record from the start, however many.  What is left is compared in cells (see setjoin): the
+    links of a group of different near copies are all found and counted, and never become rows.
     """
-    docs = common.texts(docs, id_col, text_col).where("doc_id is not null")
-    prints = common.stored(fingerprints(docs, k))
-    groups = prints.where("n > 0").groupBy("f1", "f2", "n").agg(F.min("doc_id").alias("rep"))
-    reps = common.cut(groups.select(F.col("rep").alias("doc_id")).distinct())
-    lengths = list_lengths(docs, k)
-    own = docs.join(reps, "doc_id", "left_semi")
-    postings = short_lists(own, lengths, k, percent, occur)
-    postings = common.stored(postings)
-    # a list with one document names nobody
-    postings = common.stored(common.shared_keys(postings))
-    sets = shingle_table(docs, postings.select(F.col("id").alias("doc_id")).distinct(), k)
-    joined = common.linked(postings, lambda pairs: probe(pairs, sets, percent))
-    classes = groups.join(joined, groups["rep"] == joined["id"], "left").select("f1", "f2", "n", F.coalesce("component", "rep").alias("c"))
-    rows = prints.join(classes, ["f1", "f2", "n"], "left").select("doc_id", "n", F.coalesce("c", "doc_id").alias("c"))
-    rows = rows.groupBy("doc_id").agg(F.max("n").alias("n_shingles"), F.min("c").alias("c"))
-    named = rows.groupBy("c").agg(F.min("doc_id").alias("component_id"), (F.count("*") - 1).alias("n_links"))
-    return rows.join(named, "c").select("doc_id", "n_shingles", "component_id", "n_links")
+    slices = ps.slice_rows(common.texts(docs, id_col, text_col))
+    prints = common.stored(fingerprints(slices, k))
+    lengths = list_lengths(slices, k, common.cells(docs.sparkSession))
+    found = common.stored(candidates(slices, lengths, k, percent))
+    groups = prints.where("n > 0").groupBy("f1", "f2", "n").agg(F.min("doc_id").alias("least"), F.count("*").alias("weight"))
+    reps = found.groupBy("f1", "f2", "n").agg(F.min("id").alias("id"))
+    reps = common.stored(reps.join(groups, ["f1", "f2", "n"]).select("id", "f1", "f2", "n", "weight"))
+    postings = found.join(reps.select("id"), "id", "left_semi").select(F.explode("short").alias("key"), "id")
+    shared = postings.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key")
+    postings = common.stored(postings.join(shared, "key"))
+    records = found.select("id", F.col("members").alias("payload")).join(reps.select("id", "weight"), "id")
+    met = setjoin.classes(setjoin.meet(setjoin.cells(postings), records, links_of(percent)))
+    classes = reps.join(met, "id").select("f1", "f2", "n", F.col("component").alias("class"), "links")
+    of = groups.join(classes, ["f1", "f2", "n"], "left")
+    least = of.where("class is not null").groupBy("class").agg(F.min("least").alias("of_class"))
+    of = of.join(least, "class", "left").select("f1", "f2", "n", F.coalesce("of_class", "least").alias("component_id"), (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"))
+    return prints.join(of, ["f1", "f2", "n"], "left").select(
+        "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links")
+    )
 
 
 def op5_jaccard_divideskip(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -208,7 +250,9 @@ p AS (SELECT doc_id, len(s) AS n, unnest(s) AS g FROM s),
 o AS (SELECT a.doc_id AS a, b.doc_id AS b, a.n AS na, b.n AS nb, count(*) AS k FROM p a JOIN p b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
 e AS (SELECT a, b FROM o WHERE 100 * k >= 90 * (na + nb - k)),
 e2 AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
-r(a, b) AS (SELECT a, b FROM e2 UNION SELECT r.a, e2.b FROM r JOIN e2 ON r.b = e2.a)
-SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, least(s.doc_id, coalesce(min(r.b), s.doc_id)) AS component_id, CAST(greatest(count(r.b), 1) - 1 AS BIGINT) AS n_links
-FROM s LEFT JOIN r ON r.a = s.doc_id GROUP BY s.doc_id, s.s
+r(a, b) AS (SELECT a, b FROM e2 UNION SELECT r.a, e2.b FROM r JOIN e2 ON r.b = e2.a),
+c AS (SELECT a, min(b) AS least FROM r GROUP BY a),
+l AS (SELECT a, count(*) AS links FROM e2 GROUP BY a)
+SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, least(s.doc_id, coalesce(c.least, s.doc_id)) AS component_id, CAST(coalesce(l.links, 0) AS BIGINT) AS n_links
+FROM s LEFT JOIN c ON c.a = s.doc_id LEFT JOIN l ON l.a = s.doc_id
 """

@@ -21,6 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import common
 from . import textvec as tv
 
 #: Seeds are compared by so many bits; a chance match only costs a closer look.
@@ -30,7 +31,8 @@ SEED_BITS = 48
 def slice_rows(docs: DataFrame) -> DataFrame:
     """(slice, ids, there, lens, text): the rows (doc_id, text) of docs in packed slices, in their order.
 
-    Slices are numbered by the input's partitions, which a second run over the same input cuts alike.
+    Slices are numbered as they are cut, which hangs on the splits of this one scan; so they are stored here
+    once, and all that follows reads what was stored, whatever executors come or go.
     """
 
     def run(batches):
@@ -41,10 +43,10 @@ def slice_rows(docs: DataFrame) -> DataFrame:
                 there = np.asarray(ids.is_valid().to_numpy(zero_copy_only=False), np.int64)
                 text = pa.compress(raw.tobytes(), codec="zstd", asbytes=True) if len(raw) else b""
                 packed = [np.asarray(ids.fill_null(0), np.int64).tobytes(), there.tobytes(), np.diff(offsets).astype(np.int64).tobytes(), text]
-                yield pa.RecordBatch.from_arrays([pa.array([f"{task}:{made}"]), *[pa.array([x], pa.binary()) for x in packed]], ["slice", "ids", "there", "lens", "text"])
+                yield pa.RecordBatch.from_arrays([pa.array([task << 20 | made]), *[pa.array([x], pa.binary()) for x in packed]], ["slice", "ids", "there", "lens", "text"])
                 made += 1
 
-    return docs.select("doc_id", "text").mapInArrow(run, "slice string, ids binary, there binary, lens binary, text binary")
+    return common.stored(docs.select("doc_id", "text").mapInArrow(run, "slice long, ids binary, there binary, lens binary, text binary"))
 
 
 class Slice:
@@ -84,7 +86,7 @@ def recurring(slices: DataFrame, seeds_of: Callable[[Slice], np.ndarray], bucket
                         rows["bucket"].append(k)
                         rows["seeds"].append(tv.squeeze(tv.rising(h[own])))
                         rows["twice"].append(np.packbits(twice[own]).tobytes())
-                yield pa.RecordBatch.from_pydict(rows, schema=pa.schema([("slice", pa.string()), ("bucket", pa.int32()), ("seeds", pa.binary()), ("twice", pa.binary())]))
+                yield pa.RecordBatch.from_pydict(rows, schema=pa.schema([("slice", pa.int64()), ("bucket", pa.int32()), ("seeds", pa.binary()), ("twice", pa.binary())]))
 
     def meet(pdf: pd.DataFrame) -> pd.DataFrame:
         h = [np.cumsum(tv.unsqueeze(x), dtype=np.uint64) for x in pdf["seeds"]]
@@ -101,10 +103,10 @@ def recurring(slices: DataFrame, seeds_of: Callable[[Slice], np.ndarray], bucket
             own = again[at : at + len(x)]
             out.append(tv.squeeze(tv.rising(x[own])))
             at += len(x)
-        return pd.DataFrame({"slice": pdf["slice"].astype(object), "bucket": pdf["bucket"], "seeds": out})
+        return pd.DataFrame({"slice": pdf["slice"], "bucket": pdf["bucket"], "seeds": out})
 
-    sent = slices.mapInArrow(send, "slice string, bucket int, seeds binary, twice binary")
-    return sent.groupBy("bucket").applyInPandas(meet, "slice string, bucket int, seeds binary")
+    sent = slices.mapInArrow(send, "slice long, bucket int, seeds binary, twice binary")
+    return sent.groupBy("bucket").applyInPandas(meet, "slice long, bucket int, seeds binary")
 
 
 def unpack_sorted(blobs) -> np.ndarray:

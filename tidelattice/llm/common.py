@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
-from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
@@ -28,12 +28,27 @@ def ascii_lower(text: Column) -> Column:
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
+#: The folder of sessions that run on this machine alone and name none.
+_OWN: list[str] = []
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that spark.checkpoint.dir names; a temporary one of this machine only where all runs on it."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        if not _OWN:
+            _OWN.append(tempfile.mkdtemp(prefix="checkpoints-"))
+        folder = _OWN[0]
+    return folder.rstrip("/")
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Lineage ends here: an eager checkpoint in the folder that spark.checkpoint.dir names."""
     context = df.sparkSession.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoints-"))
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
 
 
@@ -86,59 +101,20 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     return ids.join(roots, "id", "left").select("id", F.coalesce("component", "id").alias("component"))
 
 
-def linked(postings: DataFrame, verify: Callable[[DataFrame], DataFrame], stars: int = 2, prune: Callable[[DataFrame], DataFrame] = lambda pairs: pairs) -> DataFrame:
-    """Components of the relation that verify() decides, over ids that share a key.
-
-    postings (key, id); verify takes distinct pairs (a, b), a < b, and returns those
-    that link.  prune takes pairs as they come and may drop those that verify would not return.  Two star rounds compare each id with one end of each of its lists;
-    what they link needs no further comparison, so that a large group of near copies
-    costs a few comparisons a member.  Then every pair of ids that share a key but
-    are still in different components is compared: nothing is capped or lost.
-    Returns (id, component) of the ids that have links.
-    """
-    postings = stored(postings.distinct())
-    edges = None
-    for step in range(stars):
-        end = F.min("id") if step % 2 == 0 else F.max("id")
-        hub = postings.groupBy("key").agg(end.alias("hub"), F.count("*").alias("n")).where("n > 1").select("key", "hub")
-        spokes = postings.join(hub, "key").where("id <> hub")
-        if step == 0:
-            # one hub for each id first: the least; the others come in the last round
-            pairs = spokes.groupBy("id").agg(F.min("hub").alias("hub"))
-        else:
-            joined = components(edges)
-            pairs = spokes.select("id", "hub").distinct()
-            pairs = _apart(pairs, joined, "id", "hub")
-        pairs = prune(pairs.select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b"))).distinct()
-        found = verify(pairs)
-        edges = cut(found if edges is None else edges.unionByName(found))
-    joined = cut(components(edges))
-    p = postings.join(joined.withColumnRenamed("component", "c"), "id", "left").select("key", "id", F.coalesce("c", "id").alias("c"))
-    torn = p.groupBy("key").agg(F.min("c").alias("x"), F.max("c").alias("y")).where("x <> y").select("key")
-    p = stored(p.join(torn, "key"))
-    left, right = (p.select("key", F.col("id").alias(x), F.col("c").alias(f"c{x}")) for x in "ab")
-    rest = left.join(right, "key").where("a < b and ca <> cb").select("a", "b")
-    rest = prune(rest).distinct()
-    return components(edges.unionByName(verify(rest)))
-
-
-def _apart(pairs: DataFrame, joined: DataFrame, a: str, b: str) -> DataFrame:
-    """Pairs whose ends are in different components so far."""
-    one = joined.select(F.col("id").alias(a), F.col("component").alias("_ca"))
-    two = joined.select(F.col("id").alias(b), F.col("component").alias("_cb"))
-    x = pairs.join(one, a, "left").join(two, b, "left")
-    return x.where(F.coalesce("_ca", a) != F.coalesce("_cb", b)).select(a, b)
-
-
 def stored(df: DataFrame) -> DataFrame:
     """df written as Parquet below the shared checkpoint folder and read again; smaller than a checkpoint for large tables."""
     spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints-")
-    path = f"{folder.rstrip('/')}/{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def sweep(spark: SparkSession) -> None:
+    """Has Spark drop the shuffle files of plans that nobody holds any more, as it would when the driver next collects its garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def gathered(rows: DataFrame, parts: int = 16) -> dict:
     """{(kind, n): (keys, values)} of rows (kind, n, key long, v double) on the driver, as plain arrays.
 
@@ -152,7 +128,7 @@ def gathered(rows: DataFrame, parts: int = 16) -> dict:
 
     packed = rows.withColumn("part", F.pmod(F.xxhash64("key"), F.lit(parts))).groupBy("kind", "n", "part").applyInPandas(pack, "kind string, n int, keys binary, v binary")
     held: dict = {}
-    for r in cut(packed).toLocalIterator():
+    for r in stored(packed).toLocalIterator():
         held.setdefault((r["kind"], r["n"]), []).append((np.frombuffer(r["keys"], np.int64), np.frombuffer(r["v"], np.float64)))
     return {k: tuple(np.concatenate(x) for x in zip(*v, strict=True)) for k, v in held.items()}
 
@@ -184,22 +160,24 @@ def model_lots(rows: DataFrame, symbol_bits: int, least: int, most: int = 0):
         yield lot, lots, rows.where(F.col("lot").isNull() | (F.col("lot") == lot)).drop("lot")
 
 
-#: Bits of a bitmap: two megabytes, whatever it holds; a fuller one only lets more rows through to the join behind it.
-BITMAP_BITS, BITMAP_PARTS = 24, 16
+#: Bits of a bitmap: eight for each number, but 32 megabytes at most, whatever it holds; a fuller one only lets more rows through to the join behind it.
+BITMAP_LEAST, BITMAP_MOST, BITMAP_PARTS = 16, 28, 16
 
 
-def _bit(x: np.ndarray) -> np.ndarray:
-    return (tv.mix(x.view(np.uint64)) >> np.uint64(64 - BITMAP_BITS)).astype(np.int64)
+def _bit(x: np.ndarray, bits: int) -> np.ndarray:
+    return (tv.mix(x.view(np.uint64)) >> np.uint64(64 - bits)).astype(np.int64)
 
 
 def bitmap(keys: DataFrame, column: str) -> np.ndarray:
     """A bit for the hash of each number in a column; bounded, so that it can go to all tasks."""
-    part = 1 << BITMAP_BITS >> 3 >> BITMAP_PARTS.bit_length() - 1
+    keys = stored(keys.where(F.col(column).isNotNull()).select(F.col(column).cast("long")))
+    bits = min(BITMAP_MOST, max(BITMAP_LEAST, (8 * keys.count()).bit_length()))
+    part = 1 << bits >> 3 >> BITMAP_PARTS.bit_length() - 1
 
     def run(batches):
-        held = np.zeros(1 << BITMAP_BITS, bool)
+        held = np.zeros(1 << bits, bool)
         for batch in batches:
-            held[_bit(np.asarray(batch.column(0)))] = True
+            held[_bit(np.asarray(batch.column(0)), bits)] = True
         packed = np.packbits(held)
         pieces = [(i, packed[i * part : (i + 1) * part]) for i in range(BITMAP_PARTS)]
         pieces = [(i, x) for i, x in pieces if x.any()]
@@ -212,30 +190,14 @@ def bitmap(keys: DataFrame, column: str) -> np.ndarray:
             out |= np.frombuffer(x, np.uint8)
         return pd.DataFrame({"part": pdf["part"].iloc[:1], "bits": [out.tobytes()]})
 
-    rows = keys.where(F.col(column).isNotNull()).select(F.col(column).cast("long")).mapInArrow(run, "part int, bits binary").withColumn("lot", F.spark_partition_id() % 32)
+    rows = keys.mapInArrow(run, "part int, bits binary").withColumn("lot", F.spark_partition_id() % 32)
     rows = rows.groupBy("part", "lot").applyInPandas(lambda pdf: either(pdf), "part int, bits binary")
-    out = np.zeros(1 << BITMAP_BITS >> 3, np.uint8)
+    out = np.zeros(1 << bits >> 3, np.uint8)
     for r in rows.groupBy("part").applyInPandas(lambda pdf: either(pdf), "part int, bits binary").collect():
         out[r["part"] * part : (r["part"] + 1) * part] = np.frombuffer(r["bits"], np.uint8)
     return out
 
 
 def has_bit(bits: np.ndarray, x: np.ndarray) -> np.ndarray:
-    at = _bit(x)
+    at = _bit(x, (len(bits) << 3).bit_length() - 1)
     return (bits[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1).astype(bool)
-
-
-def shared_keys(postings: DataFrame) -> DataFrame:
-    """Postings (key, id) whose key has two or more ids.
-
-    The ends of lists are combined before the shuffle; the bitmap keeps most postings that stand alone from being shuffled a second time.
-    """
-    twice = stored(postings.groupBy("key").agg(F.min("id").alias("x"), F.max("id").alias("y")).where("x < y").select("key"))
-    bits = postings.sparkSession.sparkContext.broadcast(bitmap(twice, "key"))
-
-    def run(batches):
-        for batch in batches:
-            yield batch.filter(pa.array(has_bit(bits.value, np.asarray(batch.column(0)))))
-
-    near = postings.select("key", "id").mapInArrow(run, "key long, id long")
-    return near.join(twice, "key").select("key", "id")

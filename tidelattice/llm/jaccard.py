@@ -186,18 +186,16 @@ def links_of(percent: int):
     """Solves a cell: links at a similarity of `percent` or more."""
 
     def solve(payloads: list[bytes], weights: np.ndarray, side: np.ndarray | None):
-        index = setjoin.Index([np.frombuffer(x, np.uint64) for x in payloads])
-        roots, links = setjoin.Roots(index.n), np.zeros(index.n, np.int64)
-        for q in range(index.n) if side is None else np.flatnonzero(side).tolist():
-            ids, shared = index.search(q, int(required(int(index.size[q]), percent)))
-            use = ids > q if side is None else ~side[ids]
-            ids, shared = ids[use], shared[use]
-            ids = ids[100 * shared >= percent * (index.size[q] + index.size[ids] - shared)]
+        records = [np.frombuffer(x, np.uint64) for x in payloads]
+        size = np.array([len(x) for x in records], np.int64)
+        roots, links = setjoin.Roots(len(records)), np.zeros(len(records), np.int64)
+        for q, ids, shared in setjoin.searches(records, side, lambda n: int(required(n, percent))):
+            ids = ids[100 * shared >= percent * (size[q] + size[ids] - shared)]
             links[q] += weights[ids].sum()
             links[ids] += weights[q]
             for i in ids.tolist():
                 roots.join(q, i)
-        return np.array([roots.find(i) for i in range(index.n)], np.int64), links
+        return np.array([roots.find(i) for i in range(len(records))], np.int64), links
 
     return solve
 

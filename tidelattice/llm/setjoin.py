@@ -53,17 +53,15 @@ def merge_skip(lists: list[list[int]], need: int):
 
 
 class Index:
-    """The inverted lists of the records of a cell; a record is an array of distinct keys."""
+    """The inverted lists of some records; a record is an array of distinct keys."""
 
     def __init__(self, records: list[np.ndarray]):
         self.n = len(records)
         self.size = np.array([len(x) for x in records], np.int64)
         every = np.concatenate(records) if records else np.zeros(0, np.uint64)
-        _, key = np.unique(every, return_inverse=True)
-        of = np.repeat(np.arange(self.n), self.size)
-        self.keys = np.split(key, np.cumsum(self.size)[:-1])
-        entries = np.sort(key * self.n + of)
-        self.entries, self.length = entries, np.bincount(key, minlength=1)
+        self.names, key = np.unique(every, return_inverse=True)
+        self.entries = np.sort(key * self.n + np.repeat(np.arange(self.n), self.size))
+        self.length = np.bincount(key, minlength=1)
         self.first = np.concatenate([[0], np.cumsum(self.length)])
         self.held: dict[int, list[int]] = {}
 
@@ -72,32 +70,48 @@ class Index:
             self.held[key] = (self.entries[self.first[key] : self.first[key + 1]] - key * self.n).tolist()
         return self.held[key]
 
-    def search(self, q: int, least: int) -> tuple[np.ndarray, np.ndarray]:
-        """(records, overlap): all records that share `least` keys or more with record q, itself among them.
+    def search(self, query: np.ndarray, least: int, alone: int = 0) -> tuple[np.ndarray, np.ndarray]:
+        """(records, overlap): all records that share `least` keys or more with the query; lists of up to `alone` records are its own.
 
-        The lists of q's keys are ordered by length.  The L longest are only probed, the others merged: a result is
+        The lists of the query's keys are ordered by length.  The L longest are only probed, the others merged: a result is
         in least - L of those at least.
         """
-        keys = self.keys[q]
+        none = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        if not len(self.names):
+            return none
+        keys = np.minimum(np.searchsorted(self.names, query), len(self.names) - 1)
+        keys = keys[self.names[keys] == query]
         keys = keys[np.argsort(self.length[keys], kind="stable")]
-        most = int(self.length[keys[-1]]) if len(keys) else 0
-        if most < 2 or int((self.length[keys] > 1).sum()) < least:
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        n_long = min(least - 1, int(least / (MU * np.log2(most) + 1)))
+        if int((self.length[keys] > alone).sum()) < least:
+            return none
+        n_long = min(least - 1, int(least / (MU * np.log2(max(2, int(self.length[keys[-1]]))) + 1)))
         short, long_ = keys[: len(keys) - n_long], keys[len(keys) - n_long :]
         found = list(merge_skip([self.list_of(k) for k in short.tolist()], least - n_long))
         if not found:
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+            return none
         ids, n = np.array(found, np.int64).T
-        step = max(1, (1 << 21) // max(1, len(long_)))
-        for a in range(0, len(ids), step):
+        step = max(1, (1 << 21) // max(1, n_long))
+        for a in range(0, len(ids) if n_long else 0, step):
             want = (long_[:, None] * self.n + ids[None, a : a + step]).ravel()
             place = np.minimum(np.searchsorted(self.entries, want), len(self.entries) - 1)
-            n[a : a + step] += (self.entries[place] == want).reshape(len(long_), -1).sum(axis=0)
+            n[a : a + step] += (self.entries[place] == want).reshape(n_long, -1).sum(axis=0)
         enough = n >= least
         return ids[enough], n[enough]
 
 
+def searches(records: list[np.ndarray], side: np.ndarray | None, least: Callable[[int], int]):
+    """(q, ids, overlap): for each record q of a cell those it shares least(q's size) keys or more with, each pair once."""
+    held = np.arange(len(records)) if side is None else np.flatnonzero(~side)
+    index = Index([records[i] for i in held.tolist()])
+    for q in range(len(records)) if side is None else np.flatnonzero(side).tolist():
+        ids, n = index.search(records[q], least(len(records[q])), 1 if side is None else 0)
+        ids = held[ids]
+        if side is None:
+            later = ids > q
+            ids, n = ids[later], n[later]
+        yield q, ids, n
+
+
 class Roots:
     """Connected groups of the records of a cell."""
 

@@ -69,24 +69,30 @@ def deal(h: np.ndarray, buckets: int) -> list[np.ndarray]:
     return np.split(order, np.searchsorted(b[order], np.arange(1, buckets)))
 
 
-def recurring(slices: DataFrame, seeds_of: Callable[[Slice], np.ndarray], buckets: int) -> DataFrame:
-    """(slice, bucket, seeds): the slice's seeds (ascending, packed) that occur twice or more in all."""
+def recurring(slices: DataFrame, seeds_of: Callable[[Slice], tuple[np.ndarray, np.ndarray]], buckets: int) -> DataFrame:
+    """(slice, bucket, seeds, letters): the slice's seeds (ascending, packed) that occur twice or more in all, and what they spell.
+
+    seeds_of gives the hash of each seed and a row of bytes for each, of one width (none, if nobody needs them).
+    """
 
     def send(batches):
         for batch in batches:
             for row in batch.to_pylist():
-                h = np.sort(seeds_of(Slice(row)))
-                new = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])) if len(h) else np.zeros(0, np.int64)
+                h, letters = seeds_of(Slice(row))
+                order = np.argsort(h, kind="stable")
+                h = h[order]
+                new = np.flatnonzero(tv.changes(h)) if len(h) else np.zeros(0, np.int64)
                 twice = np.diff(np.append(new, len(h))) > 1
-                h = h[new]
-                rows = {"slice": [], "bucket": [], "seeds": [], "twice": []}
+                h, letters = h[new], letters[order[new]]
+                rows = {"slice": [], "bucket": [], "seeds": [], "twice": [], "letters": []}
                 for k, own in enumerate(deal(h, buckets)):
                     if len(own):
                         rows["slice"].append(row["slice"])
                         rows["bucket"].append(k)
                         rows["seeds"].append(tv.squeeze(tv.rising(h[own])))
                         rows["twice"].append(np.packbits(twice[own]).tobytes())
-                yield pa.RecordBatch.from_pydict(rows, schema=pa.schema([("slice", pa.int64()), ("bucket", pa.int32()), ("seeds", pa.binary()), ("twice", pa.binary())]))
+                        rows["letters"].append(letters[own].tobytes())
+                yield pa.RecordBatch.from_pydict(rows, schema=pa.schema([("slice", pa.int64()), ("bucket", pa.int32()), *[(x, pa.binary()) for x in ("seeds", "twice", "letters")]]))
 
     def meet(pdf: pd.DataFrame) -> pd.DataFrame:
         h = [np.cumsum(tv.unsqueeze(x), dtype=np.uint64) for x in pdf["seeds"]]
@@ -98,15 +104,16 @@ def recurring(slices: DataFrame, seeds_of: Callable[[Slice], np.ndarray], bucket
         again[order[1:][same]] = True
         again[order[:-1][same]] = True
         # a seed that one slice has twice recurs in every slice that has it: equal neighbours are flagged above
-        out, at = [], 0
-        for x in h:
+        out, letters, at = [], [], 0
+        for x, y in zip(h, pdf["letters"], strict=True):
             own = again[at : at + len(x)]
             out.append(tv.squeeze(tv.rising(x[own])))
+            letters.append(np.frombuffer(y, np.uint8).reshape(len(x), -1)[own].tobytes())
             at += len(x)
-        return pd.DataFrame({"slice": pdf["slice"], "bucket": pdf["bucket"], "seeds": out})
+        return pd.DataFrame({"slice": pdf["slice"], "bucket": pdf["bucket"], "seeds": out, "letters": letters})
 
-    sent = slices.mapInArrow(send, "slice long, bucket int, seeds binary, twice binary")
-    return sent.groupBy("bucket").applyInPandas(meet, "slice long, bucket int, seeds binary")
+    sent = slices.mapInArrow(send, "slice long, bucket int, seeds binary, twice binary, letters binary")
+    return sent.groupBy("bucket").applyInPandas(meet, "slice long, bucket int, seeds binary, letters binary")
 
 
 def unpack_sorted(blobs) -> np.ndarray:

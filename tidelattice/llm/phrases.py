@@ -1,9 +1,9 @@
 """Substring deduplication by repeated-phrase automata.
 
-Recurring passages are confirmed by their seeds (see passages); each slice of the documents
-gets an Aho-Corasick automaton of the recurring seeds that concern it, and every document of the slice is
-streamed through it to locate all occurrences.  Around them the windows are hashed; the
-first occurrence of each in the corpus stays, the words of all others go.
+Phrases that recur are found by seeds (see passages): buckets of the seeds' hash tell each slice of the documents
+the words of those of its phrases that recur anywhere.  They are the patterns of the slice's Aho-Corasick automaton, one letter a word; every document of the
+slice is streamed through it, and its matches alone say where a window can recur.  Windows around them are compared over the
+corpus by 96 bits of hash; the first occurrence of each stays, the words of all others go.
 """
 
 from __future__ import annotations
@@ -20,6 +20,11 @@ from . import passages as ps
 from . import textvec as tv
 
 
+def _string(letters: np.ndarray) -> str:
+    """A character for each letter, above those that UTF-16 keeps for itself."""
+    return (letters.astype("<u4") + 0x10000).tobytes().decode("utf-32-le")
+
+
 class Phrases:
     """The words, seeds and windows of a slice."""
 
@@ -39,30 +44,29 @@ class Phrases:
         """Two bytes of hash for each word."""
         return (self.w.hash & np.uint64(0xFFFF)).astype(np.uint16)
 
-    def located(self, recurring: np.ndarray) -> np.ndarray:
-        """Whether a recurring seed starts at each word, by streaming the texts through the automaton."""
-        here = self.seed_places()
-        here = here[ps.member(self.g[here], recurring)]
-        _, first = np.unique(self.g[here], return_index=True)
+    def spelled(self, at: np.ndarray) -> np.ndarray:
+        """The letters of the seeds at these places, a row of bytes for each."""
+        return self.letters()[at[:, None] + np.arange(self.seed)].view(np.uint8).reshape(len(at), 2 * self.seed)
+
+    def located(self, phrases: set[bytes]) -> np.ndarray:
+        """Whether one of the phrases starts at each word, by streaming the texts through their automaton."""
         out = np.zeros(len(self.w.hash) + 1, bool)
-        if not len(first):
+        if not phrases:
             return out
-        text, k = self.letters().tobytes(), self.seed
         machine = ahocorasick.Automaton(ahocorasick.STORE_INTS)
-        for at in here[first].tolist():
-            machine.add_word(text[2 * at : 2 * (at + k)].decode("latin-1"), 1)
+        for x in phrases:
+            machine.add_word(_string(np.frombuffer(x, np.uint16)), 1)
         machine.make_automaton()
+        letters = self.letters()
         for a, b in zip(self.w.first[:-1].tolist(), self.w.first[1:].tolist(), strict=True):
-            ends = [e for e, _ in machine.iter(text[2 * a : 2 * b].decode("latin-1"))]
-            if ends:
-                ends = np.array(ends, np.int64)
-                out[a + (ends[ends & 1 == 1] >> 1) - k + 1] = True
-        at = np.flatnonzero(out[: len(self.g)])
-        out[at] = ps.member(self.g[at], recurring)  # two bytes a word are a filter
+            if b - a >= self.window:
+                ends = [e for e, _ in machine.iter(_string(letters[a:b]))]
+                out[np.array(ends, np.int64) + (a - self.seed + 1)] = True
         return out
 
-    def windows(self, starts: np.ndarray) -> np.ndarray:
+    def windows(self, starts: np.ndarray, salt: int = 0) -> np.ndarray:
         h, k = self.w.hash, self.window
+        h = tv.mix(h ^ np.uint64(0x9FB21C651E98DF25)) if salt else h
         sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(h * tv.powers(len(h)), dtype=np.uint64)])
         return tv.mix((sums[starts + k] - sums[starts]) * tv.powers(len(h) + 1, tv.INV)[starts])
 
@@ -77,57 +81,59 @@ class Phrases:
         return h, ids, begin, order, new
 
 
-def drop_repeats(docs: DataFrame, window: int = 20, seed: int = 6, settle: bool = True, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def drop_repeats(docs: DataFrame, window: int = 20, seed: int = 6, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_words, n_removed, kept for every row of docs.
 
     Words are [^\\x20\\x09-\\x0D]+, unchanged.  A word goes if a window of so many words of its
     document covers it whose word sequence also starts earlier: in a document with a smaller
     id, or earlier in the same document.  kept: the words that stay, joined by one space.
     A null text has no words.  A row with a null id keeps all its words and takes none from others; rows
-    that repeat an id take nothing from each other.  An empty table gives no rows.
-
-    The input is read three times and must be cut and ordered alike each time; settle stores it once
-    for that.  A plain scan of files needs no settling.
+    that repeat an id take nothing from each other.  Other columns are not looked at.  An empty table gives no rows.
     """
     docs = common.texts(docs, id_col, text_col)
     buckets = common.cells(docs.sparkSession)
-    slices = common.stored(ps.slice_rows(docs)) if settle else ps.slice_rows(docs)
+    slices = ps.slice_rows(docs)
 
-    def seeds_of(s: ps.Slice) -> np.ndarray:
+    def seeds_of(s: ps.Slice) -> tuple[np.ndarray, np.ndarray]:
         x = Phrases(s, window, seed)
-        return x.g[x.seed_places()]
+        at = x.seed_places()
+        return x.g[at], x.spelled(at)
 
     seeds = common.stored(ps.recurring(slices, seeds_of, buckets))
 
     def locate(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        rows = {"slice": [], "bucket": [], "h": [], "id": []}
+        rows = {"slice": [], "bucket": [], "h": [], "more": [], "id": []}
         for _, row in left.iterrows():
             x = Phrases(ps.Slice(row), window, seed)
-            at = x.located(ps.unpack_sorted(right["seeds"]))
+            phrases = {v[i : i + 2 * seed] for v in right["letters"] for i in range(0, len(v), 2 * seed)}
+            at = x.located(phrases)
             starts = x.starts[at[x.place]]
             h, ids, _, order, new = x.order(starts)
             own = order[new]
+            more = x.windows(starts[own], 1) >> np.uint64(32)
             h, ids = h[own], ids[own]
             for k, part in enumerate(ps.deal(h, buckets)):
                 if len(part):
                     rows["slice"].append(row["slice"])
                     rows["bucket"].append(k)
                     rows["h"].append(tv.squeeze(tv.rising(h[part])))
+                    rows["more"].append(tv.squeeze(more[part]))
                     rows["id"].append(tv.squeeze(ids[part]))
-        return pd.DataFrame(rows, dtype=object)
+        return pd.DataFrame(rows)
 
     def first(pdf: pd.DataFrame) -> pd.DataFrame:
         h = [np.cumsum(tv.unsqueeze(x), dtype=np.uint64) for x in pdf["h"]]
         every, ids = np.concatenate(h), np.concatenate([tv.unsqueeze(x).view(np.int64) for x in pdf["id"]])
-        order = np.lexsort((ids, every))
-        new = np.concatenate([[True], every[order][1:] != every[order][:-1]])
+        more = np.concatenate([tv.unsqueeze(x) for x in pdf["more"]])
+        order = np.lexsort((ids, more, every))
+        new = tv.changes(every[order]) | tv.changes(more[order])
         least = np.empty(len(every), np.int64)
         least[order] = ids[order][new][np.cumsum(new) - 1]
         late, out, at = ids > least, [], 0
         for x in h:
             out.append(tv.squeeze(tv.rising(x[late[at : at + len(x)]])))
             at += len(x)
-        return pd.DataFrame({"slice": pdf["slice"].astype(object), "late": out})
+        return pd.DataFrame({"slice": pdf["slice"], "late": out})
 
     def remove(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         out = []
@@ -164,13 +170,13 @@ def drop_repeats(docs: DataFrame, window: int = 20, seed: int = 6, settle: bool
         return pd.concat(out) if out else pd.DataFrame({"doc_id": [], "n_words": [], "n_removed": [], "kept": []}, dtype=object)
 
     by = slices.groupBy("slice")
-    found = by.cogroup(seeds.groupBy("slice")).applyInPandas(locate, "slice string, bucket int, h binary, id binary")
-    late = found.groupBy("bucket").applyInPandas(first, "slice string, late binary")
+    found = by.cogroup(seeds.groupBy("slice")).applyInPandas(locate, "slice long, bucket int, h binary, more binary, id binary")
+    late = found.groupBy("bucket").applyInPandas(first, "slice long, late binary")
     return by.cogroup(late.groupBy("slice")).applyInPandas(remove, "doc_id long, n_words long, n_removed long, kept string")
 
 
 def op7_phrase_automata(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = drop_repeats(common.table(spark, sf_dir, "documents"), settle=False)
+    out = drop_repeats(common.table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 

@@ -1,7 +1,7 @@
 """Suffix-array deduplication with deep-shallow sorting.
 
 Only suffixes that start a window whose seed recurs (see passages) can repeat; they are sorted in
-the bucket of their seed.  Multikey quicksort orders them by symbols of eight bytes to a shallow
+the bucket of their seed, those of equal pieces of text once.  Multikey quicksort orders them by symbols of eight bytes to a shallow
 depth; what still is together shares a long prefix, and blind tries order those
 groups to the full depth.  Equal suffixes then stand together, and the least document id among
 them decides which occurrences go.
@@ -20,16 +20,59 @@ from . import passages as ps
 from . import textvec as tv
 
 
-def symbols(buf: np.ndarray, starts: np.ndarray, depth: int, length: int) -> np.ndarray:
-    """Eight bytes at depth of each suffix as one number, zeros beyond its length."""
-    out = np.zeros(len(starts), np.uint64)
-    for k in range(8):
-        out <<= np.uint64(8)
-        if depth + k < length:
-            out |= buf[starts + (depth + k)].astype(np.uint64)
+def symbols(buf: np.ndarray) -> np.ndarray:
+    """The eight bytes that start at each place as one number, zeros beyond the end."""
+    out = np.zeros(len(buf), np.uint64)
+    for k in range(min(8, len(buf))):
+        out[: len(buf) - k] |= buf[k:].astype(np.uint64) << np.uint64(56 - 8 * k)
     return out
 
 
+def multikey_quicksort(sym: np.ndarray, starts: np.ndarray, length: int, depth_most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Order of the suffixes by their first symbols up to a depth, and for each place in it whether it differs from the one before.
+
+    Every group is split three ways at a pivot symbol: the lesser, the equal, of which the next symbol counts from then on, and
+    the greater; all groups of a round are split at once.
+    """
+    order = np.arange(len(starts))
+    new = np.zeros(len(starts) + 1, bool)
+    new[[0, -1]] = True
+    first, size, depth = np.array([0]), np.array([len(starts)]), np.array([0])
+    while True:
+        open_ = (size > 1) & (depth < min(depth_most, length))
+        first, size, depth = first[open_], size[open_], depth[open_]
+        if not len(first):
+            return order, new[:-1]
+        begin = np.cumsum(size) - size
+        group = np.repeat(np.arange(len(first)), size)
+        place = np.arange(len(group)) + (first - begin)[group]
+        own = order[place]
+        x = sym[starts[own] + depth[group]]
+        short = length - depth < 8  # a last symbol of fewer bytes
+        if short.any():
+            cut = np.where(short, 64 - 8 * (length - depth), 0).astype(np.uint64)[group]
+            x = x >> cut << cut
+        three = np.sort(np.stack([x[begin], x[begin + size // 2], x[begin + size - 1]]), axis=0)
+        pivot = three[1][group]
+        side = (x > pivot).astype(np.int8) + (x >= pivot)
+        key = group * 3 + side
+        many = np.bincount(key, minlength=3 * len(first))
+        to = np.cumsum(many) - many
+        at = np.empty(len(x), np.int64)
+        for k in range(3):
+            mine = np.flatnonzero(side == k)
+            rank = np.arange(len(mine))
+            before = np.cumsum(many[k::3]) - many[k::3]
+            at[mine] = to[key[mine]] + rank - before[group[mine]]
+        moved = np.empty_like(own)
+        moved[at] = own
+        order[place] = moved
+        first = (to + np.repeat(first - begin, 3))[many > 0]
+        new[first] = True
+        depth = (np.repeat(depth, 3) + np.tile([0, 8, 0], len(many) // 3))[many > 0]
+        size = many[many > 0]
+
+
 class _Node:
     __slots__ = ("skip", "next", "leaf")
 
@@ -82,28 +125,17 @@ def blind_trie(strings: list[bytes]) -> list[list[int]]:
 
 def deep_shallow(buf: np.ndarray, starts: np.ndarray, length: int, shallow: int = 24) -> tuple[np.ndarray, np.ndarray]:
     """Order of the suffixes buf[start : start + length], and for each place in it whether it differs from the one before."""
-    order = np.arange(len(starts))
-    new = np.zeros(len(starts), bool)
-    new[:1] = True
-    depth = 0
-    while depth < min(shallow, length) and len(order):
-        # groups of one are done; the others are split by their next symbol
-        group = np.cumsum(new) - 1
-        open_ = np.flatnonzero(np.bincount(group)[group] > 1)
-        if not len(open_):
-            return order, new
-        sym = symbols(buf, starts[order[open_]], depth, length)
-        by = np.lexsort((sym, group[open_]))
-        order[open_] = order[open_][by]
-        sym, own = sym[by], group[open_][by]
-        new[open_] |= np.concatenate([[True], (sym[1:] != sym[:-1]) | (own[1:] != own[:-1])])
-        depth += 8
+    if not len(starts):
+        return np.zeros(0, np.int64), np.zeros(0, bool)
+    sym = symbols(buf)
+    order, new = multikey_quicksort(sym, starts, length, shallow)
     group = np.cumsum(new) - 1
-    head = order[new][group] if len(order) else order
+    head = order[new][group]
     # deep: groups whose members all equal the first need no trie
-    differs = np.zeros(len(order), bool)
+    differs, depth = np.zeros(len(order), bool), -(-min(shallow, length) // 8) * 8
     while depth < length:
-        differs |= symbols(buf, starts[order], depth, length) != symbols(buf, starts[head], depth, length)
+        cut = np.uint64(max(0, 64 - 8 * (length - depth)))
+        differs |= (sym[starts[order] + depth] >> cut) != (sym[starts[head] + depth] >> cut)
         depth += 8
     firsts = np.append(np.flatnonzero(new), len(order))
     for k in np.unique(group[differs]).tolist():
@@ -117,6 +149,18 @@ def deep_shallow(buf: np.ndarray, starts: np.ndarray, length: int, shallow: int
     return order, new
 
 
+def same_pieces(buf: np.ndarray, begin: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """For each piece buf[begin : begin + n], pieces back to back, the first one that equals it."""
+    local = np.arange(len(buf)) - np.repeat(begin, n)
+    h = tv.mix(np.add.reduceat(tv.BYTE[buf] * tv.powers(int(n.max()))[local], begin) + n.astype(np.uint64))
+    _, one, which = np.unique(h, return_index=True, return_inverse=True)
+    of = one[which]
+    of = np.where(n[of] == n, of, np.arange(len(n)))
+    # equal in hash is not yet equal
+    differs = np.add.reduceat(buf != buf[np.repeat(begin[of], n) + local], begin, dtype=np.int64) > 0
+    return np.where(differs, np.arange(len(n)), of)
+
+
 class Contexts:
     """The windows of a slice whose seeds recur, as pieces of text around each seed, equal pieces once."""
 
@@ -160,19 +204,24 @@ class Contexts:
         return {"bucket": k[other], "begin": begin[head], "count": count[head], "id": least}
 
 
-def drop_repeats(docs: DataFrame, length: int = 50, seed: int = 20, settle: bool = True, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def drop_repeats(docs: DataFrame, length: int = 50, seed: int = 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept (binary) for every row of docs.
 
     A byte of the UTF-8 text goes if a string of so many bytes covers it that also
     starts in a document with a smaller id; strings never cross documents.  n_spans counts the
     maximal removed runs; kept are the bytes that stay.  A null text is empty.  A row with a
     null id keeps all its bytes and takes none from others; rows that repeat an id take nothing from each
-    other.  An empty table gives no rows.  settle: as for phrases.
+    other.  Other columns are not looked at.  An empty table gives no rows.
     """
     docs = common.texts(docs, id_col, text_col)
     buckets = 4 * common.cells(docs.sparkSession)  # a bucket is sorted whole in one task
-    slices = common.stored(ps.slice_rows(docs)) if settle else ps.slice_rows(docs)
-    seeds = common.stored(ps.recurring(slices, lambda s: Contexts(s, length, seed).seeds(), buckets))
+    slices = ps.slice_rows(docs)
+
+    def seeds_of(s: ps.Slice) -> tuple[np.ndarray, np.ndarray]:
+        h = Contexts(s, length, seed).seeds()
+        return h, np.zeros((len(h), 0), np.uint8)
+
+    seeds = common.stored(ps.recurring(slices, seeds_of, buckets).drop("letters"))
 
     def pieces(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         rows = {"slice": [], "bucket": [], "text": [], "count": [], "id": []}
@@ -189,7 +238,7 @@ def drop_repeats(docs: DataFrame, length: int = 50, seed: int = 20, settle: bool
                 rows["text"].append(pa.compress(x.s.raw[src].tobytes(), codec="zstd", asbytes=True))
                 rows["count"].append(tv.squeeze(count))
                 rows["id"].append(tv.squeeze(p["id"][own]))
-        return pd.DataFrame(rows, dtype=object)
+        return pd.DataFrame(rows)
 
     def order(pdf: pd.DataFrame) -> pd.DataFrame:
         counts = [tv.unsqueeze(x).view(np.int64) for x in pdf["count"]]
@@ -197,18 +246,24 @@ def drop_repeats(docs: DataFrame, length: int = 50, seed: int = 20, settle: bool
         n = count + length - 1
         sizes = [int((x + length - 1).sum()) for x in counts]
         buf = np.concatenate([np.frombuffer(pa.decompress(x, k, codec="zstd", asbytes=True), np.uint8) for x, k in zip(pdf["text"], sizes, strict=True)])
-        ids = np.repeat(np.concatenate([tv.unsqueeze(x).view(np.int64) for x in pdf["id"]]), count)
+        ids = np.concatenate([tv.unsqueeze(x).view(np.int64) for x in pdf["id"]])
         begin = np.concatenate([[0], np.cumsum(n)])[:-1]
-        starts = np.repeat(begin - np.concatenate([[0], np.cumsum(count)])[:-1], count) + np.arange(int(count.sum()))
+        of = same_pieces(buf, begin, n)
+        np.minimum.at(ids, of, ids.copy())
+        own = np.flatnonzero(of == np.arange(len(of)))
+        base = np.zeros(len(of), np.int64)
+        base[own] = np.cumsum(count[own]) - count[own]
+        starts = np.repeat(begin[own] - base[own], count[own]) + np.arange(int(count[own].sum()))
         by, new = deep_shallow(buf, starts, length)
-        least = np.empty(len(starts), np.int64)
-        least[by] = np.repeat(np.minimum.reduceat(ids[by], np.flatnonzero(new)), np.diff(np.append(np.flatnonzero(new), len(by))))
+        once = np.empty(len(starts), np.int64)
+        once[by] = np.repeat(np.minimum.reduceat(np.repeat(ids[own], count[own])[by], np.flatnonzero(new)), np.diff(np.append(np.flatnonzero(new), len(by))))
+        least = once[np.repeat(base[of] - (np.cumsum(count) - count), count) + np.arange(int(count.sum()))]
         out, at = [], 0
         for x in counts:
             m = int(x.sum())
             out.append(tv.squeeze(np.diff(least[at : at + m], prepend=np.int64(0))))
             at += m
-        return pd.DataFrame({"slice": pdf["slice"].astype(object), "bucket": pdf["bucket"], "least": out})
+        return pd.DataFrame({"slice": pdf["slice"], "bucket": pdf["bucket"], "least": out})
 
     def remove(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         out = []
@@ -237,13 +292,13 @@ def drop_repeats(docs: DataFrame, length: int = 50, seed: int = 20, settle: bool
         return pd.concat(out) if out else pd.DataFrame({"doc_id": [], "n_bytes": [], "n_removed": [], "n_spans": [], "kept": []}, dtype=object)
 
     by = slices.groupBy("slice")
-    sent = by.cogroup(seeds.groupBy("slice")).applyInPandas(pieces, "slice string, bucket int, text binary, count binary, id binary")
-    least = sent.groupBy("bucket").applyInPandas(order, "slice string, bucket int, least binary")
+    sent = by.cogroup(seeds.groupBy("slice")).applyInPandas(pieces, "slice long, bucket int, text binary, count binary, id binary")
+    least = sent.groupBy("bucket").applyInPandas(order, "slice long, bucket int, least binary")
     none = F.lit(None).cast("binary")
     both = seeds.select("slice", "bucket", "seeds", none.alias("least")).unionByName(least.select("slice", "bucket", none.alias("seeds"), "least"))
     return by.cogroup(both.groupBy("slice")).applyInPandas(remove, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
 
 
 def op8_deep_shallow(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = drop_repeats(common.table(spark, sf_dir, "documents"), settle=False)
+    out = drop_repeats(common.table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))

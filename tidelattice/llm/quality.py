@@ -15,7 +15,6 @@ from pyspark.sql import functions as F
 
 from . import common
 from . import textvec as tv
-from .suffixtree import Table
 
 #: Bits of a character.
 CHAR_BITS = 12
@@ -106,11 +105,11 @@ def count_ngrams(docs: DataFrame, order: int) -> DataFrame:
 
 def kneser_ney(counts: DataFrame, order: int) -> DataFrame:
     """(kind, n, lang, g, v, c) from counts (lang, g, c): kind p: log10 probability of an n-gram, b: log10 back-off weight of a context."""
-    tables = {order: common.cut(counts)}
+    tables = {order: common.stored(counts)}
     for n in range(order - 1, 0, -1):
         mask = (1 << CHAR_BITS * n) - 1
         tables[n] = tables[n + 1].groupBy("lang", F.col("g").bitwiseAND(F.lit(mask)).alias("g")).agg(F.count("*").alias("c"))
-        tables[n] = common.cut(tables[n])
+        tables[n] = common.stored(tables[n])
     out, lower = None, None
     for n in range(1, order + 1):
         t = tables[n]
@@ -122,12 +121,12 @@ def kneser_ney(counts: DataFrame, order: int) -> DataFrame:
             # counts of counts that are empty or out of order (tiny corpora) leave half a count
             return F.coalesce(F.when((F.col("n1") > 0) & (F.col(f"n{k}") > 0) & (d > 0) & (d < k), d), F.lit(0.5)).alias(f"d{k}")
 
-        few = common.cut(few.select("lang", "size", *[discount(k) for k in (1, 2, 3)]))
+        few = common.stored(few.select("lang", "size", *[discount(k) for k in (1, 2, 3)]))
         t = t.join(F.broadcast(few), "lang")  # a row for each language
         t = t.withColumn("ctx", F.shiftright("g", CHAR_BITS))
         t = t.withColumn("d", F.when(F.col("c") == 1, F.col("d1")).when(F.col("c") == 2, F.col("d2")).otherwise(F.col("d3")))
         heads = t.groupBy("lang", "ctx").agg(F.sum("c").alias("total"), F.sum("d").alias("freed"))
-        heads = common.cut(heads.select("lang", "ctx", "total", (F.col("freed") / F.col("total")).alias("gamma")))
+        heads = common.stored(heads.select("lang", "ctx", "total", (F.col("freed") / F.col("total")).alias("gamma")))
         t = t.join(heads, ["lang", "ctx"])
         if n == 1:
             p = t.withColumn("below", 1 / (F.col("size") + 1))
@@ -135,7 +134,7 @@ def kneser_ney(counts: DataFrame, order: int) -> DataFrame:
             mask = (1 << CHAR_BITS * (n - 1)) - 1
             p = t.withColumn("tail", F.col("g").bitwiseAND(F.lit(mask))).join(lower, ["lang", "tail"])
         p = p.select("lang", "g", "c", ((F.col("c") - F.col("d")) / F.col("total") + F.col("gamma") * F.col("below")).alias("p"))
-        p = common.cut(p) if n < order else p
+        p = common.stored(p) if n < order else p
         rows = p.select(F.lit("p").alias("kind"), F.lit(n).alias("n"), "lang", "g", F.log10("p").alias("v"), "c")
         rows = rows.unionByName(heads.select(F.lit("b").alias("kind"), F.lit(n - 1).alias("n"), "lang", F.col("ctx").alias("g"), F.log10("gamma").alias("v"), F.col("total").alias("c")))
         out = rows if out is None else out.unionByName(rows)
@@ -143,6 +142,40 @@ def kneser_ney(counts: DataFrame, order: int) -> DataFrame:
     return out
 
 
+class Table:
+    """Keys in the order of their hash, values, and where each hash prefix begins."""
+
+    BITS = 21
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray):
+        h = tv.mix(keys)
+        order = np.argsort(h)
+        self.bits = max(1, min(self.BITS, len(keys).bit_length()))
+        self.keys, self.values = keys[order], values[order].astype(np.float64)
+        self.start = np.searchsorted(h[order] >> np.uint64(64 - self.bits), np.arange((1 << self.bits) + 1, dtype=np.uint64)).astype(np.int32)
+        self.most = int(np.diff(self.start).max(initial=0))
+
+    def find(self, g: np.ndarray) -> np.ndarray:
+        slot = (tv.mix(g) >> np.uint64(64 - self.bits)).astype(np.int64)
+        at = self.start[slot]
+        out = np.full(len(g), np.nan)
+        if not len(self.keys):
+            return out
+        last = len(self.keys) - 1
+        first = np.minimum(at, last)
+        hit = self.keys[first] == g
+        out[hit] = self.values[first[hit]]
+        rest = np.flatnonzero(~hit & (self.start[slot + 1] - at > 1))
+        for k in range(1, self.most):
+            if not len(rest):
+                break
+            x = np.minimum(at[rest] + k, last)
+            hit = self.keys[x] == g[rest]
+            out[rest[hit]] = self.values[x[hit]]
+            rest = rest[~hit & (self.start[slot[rest] + 1] - at[rest] > k + 1)]
+        return out
+
+
 class Model:
     """A table of whole n-grams for each (kind, order, language), and scoring by them."""
 
@@ -176,7 +209,7 @@ class Model:
 
 def models(docs: DataFrame, order: int):
     """(lot, lots, Model) of every document of docs (text, lang): each model scores the n-grams of its lot."""
-    counts = common.cut(count_ngrams(docs, order))
+    counts = common.stored(count_ngrams(docs, order))
     rows = kneser_ney(counts, order).withColumn("kind", F.concat("kind", F.lit(":"), "lang"))
     # contexts and lower orders: about as many rows again
     for lot, lots, own in common.model_lots(rows.select("kind", "n", "g", "v"), CHAR_BITS, 2 * counts.count()):
@@ -270,7 +303,7 @@ def scores(docs: DataFrame, order: int) -> DataFrame:
     rows = rows.withColumn("by", F.concat("lang", F.lit("/"), (1 - half).cast("string")))
     out = None
     for lot, lots, model in models(fitted, order):
-        got = common.cut(score(rows, model, lot, lots))
+        got = common.stored(score(rows, model, lot, lots))
         if out is None:
             out = got
             continue
@@ -314,7 +347,7 @@ def judge(
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), lang.alias("lang"), F.col(text_col).cast("string").alias("text"))
     scored = scores(rows, order)
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
-    scored = common.cut(scored.drop("th").select("*", failed.alias("base_failed"), F.when(F.col("n_scored") > 0, -F.col("log10_p") / F.col("n_scored")).alias("log10_ppl")))
+    scored = common.stored(scored.drop("th").select("*", failed.alias("base_failed"), F.when(F.col("n_scored") > 0, -F.col("log10_p") / F.col("n_scored")).alias("log10_ppl")))
     # the mean of a short text strays further
     stray = F.coalesce(F.try_divide(F.lit(slack), F.sqrt("n_scored")), F.lit(0.0))
     out = scored.join(F.broadcast(bands(scored, width, floor)), "lang", "left")  # a row for each language

@@ -1,20 +1,17 @@
-"""Scoring by a probabilistic suffix tree over the bytes of a text's words.
-
-A text is its words in lower case (A-Z), one space between them, and an end byte (a newline,
-which no word holds).  The tree's states are contexts of up to `depth` bytes (seven at most).  A
-context is a candidate if it occurs twice in the training texts, whatever their size; it is retained if its next-byte distribution
-diverges enough from its parent's (its longest proper suffix), or if a descendant is.
-Distributions are smoothed by absolute discounting towards the parent's, at the
-root towards equal ones, so that they sum to one.  A byte is scored by the longest
-retained suffix of what stands before it.  A tree of more rows than go to all tasks at once is dealt into lots by
-the two bytes before the one that is scored, and the texts are read once a lot.
+"""Scoring by a probabilistic suffix tree over the words of a text.
+
+A text is its words in lower case (A-Z) and an end; before it stands an end.  The tree's states are contexts of up to `depth`
+words that training texts hold twice or more.  A context is retained if its next-word distribution diverges enough from what the
+tree says without it.  The root is the add-0.1 distribution of all words seen and one that stands for all others; a retained context's distribution is
+smoothed by absolute discounting towards that of its longest retained suffix.  A word is scored by the longest retained suffix
+of what stands before it.
+
+The tree is nowhere held whole, and grows with the input.  Slices of the input, coded as numbers of their own words, send counts to buckets of the
+contexts' hash, a depth at a time; there a context has all its next words, is tested, and each slice gets back the counts of what it asked for.
 """
 
 from __future__ import annotations
 
-import math
-import zlib
-
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -25,8 +22,13 @@ from pyspark.sql import functions as F
 from . import common
 from . import textvec as tv
 
-END = 10
 DISCOUNT = 0.75
+#: The root's count of words never seen, and what is added to all others.
+ADDED = 0.1
+#: The end, as a word's hash.
+END = np.uint64(0xA24BAED4963EE407)
+#: Bits of a next word's hash beside its context's, and fractions of a bit in which code lengths are added up.
+NEXT_BITS, BIT_PARTS = 40, 1024
 
 
 def is_training(doc_id: Column, folds: int = 10, held: int = 0) -> Column:
@@ -34,355 +36,263 @@ def is_training(doc_id: Column, folds: int = 10, held: int = 0) -> Column:
     return F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), F.lit(folds)) != held
 
 
-def stream(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The bytes of all texts as the tree reads them, and n + 1 offsets."""
-    w = tv.Words(raw, offsets, lower=True, hashes=False)
-    size = w.ends - w.starts + 1  # a space after each word; the text's last one becomes the end
-    upto = np.concatenate([[0], np.cumsum(size)])
-    at = upto[w.first] + np.concatenate([[0], np.cumsum(np.diff(w.first) == 0)])  # a text without words is its end
-    out = np.full(int(at[-1]), 32, np.uint8)
-    of = np.repeat(np.arange(len(w.first) - 1), np.diff(w.first))
-    begin = at[of] + upto[:-1] - upto[w.first[of]]
-    inside = ~tv.SPACE[w.raw]
-    rank = np.repeat(begin - np.concatenate([[0], np.cumsum(size - 1)])[:-1], size - 1)
-    out[rank + np.arange(len(rank))] = w.raw[inside]
-    out[at[1:] - 1] = END
+def token_hashes(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The words of all texts, each text's end after them, as hashes, and n + 1 offsets."""
+    w = tv.Words(raw, offsets, lower=True)
+    at = w.first + np.arange(len(w.first))
+    out = np.full(int(at[-1]), END, np.uint64)
+    out[np.arange(len(w.hash)) + w.doc()] = w.hash
     return out, at
 
 
-def grams(s: np.ndarray, at: np.ndarray, length: int) -> np.ndarray:
-    """The length bytes that end at each place; before a text stands an end byte, and zeros before that."""
-    x = s.astype(np.uint64)
-    out = x.copy()
-    place = np.arange(len(s)) - np.repeat(at[:-1], np.diff(at))
-    for k in range(1, length):
-        before = np.zeros_like(x)
-        before[k:] = x[:-k] if k < len(x) else 0
-        before[place < k] = 0
-        before[place == k - 1] = END
-        out |= before << np.uint64(8 * k)
-    return out
-
-
-def _runs(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    x = np.sort(x)
-    new = np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]])) if len(x) else np.zeros(0, np.int64)
-    return x[new], np.diff(np.append(new, len(x)))
-
-
-def count(docs: DataFrame, length: int) -> DataFrame:
-    """(g, c): counts of all byte n-grams of the training texts."""
-
-    def run(batches):
-        held: list = []
-        size = 0
-
-        def merged():
-            keys, n = (np.concatenate(x) for x in zip(*held, strict=True))
-            order = np.argsort(keys)
-            keys, n = keys[order], n[order]
-            new = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
-            return keys[new], np.add.reduceat(n, new)
-
-        for batch in batches:
-            for _, _, raw, offsets in tv.slices(batch.column("text")):
-                held.append(_runs(grams(*stream(raw, offsets), length)))
-                size += len(held[-1][0])
-                if len(held) > 8:
-                    held[:] = [merged()]
-                    size = len(held[0][0])
-                    if size > 6_000_000:
-                        yield pa.RecordBatch.from_arrays([pa.array(held[0][0].view(np.int64)), pa.array(held[0][1])], ["g", "c"])
-                        held, size = [], 0
-        if held:
-            keys, n = merged()
-            yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(n)], ["g", "c"])
-
-    return docs.select("text").mapInArrow(run, "g long, c long").groupBy("g").agg(F.sum("c").alias("c"))
-
-
-def grow(counts: DataFrame, depth: int, bits: float) -> DataFrame:
-    """(kind, n, g, v): kind p: log10 probability of the last of n bytes after a retained context of n - 1; kind b: a context of n bytes and the log10 weight of its parent.
-
-    A candidate's divergence is the code length it saves over its parent on the training bytes; it passes if
-    it saves at least `bits` for each different next byte.
-    """
-    tables = {depth + 1: common.cut(counts)}
-    for n in range(depth, 0, -1):
-        x = tables[n + 1].groupBy(F.col("g").bitwiseAND(F.lit((1 << 8 * n) - 1)).alias("g")).agg(F.sum("c").alias("c"))
-        tables[n] = common.cut(x)
-    if tables[1].isEmpty():
-        return counts.sparkSession.createDataFrame([], "kind string, n int, g long, v double")
-    heads, passed = {}, {}
-    for n in range(1, depth + 2):
-        t = tables[n].withColumn("ctx", F.shiftrightunsigned("g", 8))
-        heads[n] = common.cut(t.groupBy("ctx").agg(F.sum("c").alias("total"), F.count("*").alias("kinds")))
-        if n > 1:
-            tail = (1 << 8 * (n - 1)) - 1
-            up = tables[n - 1].select(F.col("g").alias("tail"), F.col("c").alias("cu"), F.shiftrightunsigned("g", 8).alias("ctxu"))
-            up = up.join(heads[n - 1].select(F.col("ctx").alias("ctxu"), F.col("total").alias("totalu")), "ctxu")
-            x = t.join(heads[n].where(F.col("total") >= 2), "ctx").withColumn("tail", F.col("g").bitwiseAND(F.lit(tail))).join(up.select("tail", "cu", "totalu"), "tail")
-            saved = F.sum(F.col("c") * F.log2(F.col("c") / F.col("total") * F.col("totalu") / F.col("cu")))
-            passed[n] = x.groupBy("ctx").agg(saved.alias("saved"), F.first("kinds").alias("kinds")).where(F.col("saved") >= bits * F.col("kinds")).select("ctx")
-    retained = {1: tables[1].select(F.lit(0).cast("long").alias("ctx")).limit(1)}
-    below = None
-    for n in range(depth + 1, 1, -1):
-        keep = passed[n] if below is None else passed[n].unionByName(below).distinct()
-        retained[n] = common.cut(keep)
-        below = retained[n].select(F.col("ctx").bitwiseAND(F.lit((1 << 8 * (n - 2)) - 1)).alias("ctx")).distinct() if n > 2 else None
-    out, lower = None, None
-    for n in range(1, depth + 2):
-        h = heads[n].join(retained[n], "ctx").withColumn("weight", DISCOUNT * F.col("kinds") / F.col("total"))
-        t = tables[n].withColumn("ctx", F.shiftrightunsigned("g", 8)).join(h, "ctx")
-        if n == 1:
-            t = t.withColumn("below", F.lit(1 / 256))
-        else:
-            t = t.withColumn("tail", F.col("g").bitwiseAND(F.lit((1 << 8 * (n - 1)) - 1))).join(lower, "tail")
-        p = common.cut(t.select("g", ((F.col("c") - DISCOUNT) / F.col("total") + F.col("weight") * F.col("below")).alias("p")))
-        rows = p.select(F.lit("p").alias("kind"), F.lit(n).alias("n"), "g", F.log10("p").alias("v"))
-        rows = rows.unionByName(h.select(F.lit("b").alias("kind"), F.lit(n - 1).alias("n"), F.col("ctx").alias("g"), F.log10("weight").alias("v")))
-        out = rows if out is None else out.unionByName(rows)
-        lower = p.select(F.col("g").alias("tail"), F.col("p").alias("below"))
-    return out
-
-
-class Table:
-    """Keys in the order of their hash, values, and where each hash prefix begins."""
-
-    BITS = 21
-
-    def __init__(self, keys: np.ndarray, values: np.ndarray):
-        h = tv.mix(keys)
-        order = np.argsort(h)
-        self.bits = max(1, min(self.BITS, len(keys).bit_length()))
-        self.keys, self.values = keys[order], values[order].astype(np.float64)
-        self.start = np.searchsorted(h[order] >> np.uint64(64 - self.bits), np.arange((1 << self.bits) + 1, dtype=np.uint64)).astype(np.int32)
-        self.most = int(np.diff(self.start).max(initial=0))
-
-    def find(self, g: np.ndarray) -> np.ndarray:
-        slot = (tv.mix(g) >> np.uint64(64 - self.bits)).astype(np.int64)
-        at = self.start[slot]
-        out = np.full(len(g), np.nan)
-        if not len(self.keys):
-            return out
-        last = len(self.keys) - 1
-        first = np.minimum(at, last)
-        hit = self.keys[first] == g
-        out[hit] = self.values[first[hit]]
-        rest = np.flatnonzero(~hit & (self.start[slot + 1] - at > 1))
-        for k in range(1, self.most):
-            if not len(rest):
-                break
-            x = np.minimum(at[rest] + k, last)
-            hit = self.keys[x] == g[rest]
-            out[rest[hit]] = self.values[x[hit]]
-            rest = rest[~hit & (self.start[slot[rest] + 1] - at[rest] > k + 1)]
-        return out
-
-
-class Tree:
-    def __init__(self, arrays: dict, depth: int):
-        self.depth = depth
-        none = (np.zeros(0, np.uint64), np.zeros(0))
-        self.p = {n: Table(*arrays.get(("p", n), none)) for n in range(1, depth + 2)}
-        self.b = {n: Table(*arrays.get(("b", n), none)) for n in range(depth + 1)}
-
-    def score(self, g: np.ndarray) -> np.ndarray:
-        """log10 probability of the last byte of each n-gram of depth + 1 bytes."""
-        n = self.depth + 1
-        out = self.p[n].find(g)
-        rest = np.flatnonzero(np.isnan(out))
-        weight = np.zeros(len(rest))
-        while len(rest):
-            x = g[rest] & np.uint64((1 << 8 * n) - 1)
-            weight += np.nan_to_num(self.b[n - 1].find(x >> np.uint64(8)), nan=0.0)  # nothing, where the context isn't retained
-            n -= 1
-            if not n:
-                out[rest] = weight - math.log10(256)
-                break
-            got = self.p[n].find(x & np.uint64((1 << 8 * n) - 1)) + weight
-            out[rest] = got
-            open_ = np.isnan(got)
-            rest, weight = rest[open_], weight[open_]
-        return out
-
-
-#: Rows of a tree that go to all tasks at once.
-TREE_ROWS = 4_000_000
-
-
-def trees(training: DataFrame, depth: int = 5, bits: float = 2.0, most: int = 0):
-    """(lot, lots, Tree) of all training texts: each tree scores the bytes of its lot."""
-    rows = grow(count(training, depth + 1), depth, bits)
-    for lot, lots, own in common.model_lots(rows, 8, rows.count(), most or TREE_ROWS):
-        arrays = {k: (keys.view(np.uint64), values) for k, (keys, values) in common.gathered(own.withColumnRenamed("g", "key")).items()}
-        yield lot, lots, Tree(arrays, depth)
-
-
-def fit(training: DataFrame, depth: int = 5, bits: float = 2.0) -> Tree:
-    """One tree of all training texts, for small corpora."""
-    return next(trees(training, depth, bits, 1 << 62))[2]
-
-
-def tree_scores(docs: DataFrame, tree: Tree, lot: int = 0, lots: int = 1) -> DataFrame:
-    """(doc_id, th, n_tokens, score) of each row (doc_id, th, text); score: the sum over the bytes of the lot."""
-    shared = docs.sparkSession.sparkContext.broadcast(tree)
+def coded(rows: DataFrame) -> DataFrame:
+    """Stored slices (slice, ids, there, train, lens, vocab, tokens) of rows (doc_id, train, text), in their order; tokens are places in vocab, which ascends."""
 
     def run(batches):
+        task, made = TaskContext.get().partitionId(), 0
         for batch in batches:
             for a, b, raw, offsets in tv.slices(batch.column("text")):
-                s, at = stream(raw, offsets)
-                g = grams(s, at, shared.value.depth + 1)
-                own = common.lot_of(g >> np.uint64(8) & np.uint64(0xFFFF), lots) == lot
-                p = np.zeros(len(g))
-                p[own] = shared.value.score(g[own])
-                sums = np.add.reduceat(p, at[:-1])
-                tokens = np.add.reduceat((s == 32) | (s == END), at[:-1], dtype=np.int64) + np.array(np.diff(at) > 1, np.int64)
+                h, at = token_hashes(raw, offsets)
+                vocab, tokens = np.unique(h, return_inverse=True)
                 part = batch.slice(a, b - a)
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("th"), pa.array(tokens), pa.array(sums)], ["doc_id", "th", "n_tokens", "score"])
-
-    return docs.select("doc_id", "th", "text").mapInArrow(run, "doc_id long, th long, n_tokens long, score double")
-
+                ids = part.column("doc_id")
+                packed = [np.asarray(ids.fill_null(0), np.int64), np.asarray(ids.is_valid().to_numpy(zero_copy_only=False), np.int64)]
+                packed += [np.asarray(part.column("train").to_numpy(zero_copy_only=False), np.int64), np.diff(at), tv.rising(vocab), tokens.astype(np.int64)]
+                yield pa.RecordBatch.from_arrays([pa.array([task << 20 | made]), *[pa.array([tv.squeeze(x)], pa.binary()) for x in packed]], ["slice", *CODED])
+                made += 1
 
-def lot_scores(docs: DataFrame, training: DataFrame, depth: int, bits: float) -> DataFrame:
-    """(doc_id, th, n_tokens, score) of each row (doc_id, th, text) by all lots of the tree of the training texts."""
-    out = None
-    for lot, lots, tree in trees(training, depth, bits):
-        got = tree_scores(docs, tree, lot, lots)
-        got = common.cut(got) if lots > 1 else got
-        if out is None:
-            out = got
-            continue
-        more = got.select(F.col("doc_id").alias("_id"), F.col("th").alias("_th"), F.col("score").alias("_s")).dropDuplicates(["_id", "_th"])
-        out = out.join(more, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("th") == F.col("_th")))
-        out = out.select("doc_id", "th", "n_tokens", (F.col("score") + F.col("_s")).alias("score"))
-    return out
+    return common.stored(rows.select("doc_id", "train", "text").mapInArrow(run, "slice long, " + ", ".join(f"{c} binary" for c in CODED)))
+
+
+CODED = ["ids", "there", "train", "lens", "vocab", "tokens"]
+
+
+class Grams:
+    """The asked-for (context, next word) pairs of one depth in a slice, in order of (context, next); which of them each token is, or -1."""
+
+    def __init__(self, ctx: np.ndarray, nxt: np.ndarray, asked: np.ndarray, train: np.ndarray, below: np.ndarray):
+        at = np.flatnonzero(asked)
+        c, x = ctx[at], nxt[at] >> np.uint64(64 - NEXT_BITS)
+        order = np.lexsort((x, c))
+        c, x, at = c[order], x[order], at[order]
+        new_ctx = tv.changes(c)
+        new = new_ctx | tv.changes(x)
+        self.of = np.full(len(ctx), -1)
+        self.of[at] = np.cumsum(new) - 1
+        first = np.flatnonzero(new)
+        self.ctx, self.next = c[new_ctx], x[first]
+        own = np.cumsum(new_ctx) - 1
+        self.ctx_of = own[first]  # of each pair
+        self.n = np.add.reduceat(train[at], first) if len(at) else np.zeros(0, np.int64)
+        # what the training tokens cost without the context
+        self.cost = np.add.reduceat(train[at] * below[at], np.flatnonzero(new_ctx)) if len(at) else np.zeros(0, np.int64)
+
+
+class State:
+    """A slice's tokens and, depth by depth, their probabilities by what the buckets have answered."""
+
+    def __init__(self, row, total: int, kinds: int):
+        self.slice, x = row["slice"], {c: tv.unsqueeze(row[c]) for c in CODED}
+        self.ids, self.there, self.lens = (x[c].view(np.int64) for c in ("ids", "there", "lens"))
+        self.tokens, self.vocab = x["tokens"].view(np.int64), np.cumsum(x["vocab"], dtype=np.uint64)
+        self.h = self.vocab[self.tokens]
+        self.train = np.repeat(x["train"].view(np.int64), self.lens)
+        at = np.cumsum(self.lens) - self.lens
+        self.place = np.arange(len(self.h)) - np.repeat(at, self.lens)
+        self.begin = at
+        self.total, self.kinds, self.depth = total, kinds, 0
+
+    def root(self, counts: np.ndarray) -> None:
+        self.counts = counts[self.tokens]
+        self.base = np.log10(self.counts + ADDED) - np.log10(self.total + ADDED * (self.kinds + 1))
+        self.p = (self.counts + ADDED) / (self.total + ADDED * (self.kinds + 1))
+        before = np.concatenate([[np.int64(0)], self.counts[:-1]])
+        ends = int(counts[np.searchsorted(self.vocab, END)]) if len(self.vocab) else 0
+        #: How often the context that ends before each token stands in training texts.
+        self.before = np.where(self.place == 0, ends, before)
+        previous = np.concatenate([[END], self.h[:-1]])
+        self.ctx = tv.mix(np.where(self.place == 0, END, previous))
+
+    def grams(self) -> Grams:
+        """What is asked for at the next depth."""
+        cost = np.round(-np.log2(self.p) * BIT_PARTS).astype(np.int64)
+        return Grams(self.ctx, self.h, self.before >= 2, self.train, cost)
+
+    def learn(self, pairs: np.ndarray, totals: np.ndarray, kinds: np.ndarray) -> None:
+        """One depth more, by the answers to grams(): counts of the pairs, and total (0: not retained) and kinds of the contexts."""
+        g = self.grams()
+        hit = np.flatnonzero(g.of >= 0)
+        k = g.of[hit]
+        n, total, kind = pairs[k], totals[g.ctx_of[k]], kinds[g.ctx_of[k]]
+        keep = total > 0
+        at, n, total, kind = hit[keep], n[keep], total[keep], kind[keep]
+        self.p = self.p.copy()
+        self.p[at] = np.maximum(n - DISCOUNT, 0) / total + DISCOUNT * kind / total * self.p[at]
+        seen = np.zeros(len(self.h), np.int64)
+        seen[hit] = pairs[k]
+        self.depth += 1
+        # the context one word longer is the pair that ends before the token
+        before = np.concatenate([[np.int64(0)], seen[:-1]])
+        self.before = np.where(self.place >= self.depth, before, 0)
+        self.ctx = tv.mix(np.concatenate([[np.uint64(0)], self.ctx[:-1]]) * np.uint64(tv.BASE) + np.concatenate([[np.uint64(0)], self.h[:-1]]))
+
+
+def cuts(keys: np.ndarray, buckets: int) -> np.ndarray:
+    """Where the buckets of ascending hashes begin, and the end."""
+    edges = np.array([(i << 64) // buckets for i in range(buckets)], np.uint64)
+    return np.append(np.searchsorted(keys, edges), len(keys))
+
+
+def word_counts(slices: DataFrame, buckets: int) -> DataFrame:
+    """(depth 0, slice, bucket, pairs, n, v): the training counts of each slice's words, in their order; n, v: the bucket's tokens and different words, once."""
+
+    def send(batches):
+        for batch in batches:
+            for row in batch.to_pylist():
+                x = {c: tv.unsqueeze(row[c]) for c in ("train", "lens", "vocab", "tokens")}
+                train = np.repeat(x["train"].view(np.int64), x["lens"].view(np.int64))
+                vocab = np.cumsum(x["vocab"], dtype=np.uint64)
+                n = np.bincount(x["tokens"].view(np.int64)[train > 0], minlength=len(vocab)).astype(np.int64)
+                at = cuts(vocab, buckets)
+                rows = {"slice": [], "bucket": [], "words": [], "n": []}
+                for b in np.flatnonzero(np.diff(at)).tolist():
+                    own = slice(int(at[b]), int(at[b + 1]))
+                    rows["slice"].append(row["slice"])
+                    rows["bucket"].append(b)
+                    rows["words"].append(tv.squeeze(tv.rising(vocab[own])))
+                    rows["n"].append(tv.squeeze(n[own]))
+                yield pa.RecordBatch.from_pydict(rows, schema=pa.schema([("slice", pa.int64()), ("bucket", pa.int32()), ("words", pa.binary()), ("n", pa.binary())]))
+
+    def add(pdf: pd.DataFrame) -> pd.DataFrame:
+        words = [np.cumsum(tv.unsqueeze(x), dtype=np.uint64) for x in pdf["words"]]
+        every, n = np.concatenate(words), np.concatenate([tv.unsqueeze(x).view(np.int64) for x in pdf["n"]])
+        order = np.argsort(every)
+        first = np.flatnonzero(tv.changes(every[order]))
+        sums = np.add.reduceat(n[order], first)
+        total = np.empty(len(every), np.int64)
+        total[order] = np.repeat(sums, np.diff(np.append(first, len(every))))
+        out, at = [], 0
+        for x in words:
+            out.append(tv.squeeze(total[at : at + len(x)]))
+            at += len(x)
+        once = np.zeros((2, len(out)), np.int64)
+        once[:, 0] = sums.sum(), (sums > 0).sum()
+        return pd.DataFrame({"depth": 0, "slice": pdf["slice"], "bucket": pdf["bucket"], "pairs": out, "totals": b"", "kinds": b"", "n": once[0], "v": once[1]})
+
+    sent = slices.select("slice", "train", "lens", "vocab", "tokens").mapInArrow(send, "slice long, bucket int, words binary, n binary")
+    return sent.groupBy("bucket").applyInPandas(add, ANSWER + ", n long, v long")
+
+
+ANSWER = "depth int, slice long, bucket int, pairs binary, totals binary, kinds binary"
+
+
+def replay(row, answers: pd.DataFrame, total: int, kinds: int, depth: int) -> State:
+    """The state of a slice after the answers of depths 0 to `depth`."""
+    state = State(row, total, kinds)
+    for d in range(depth + 1):
+        own = answers[answers["depth"] == d].sort_values("bucket")
+        got = [np.concatenate([np.zeros(0, np.int64), *[tv.unsqueeze(x).view(np.int64) for x in own[c]]]) for c in (("pairs",) if not d else ("pairs", "totals", "kinds"))]
+        if d:
+            state.learn(*got)
+        else:
+            state.root(*got)
+    return state
 
 
-def word_sums(docs: DataFrame, buckets: int) -> DataFrame:
-    """(slice, bucket, sums, known, head, n, v) from rows (doc_id, th, train, text).
+def retained(ctx: np.ndarray, n: np.ndarray, cost: np.ndarray, first: np.ndarray, bits: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(kept, total, kinds) of contexts that begin at `first` among pairs with counts n; cost: of their tokens without the context.
 
-    Distinct (text, word) pairs go to the bucket of the word's hash, packed by slices of the input; there the
-    training count of every word is known, and each slice gets back the sums of
-    log10(count + 0.1) over its texts' tokens, in the slice's order of texts.
+    A context passes if it saves at least `bits` of code length for each different next word.
     """
-
-    def deal(batches):
-        task, made = TaskContext.get().partitionId(), 0
-        for batch in batches:
-            for a, b, raw, offsets in tv.slices(batch.column("text")):
-                w = tv.Words(raw, offsets, lower=True)
-                part = batch.slice(a, b - a)
-                h, doc = w.hash, w.doc()
-                order = np.lexsort((doc, h))
-                h, doc = h[order], doc[order]
-                new = np.ones(len(h), bool)
-                new[1:] = (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])
-                first = np.flatnonzero(new)
-                times = np.diff(np.append(first, len(h)))
-                h, doc = h[first], doc[first]
-                train = np.asarray(part.column("train").to_numpy(zero_copy_only=False), np.uint64)
-                head = zlib.compress(b"".join(_ids(part.column(c)) for c in ("doc_id", "th")), 1)
-                cut = np.searchsorted(h, np.arange(buckets + 1, dtype=np.float64) / buckets * 2.0**64) if len(h) else np.zeros(buckets + 1, np.int64)
-                cut[-1] = len(h)
-                rows = {"slice": [], "bucket": [], "texts": [], "head": [], "words": [], "docs": [], "times": []}
-                for k in range(buckets):
-                    own = slice(int(cut[k]), int(cut[k + 1]))
-                    if k and own.start == own.stop:
-                        continue
-                    rows["slice"].append(f"{task}:{made}")
-                    rows["bucket"].append(k)
-                    rows["texts"].append(b - a)
-                    rows["head"].append(head if not k else None)
-                    rows["words"].append(tv.squeeze(tv.rising(h[own])))
-                    rows["docs"].append(tv.squeeze(doc[own].astype(np.uint64) << np.uint64(1) | train[doc[own]]))
-                    rows["times"].append(tv.squeeze(times[own].astype(np.uint64)))
-                made += 1
-                yield pa.RecordBatch.from_pydict(rows, schema=PACKED)
-
-    def meet(pdf: pd.DataFrame) -> pd.DataFrame:
-        h = [np.cumsum(tv.unsqueeze(x), dtype=np.uint64) for x in pdf["words"]]
-        size = [len(x) for x in h]
-        h = np.concatenate(h)
-        docs_ = np.concatenate([tv.unsqueeze(x) for x in pdf["docs"]])
-        times = np.concatenate([tv.unsqueeze(x) for x in pdf["times"]]).astype(np.int64)
-        order = np.argsort(h)
-        new = np.ones(len(h), bool)
-        new[1:] = h[order][1:] != h[order][:-1]
-        word = np.empty(len(h), np.int64)
-        word[order] = np.cumsum(new) - 1
-        counts = np.bincount(word, weights=times * (docs_ & np.uint64(1)).astype(np.int64), minlength=int(new.sum()))
-        logs = np.log10(counts + 0.1)[word] * times
-        known = (counts[word] > 0) * times
-        text = (docs_ >> np.uint64(1)).astype(np.int64)
-        sums, knowns, at = [], [], 0
-        for n, texts in zip(size, pdf["texts"], strict=True):
-            own = slice(at, at + n)
-            sums.append(np.bincount(text[own], weights=logs[own], minlength=texts).astype(np.float64).tobytes())
-            knowns.append(tv.squeeze(np.bincount(text[own], weights=known[own], minlength=texts).astype(np.int64)))
-            at += n
-        out = pdf[["slice", "bucket", "head"]].astype({"slice": object})
-        out["sums"], out["known"] = sums, knowns
-        out["n"], out["v"] = 0, 0
-        out.iloc[0, out.columns.get_loc("n")] = int(counts.sum())
-        out.iloc[0, out.columns.get_loc("v")] = int((counts > 0).sum())
-        return out[["slice", "bucket", "head", "sums", "known", "n", "v"]]
-
-    packed = docs.mapInArrow(deal, "slice string, bucket int, texts long, head binary, words binary, docs binary, times binary")
-    return packed.groupBy("bucket").applyInPandas(meet, "slice string, bucket int, head binary, sums binary, known binary, n long, v long")
-
-
-PACKED = pa.schema([("slice", pa.string()), ("bucket", pa.int32()), ("texts", pa.int64()), ("head", pa.binary()), ("words", pa.binary()), ("docs", pa.binary()), ("times", pa.binary())])
-
-
-def _ids(column: pa.Array) -> bytes:
-    """Numbers of a column and whether they are there."""
-    there = np.asarray(column.is_valid().to_numpy(zero_copy_only=False), np.int64)
-    return np.concatenate([np.asarray(column.fill_null(0), np.int64), there]).tobytes()
-
-
-def base_sums(docs: DataFrame, buckets: int) -> tuple[DataFrame, int, int]:
-    """((doc_id, th, sums, known), N, V): words only, without the end tokens."""
-    got = common.stored(word_sums(docs, buckets))
-    n, v = got.agg(F.sum("n"), F.sum("v")).first()
-
-    def gather(pdf: pd.DataFrame) -> pd.DataFrame:
-        sums = sum(np.frombuffer(x, np.float64) for x in pdf.sort_values("bucket")["sums"])
-        known = sum(tv.unsqueeze(x).view(np.int64) for x in pdf["known"])
-        x = np.frombuffer(zlib.decompress(next(x for x in pdf["head"] if x is not None)), np.int64).reshape(4, -1)
-        ids = [pd.array(np.where(x[i + 1] == 1, x[i], 0), dtype="Int64") for i in (0, 2)]
-        for i, v in zip((1, 3), ids, strict=True):
-            v[x[i] == 0] = pd.NA
-        return pd.DataFrame({"doc_id": ids[0], "th": ids[1], "sums": sums, "known": known})
-
-    return got.groupBy("slice").applyInPandas(gather, "doc_id long, th long, sums double, known long"), n or 0, v or 0
-
-
-def score_texts(docs: DataFrame, train: Column | None = None, depth: int = 5, bits: float = 2.0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for every row of docs.
-
-    train: which rows to learn from (default: is_training of the id).  A null text is an
+    total = np.add.reduceat(n, first)
+    kinds = np.add.reduceat((n > 0).astype(np.int64), first)
+    entropy = np.add.reduceat(n * np.log2(np.maximum(n, 1)), first) - total * np.log2(np.maximum(total, 1))
+    return (total >= 2) & (cost / BIT_PARTS + entropy >= bits * kinds), total, kinds
+
+
+def next_counts(slices: DataFrame, answers: DataFrame, total: int, kinds: int, depth: int, bits: float, buckets: int) -> DataFrame:
+    """The answers of one depth: counts of the pairs each slice asks for, total (0: not retained) and kinds of their contexts."""
+
+    def send(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        rows = {"slice": [], "bucket": [], "ctx": [], "cost": [], "many": [], "next": [], "n": []}
+        for _, row in left.iterrows():
+            g = replay(row, right, total, kinds, depth - 1).grams()
+            at = cuts(g.ctx, buckets)
+            pairs = np.searchsorted(g.ctx_of, at)
+            for b in np.flatnonzero(np.diff(at)).tolist():
+                own, mine = slice(int(at[b]), int(at[b + 1])), slice(int(pairs[b]), int(pairs[b + 1]))
+                rows["slice"].append(row["slice"])
+                rows["bucket"].append(b)
+                rows["ctx"].append(tv.squeeze(tv.rising(g.ctx[own])))
+                rows["cost"].append(tv.squeeze(g.cost[own]))
+                rows["many"].append(tv.squeeze(np.bincount(g.ctx_of[mine] - own.start, minlength=own.stop - own.start).astype(np.int64)))
+                rows["next"].append(tv.squeeze(g.next[mine]))
+                rows["n"].append(tv.squeeze(g.n[mine]))
+        return pd.DataFrame(rows)
+
+    def test(pdf: pd.DataFrame) -> pd.DataFrame:
+        ctx = [np.cumsum(tv.unsqueeze(x), dtype=np.uint64) for x in pdf["ctx"]]
+        many = [tv.unsqueeze(x).view(np.int64) for x in pdf["many"]]
+        own = np.concatenate(ctx)
+        contexts, which = np.unique(own, return_inverse=True)
+        cost = np.zeros(len(contexts), np.int64)
+        np.add.at(cost, which, np.concatenate([tv.unsqueeze(x).view(np.int64) for x in pdf["cost"]]))
+        of = np.repeat(which, np.concatenate(many))
+        nxt, n = np.concatenate([tv.unsqueeze(x) for x in pdf["next"]]), np.concatenate([tv.unsqueeze(x).view(np.int64) for x in pdf["n"]])
+        order = np.lexsort((nxt, of))
+        new_ctx = tv.changes(of[order])
+        first = np.flatnonzero(new_ctx | tv.changes(nxt[order]))
+        sums = np.add.reduceat(n[order], first)
+        pair = np.empty(len(of), np.int64)
+        pair[order] = np.repeat(sums, np.diff(np.append(first, len(of))))
+        kept, totals, kinds_ = retained(contexts, sums, cost, np.flatnonzero(new_ctx[first]), bits)
+        totals, kinds_ = np.where(kept, totals, 0)[which], np.where(kept, kinds_, 0)[which]
+        out = {"pairs": [], "totals": [], "kinds": []}
+        a = b = 0
+        for x, y in zip(ctx, many, strict=True):
+            out["totals"].append(tv.squeeze(totals[a : a + len(x)]))
+            out["kinds"].append(tv.squeeze(kinds_[a : a + len(x)]))
+            m = int(y.sum())
+            out["pairs"].append(tv.squeeze(pair[b : b + m]))
+            a, b = a + len(x), b + m
+        return pd.DataFrame({"depth": depth, "slice": pdf["slice"], "bucket": pdf["bucket"], **out})
+
+    sent = slices.groupBy("slice").cogroup(answers.groupBy("slice")).applyInPandas(send, "slice long, bucket int, ctx binary, cost binary, many binary, next binary, n binary")
+    return sent.groupBy("bucket").applyInPandas(test, ANSWER)
+
+
+def score_texts(docs: DataFrame, train: Column | None = None, depth: int = 2, bits: float = 2.0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, n_tokens, n_known, train_tokens, base_score, score for every row of docs.
+
+    train: which rows to learn from (default: is_training of the id; null: not).  A null text is an
     empty one: one token, the end.  A null id counts as the empty text in the default
-    split; rows that repeat an id and text count as often as they occur.  An empty
-    table gives no rows; without training rows the model is the equal distribution.
+    split; rows that repeat an id and text are rows of their own and count as often as they occur.  Other columns are not looked at.  An empty
+    table gives no rows; without training rows every word has the one probability of words never seen.
     """
     train = is_training(F.col(id_col).cast("long")) if train is None else train
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("th"), train.alias("train"), text.alias("text"))
-    sums, n, v = base_sums(rows, common.cells(docs.sparkSession))
-    ends = rows.where("train").count()
-    n, v = n + ends, v + (ends > 0)
-    sums = sums.dropDuplicates(["doc_id", "th"]).withColumnsRenamed({"doc_id": "_id", "th": "_th"})
-    scored = lot_scores(rows, rows.where("train"), depth, bits)
-    out = scored.join(sums, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("th") == F.col("_th")))
-    return out.select(
-        "doc_id",
-        "n_tokens",
-        (F.col("known") + (1 if ends else 0)).alias("n_known"),
-        F.lit(n).cast("long").alias("train_tokens"),
-        (F.col("sums") + F.lit(math.log10(ends + 0.1)) - F.col("n_tokens") * F.lit(math.log10(n + 0.1 * (v + 1)))).alias("base_score"),
-        "score",
-    )
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(train, F.lit(False)).alias("train"), F.col(text_col).cast("string").alias("text"))
+    buckets = 2 * common.cells(docs.sparkSession)  # a bucket is sorted whole in one task
+    slices = coded(rows)
+    answers = common.stored(word_counts(slices, buckets))
+    n, v = answers.agg(F.sum("n"), F.sum("v")).first()
+    n, v = n or 0, v or 0
+    answers = answers.drop("n", "v")
+    for d in range(1, depth + 1):
+        more = common.stored(next_counts(slices, answers, n, v, d, bits, buckets))
+        answers = answers.unionByName(more)
+        common.sweep(docs.sparkSession)
+
+    def score(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for _, row in left.iterrows():
+            x = replay(row, right, n, v, depth)
+            ids = pd.array(x.ids, dtype="Int64")
+            ids[x.there == 0] = pd.NA
+            sums = [np.add.reduceat(y, x.begin) for y in (x.base, np.log10(x.p))]
+            out.append(pd.DataFrame({"doc_id": ids, "n_tokens": x.lens, "n_known": np.add.reduceat((x.counts > 0).astype(np.int64), x.begin), "train_tokens": n, "base_score": sums[0], "score": sums[1]}))
+        return pd.concat(out) if out else pd.DataFrame({c: [] for c in ("doc_id", "n_tokens", "n_known", "train_tokens", "base_score", "score")})
+
+    return slices.groupBy("slice").cogroup(answers.groupBy("slice")).applyInPandas(score, "doc_id long, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
 def op10_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:

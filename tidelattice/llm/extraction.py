@@ -4,8 +4,9 @@ Tokens are tags and pieces of text with their path.  Tokens whose occurrence vec
 host's pages are equal form a class; large classes that most of the host's pages
 have make its template.  On a page a class counts if its tokens stand in the
 template's order and its span nests with those of the other classes; the text between template
-tokens is in slots.  What is extracted are the slots of the article, or, where no element says
-which that is, those outside of navigation, notices and the like.
+tokens is in slots.  The template's element that stands once on a page and holds the most text in the least of it is the article's, whatever its name:
+what is extracted are all slots in it, but for navigation, notices and the like inside.  On hosts with too few pages, and on pages that
+lack the element, names of elements and classes decide, and text of the template goes where nothing says that it is an article's.
 """
 
 from __future__ import annotations
@@ -43,6 +44,8 @@ WORDS = frozenset(
     " cookie cookies consent notice notices gdpr popup modal newsletter subscribe signup login share sharing social related recommended comments comment"
     " disqus pagination pager toolbar widget contentinfo complementary search alert".split()
 )
+#: Articles that are not the page's.
+OTHERS = frozenset("comment comments reply ad ads advert advertisement sponsored promo related recommended teaser".split())
 SPLIT = re.compile(r"[^a-z0-9]+")
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 ENDS_P = BLOCK - {"br", "html", "body", "head", "title", "option", "select", "caption", "td", "th", "tr", "tbody", "thead", "tfoot", "legend", "summary"}
@@ -53,12 +56,16 @@ LOTS = 16
 
 
 class Block:
-    """A run of text in one block. aside: in an element that is no article; main: in an article or main element; linked: characters in links."""
+    """A run of text in one block.
 
-    __slots__ = ("path", "parts", "aside", "main", "linked", "size")
+    aside: the depth of the innermost element that is no article, 0 for none; header: in a header that is not an article's;
+    main: in an article or main element; linked: characters in links.
+    """
+
+    __slots__ = ("path", "parts", "aside", "header", "main", "linked", "size")
 
-    def __init__(self, path: str, aside: bool, main: bool):
-        self.path, self.parts, self.aside, self.main, self.linked, self.size = path, [], aside, main, 0, 0
+    def __init__(self, path: str, aside: int, header: bool, main: bool):
+        self.path, self.parts, self.aside, self.header, self.main, self.linked, self.size = path, [], aside, header, main, 0, 0
 
     def text(self) -> str:
         return " ".join("".join(self.parts).split())
@@ -76,19 +83,19 @@ def _close(stack: list, names, stops) -> None:
 
 def parse(page: str) -> list:
     """The page's tokens in order: strings for tags of blocks (with their path), Block objects for text."""
-    stack: list[tuple] = [("", "", False, False)]  # name, path, aside, main
+    stack: list[tuple] = [("", "", 0, False, False)]  # name, path, aside, header, main
     tokens: list = []
     now = None
     for m in TOKEN.finditer(page):
         t = m.group()
         if t[0] != "<" or len(t) == 1:
-            _, path, aside, main = stack[-1]
+            _, path, aside, header, main = stack[-1]
             if now is None:
                 if not t.strip():
                     continue
-                now = Block(path, aside, main)
+                now = Block(path, aside, header, main)
                 tokens.append(now)
-            elif now.aside != aside:  # an inline element that isn't shown or isn't text
+            elif bool(now.aside) != bool(aside):  # an inline element that isn't shown or isn't text
                 if aside:
                     continue
             now.parts.append(html_.unescape(t))
@@ -124,26 +131,30 @@ def parse(page: str) -> list:
             _close(stack, {"p"}, BLOCK)
         if name in CLOSES:
             _close(stack, CLOSES[name], {"ul", "ol", "dl", "table", "select", "menu"})
-        _, path, aside, main = stack[-1]
-        label = name
+        _, path, aside, header, main = stack[-1]
+        label, depth = name, path.count(">") + 1
         for kind, *values in ATTRIBUTE.findall(t) if len(t) > len(name) + 3 else ():
             kind, value = kind.lower(), next((v for v in values if v), "").lower()
             if kind == "hidden" or kind == "style" and "display:none" in value.replace(" ", ""):
-                aside = True
+                aside = depth
             elif kind == "role" and value == "main" or kind == "itemprop" and value == "articlebody":
                 main = True
             elif kind in ("class", "id", "role", "aria-label"):
-                label += f".{value}"
-                if name not in ("html", "body", "main", "article") and WORDS & set(SPLIT.split(value)):
-                    aside = True
-        if name in ASIDE or name == "header" and not main:
-            aside = True
+                label += "." + value.replace(">", " ")
+                if name == "article":  # one in which others speak says so with its first word
+                    if any(SPLIT.split(x)[0] in OTHERS for x in value.split()):
+                        aside = depth
+                elif name not in ("html", "body", "main") and WORDS & set(SPLIT.split(value)):
+                    aside = depth
+        if name in ASIDE:
+            aside = depth
+        header = header or name == "header" and not main
         main = main or name in ("article", "main")
         here = f"{path}>{label}"
         if name in BLOCK:
             tokens.append(here)
         if name not in VOID and not t.endswith("/>"):
-            stack.append((name, here, aside, main))
+            stack.append((name, here, aside, header, main))
     return tokens
 
 
@@ -153,34 +164,60 @@ def key_of(token) -> int:
     return int.from_bytes(blake2b(value.encode("utf-8", "replace"), digest_size=8).digest(), "little") >> 1
 
 
+def text_sizes(tokens: list) -> dict[str, int]:
+    """Characters outside of links below each path."""
+    out: dict[str, int] = {}
+    for x in tokens:
+        if not isinstance(x, str):
+            at = len(x.path)
+            while at > 0:
+                out[x.path[:at]] = out.get(x.path[:at], 0) + x.size - x.linked
+                at = x.path.rfind(">", 0, at)
+    return out
+
+
 def occurrences(pages: DataFrame) -> DataFrame:
-    """(host, token, part, place): a row for each different token of a page; part stands for the page and how often it has the token."""
+    """(host, token, part, times, place, chars): a row for each different token of a page; part stands for the page and how often it has the token, chars is the text below it."""
 
     def run(batches):
         for batch in batches:
             for k in range(batch.num_rows):
                 host, page = batch.column("host")[k].as_py(), batch.column("html")[k].as_py()
-                keys = [key_of(x) for x in parse(page)]
-                if not keys:
+                tokens = parse(page)
+                if not tokens:
                     continue
+                keys, sizes = [key_of(x) for x in tokens], text_sizes(tokens)
                 counts, first = Counter(keys), {}
                 for i, x in enumerate(keys):
                     first.setdefault(x, i)
                 number = batch.column("number")[k].as_py()
                 own = [int.from_bytes(blake2b(f"{number}:{n}".encode(), digest_size=8).digest(), "little", signed=True) for n in counts.values()]
-                yield pa.RecordBatch.from_arrays([pa.array([host] * len(counts)), pa.array(list(counts), pa.int64()), pa.array(own, pa.int64()), pa.array([first[x] for x in counts], pa.int64())], ["host", "token", "part", "place"])
+                chars = [sizes.get(tokens[i], 0) if isinstance(tokens[i], str) else 0 for i in first.values()]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([host] * len(counts)), pa.array(list(counts), pa.int64()), pa.array(own, pa.int64()), *[pa.array(list(x), pa.int64()) for x in (counts.values(), first.values(), chars)]],
+                    ["host", "token", "part", "times", "place", "chars"],
+                )
 
-    return pages.mapInArrow(run, "host string, token long, part long, place long")
+    return pages.mapInArrow(run, "host string, token long, part long, times long, place long, chars long")
 
 
 def templates(pages: DataFrame, share: float, least_pages: int, least_tokens: int) -> DataFrame:
-    """(host, classes): equivalence classes of a host's template, each its tokens in order of their mean place."""
-    vectors = occurrences(pages).groupBy("host", "token").agg(F.bit_xor("part").alias("vector"), F.count("*").alias("n"), F.sum("place").alias("place"))
+    """(host, classes, region): equivalence classes of a host's template, each its tokens in order of their mean place, and the token of the element that holds the article (or null).
+
+    A vector is two sums of 32 bits for each page and number of occurrences, so that pages that repeat count as often as they do.
+    """
+    halves = [F.sum(x.bitwiseAND(F.lit(0xFFFFFFFF))).alias(c) for c, x in (("low", F.col("part")), ("high", F.shiftrightunsigned("part", 32)))]
+    vectors = occurrences(pages).groupBy("host", "token").agg(*halves, F.count("*").alias("n"), F.max("times").alias("times"), F.sum("place").alias("place"), F.sum("chars").alias("chars"))
     hosts = pages.groupBy("host").agg(F.count("*").alias("pages")).where(F.col("pages") >= least_pages)
     frequent = vectors.join(hosts, "host").where(F.col("n") >= share * F.col("pages"))
-    one = F.sort_array(F.collect_list(F.struct((F.col("place") / F.col("n")).alias("at"), "token")))
-    classes = frequent.groupBy("host", "vector", "n").agg(one.alias("c")).where(F.size("c") >= least_tokens)
-    return classes.groupBy("host").agg(F.sort_array(F.collect_list(F.col("c.token"))).alias("classes"))
+    one = F.sort_array(F.collect_list(F.struct((F.col("place") / F.col("n")).alias("at"), "token", "times", "chars")))
+    classes = frequent.groupBy("host", "low", "high", "n").agg(one.alias("c")).where(F.size("c") >= least_tokens)
+    known = classes.groupBy("host").agg(F.sort_array(F.collect_list(F.col("c.token"))).alias("classes"), F.flatten(F.collect_list("c")).alias("all"))
+    # the least of the elements that stand once and hold half of the text or more; of equal ones the innermost
+    most = F.array_max(F.col("all.chars"))
+    held = F.filter("all", lambda x: (x["times"] == 1) & (x["chars"] > 0) & (2 * x["chars"] >= most))
+    best = F.array_min(F.transform(held, lambda x: F.struct(x["chars"].alias("chars"), (-x["at"]).alias("at"), x["token"].alias("token"))))
+    return known.select("host", "classes", best["token"].alias("region"))
 
 
 def template_tokens(keys: list[int], classes: list[list[int]]) -> set[int]:
@@ -202,17 +239,21 @@ def template_tokens(keys: list[int], classes: list[list[int]]) -> set[int]:
     return out
 
 
-def main_text(page: str, classes: list[list[int]]) -> str:
+def main_text(page: str, classes: list[list[int]], region: int | None = None) -> str:
     tokens = parse(page)
-    blocks = [x for x in tokens if not isinstance(x, str) and not x.aside]
-    if any(x.main for x in blocks):
-        blocks = [x for x in blocks if x.main]
+    keys = [key_of(x) for x in tokens] if classes else []
+    fixed = template_tokens(keys, classes) if classes else set()
+    path = tokens[keys.index(region)] if region in fixed else ""
+    if path.count(">") > 2:  # an element of the body; html and body themselves tell nothing
+        depth = path.count(">")
+        slots = [x for x in tokens if not isinstance(x, str) and (x.path == path or x.path.startswith(path + ">")) and x.aside <= depth]
     else:
-        blocks = [x for x in blocks if 2 * x.linked < x.size]
-    fixed = template_tokens([key_of(x) for x in tokens], classes) if classes else ()
-    slots = [x for x in blocks if key_of(x) not in fixed] if fixed else blocks
-    if not slots and any(x.main for x in blocks):  # all pages of the host have the same article
-        slots = blocks
+        blocks = [(x, k) for x, k in zip(tokens, keys or [0] * len(tokens), strict=True) if not isinstance(x, str) and not x.aside and not x.header]
+        if any(x.main for x, _ in blocks):
+            slots = [x for x, _ in blocks if x.main]
+        else:
+            blocks = [(x, k) for x, k in blocks if 2 * x.linked < x.size]
+            slots = [x for x, k in blocks if k not in fixed] or [x for x, _ in blocks]
     return " ".join(x for x in (b.text() for b in slots) if x)
 
 
@@ -230,8 +271,8 @@ def extract(
 
     Blocks are in page order, joined by one space, white space inside one made a
     space and character references decoded.  A null html is an empty page; a page with a null
-    url, or one without a host, shares the host ''; a null id and repeated rows are rows like any other (repeats count as one page
-    in a vector's eyes no less than as two).  An empty table gives no rows.  Hosts with fewer than least_pages pages
+    url, or one without a host, shares the host ''; a null id and repeated rows are rows like any other (repeats count as pages
+    of their own).  An empty table gives no rows.  Hosts with fewer than least_pages pages
     have no template; there the elements alone decide.
     """
     rows = pages.select(
@@ -242,7 +283,7 @@ def extract(
     rows = rows.withColumn("number", F.xxhash64("page_id", "url", "html"))
     # stored, so that its size is known and a hot host's pages are not bound to the partitioning of the templates
     known = common.stored(templates(rows, share, least_pages, least_tokens).withColumnRenamed("host", "_host"))
-    size = F.octet_length("_host") + 64 + F.aggregate("classes", F.lit(0), lambda n, c: n + 8 * F.size(c) + 32)
+    size = F.octet_length("_host") + 72 + F.aggregate("classes", F.lit(0), lambda n, c: n + 8 * F.size(c) + 32)
     small = common.is_small(known, size, broadcast_bytes)
     if small:
         known = F.broadcast(known)
@@ -252,12 +293,12 @@ def extract(
 
     def run(batches):
         for batch in batches:
-            classes = batch.column("classes").to_pylist()
-            out = [main_text(page.as_py(), c or []) for page, c in zip(batch.column("html"), classes, strict=True)]
+            known_ = zip(batch.column("classes").to_pylist(), batch.column("region").to_pylist(), strict=True)
+            out = [main_text(page.as_py(), c or [], r) for page, (c, r) in zip(batch.column("html"), known_, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(out, pa.string())], ["page_id", "url", "text"])
 
     same = F.col("host") == F.col("_host")
-    joined = rows.join(known, same if small else same & (F.col("_lot") == F.col("_known_lot")), "left").select("page_id", "url", "html", "classes")
+    joined = rows.join(known, same if small else same & (F.col("_lot") == F.col("_known_lot")), "left").select("page_id", "url", "html", "classes", "region")
     return joined.mapInArrow(run, "page_id long, url string, text string")
 
 

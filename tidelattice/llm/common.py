@@ -8,12 +8,9 @@ import uuid
 
 import numpy as np
 import pandas as pd
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import textvec as tv
-
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -158,46 +155,3 @@ def model_lots(rows: DataFrame, symbol_bits: int, least: int, most: int = 0):
     rows = stored(rows.withColumn("lot", F.when(F.col("n") >= F.when(F.col("kind").startswith("p"), 3).otherwise(2), lot_of(context, lots))))
     for lot in range(lots):
         yield lot, lots, rows.where(F.col("lot").isNull() | (F.col("lot") == lot)).drop("lot")
-
-
-#: Bits of a bitmap: eight for each number, but 32 megabytes at most, whatever it holds; a fuller one only lets more rows through to the join behind it.
-BITMAP_LEAST, BITMAP_MOST, BITMAP_PARTS = 16, 28, 16
-
-
-def _bit(x: np.ndarray, bits: int) -> np.ndarray:
-    return (tv.mix(x.view(np.uint64)) >> np.uint64(64 - bits)).astype(np.int64)
-
-
-def bitmap(keys: DataFrame, column: str) -> np.ndarray:
-    """A bit for the hash of each number in a column; bounded, so that it can go to all tasks."""
-    keys = stored(keys.where(F.col(column).isNotNull()).select(F.col(column).cast("long")))
-    bits = min(BITMAP_MOST, max(BITMAP_LEAST, (8 * keys.count()).bit_length()))
-    part = 1 << bits >> 3 >> BITMAP_PARTS.bit_length() - 1
-
-    def run(batches):
-        held = np.zeros(1 << bits, bool)
-        for batch in batches:
-            held[_bit(np.asarray(batch.column(0)), bits)] = True
-        packed = np.packbits(held)
-        pieces = [(i, packed[i * part : (i + 1) * part]) for i in range(BITMAP_PARTS)]
-        pieces = [(i, x) for i, x in pieces if x.any()]
-        if pieces:
-            yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in pieces], pa.int32()), pa.array([x.tobytes() for _, x in pieces], pa.binary())], ["part", "bits"])
-
-    def either(pdf: pd.DataFrame) -> pd.DataFrame:
-        out = np.zeros(part, np.uint8)
-        for x in pdf["bits"]:
-            out |= np.frombuffer(x, np.uint8)
-        return pd.DataFrame({"part": pdf["part"].iloc[:1], "bits": [out.tobytes()]})
-
-    rows = keys.mapInArrow(run, "part int, bits binary").withColumn("lot", F.spark_partition_id() % 32)
-    rows = rows.groupBy("part", "lot").applyInPandas(lambda pdf: either(pdf), "part int, bits binary")
-    out = np.zeros(1 << bits >> 3, np.uint8)
-    for r in rows.groupBy("part").applyInPandas(lambda pdf: either(pdf), "part int, bits binary").collect():
-        out[r["part"] * part : (r["part"] + 1) * part] = np.frombuffer(r["bits"], np.uint8)
-    return out
-
-
-def has_bit(bits: np.ndarray, x: np.ndarray) -> np.ndarray:
-    at = _bit(x, (len(bits) << 3).bit_length() - 1)
-    return (bits[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1).astype(bool)

@@ -140,3 +140,66 @@ def inside(offsets: np.ndarray, there: np.ndarray, length: int) -> np.ndarray:
     """Starts of the windows of so many units that lie in one text that has an id."""
     n = np.where(there, np.maximum(np.diff(offsets) - length + 1, 0), 0)
     return np.repeat(offsets[:-1] - np.concatenate([[0], np.cumsum(n)])[:-1], n) + np.arange(int(n.sum()))
+
+
+def _packed_schema(names: list[str]) -> str:
+    return "slice long, bucket int, " + ", ".join(f"{x} binary" for x in ("key", *names))
+
+
+def entries(slices: DataFrame, of: Callable[[dict], tuple[np.ndarray, list[np.ndarray]]], names: list[str], buckets: int) -> DataFrame:
+    """Packed entries (slice, bucket, key, names): what `of` gives for each row of slices, keys and whole numbers beside them, dealt to buckets by the key's hash."""
+
+    def run(batches):
+        for batch in batches:
+            for row in batch.to_pylist():
+                key, columns = of(row)
+                order = np.argsort(key, kind="stable")
+                key, columns = key[order], [np.ascontiguousarray(x[order]) for x in columns]
+                rows: dict = {x: [] for x in ("slice", "bucket", "key", *names)}
+                for b, own in enumerate(deal(key, buckets)):
+                    if len(own):
+                        rows["slice"].append(row["slice"])
+                        rows["bucket"].append(b)
+                        rows["key"].append(tv.squeeze(tv.rising(key[own])))
+                        for name, x in zip(names, columns, strict=True):
+                            rows[name].append(tv.squeeze(x[own]))
+                yield pa.RecordBatch.from_pydict(rows, schema=pa.schema([("slice", pa.int64()), ("bucket", pa.int32()), *[(x, pa.binary()) for x in ("key", *names)]]))
+
+    return slices.mapInArrow(run, _packed_schema(names))
+
+
+def unpacked(pdf: pd.DataFrame, names: list[str]) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    """Slice, key and the columns of all entries of packed rows."""
+    keys = [np.cumsum(tv.unsqueeze(x), dtype=np.uint64) for x in pdf["key"]]
+    columns = [np.concatenate([np.zeros(0, np.int64), *[tv.unsqueeze(x).view(np.int64) for x in pdf[name]]]) for name in names]
+    return np.repeat(pdf["slice"].to_numpy(np.int64), [len(x) for x in keys]), np.concatenate([np.zeros(0, np.uint64), *keys]), columns
+
+
+def regrouped(packed: DataFrame, by: str, names: list[str], f: Callable, out: list[str]) -> DataFrame:
+    """Packed entries again, grouped by "bucket" or by "slice": f(slice, key, columns) says which stay, and the columns of all."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        slice_of, key, columns = unpacked(pdf, names)
+        use, columns = f(slice_of, key, columns)
+        rows: dict = {x: [] for x in ("slice", "bucket", "key", *out)}
+        at = 0
+        for s, b, x in zip(pdf["slice"].tolist(), pdf["bucket"].tolist(), pdf["key"], strict=True):
+            own = slice(at, at + int.from_bytes(x[:6], "little"))
+            at = own.stop
+            mine = use[own]
+            if mine.any():
+                rows["slice"].append(s)
+                rows["bucket"].append(b)
+                rows["key"].append(tv.squeeze(tv.rising(key[own][mine])))
+                for name, c in zip(out, columns, strict=True):
+                    rows[name].append(tv.squeeze(np.ascontiguousarray(c[own][mine])))
+        return pd.DataFrame(rows)
+
+    return packed.groupBy(by).applyInPandas(run, _packed_schema(out))
+
+
+def beside(slices: DataFrame, packed: DataFrame, names: list[str], f: Callable[..., bytes], name: str) -> DataFrame:
+    """slices with a column of bytes: what f makes of the slice, key and columns of its packed entries (null for none). It goes to all tasks if it is measured to be small, else both are shuffled."""
+    made = packed.groupBy("slice").applyInPandas(lambda pdf: pd.DataFrame({"slice": pdf["slice"].iloc[:1], name: [f(*unpacked(pdf, names))]}), f"slice long, {name} binary")
+    made = common.stored(made)
+    return slices.join(common.sized(made, F.octet_length(name) + 16), "slice", "left")

@@ -153,6 +153,25 @@ def cells(postings: DataFrame) -> DataFrame:
     return own.select(F.col("block").alias("cell"), "id", F.lit(None).cast("boolean").alias("side")).unionByName(cross)
 
 
+def split(members: DataFrame) -> DataFrame:
+    """(cell, id, side) with at most BLOCK records of a side in a cell, from cells of any size; side is null where all meet all."""
+    parts = members.groupBy("cell", "side").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts"))
+    of = parts.groupBy("cell").agg(F.max(F.when(~F.col("side"), F.col("parts"))).alias("zero"), F.max(F.when(F.col("side"), F.col("parts"))).alias("one"), F.max(F.when(F.col("side").isNull(), F.col("parts"))).alias("all"))
+    large = of.where("all > 1 or zero > 1 or one > 1")
+    x = members.join(large, "cell", "left")
+    small = x.where("all is null and zero is null and one is null").select("cell", "id", "side")
+    x = x.where("all is not null or zero is not null or one is not null")
+    own = F.pmod(F.xxhash64("id"), F.coalesce("all", F.when(F.col("side"), F.col("one")).otherwise(F.col("zero"))))
+    x = x.withColumn("own", own.cast("int"))
+    other = F.explode(F.sequence(F.lit(0), F.coalesce("all", F.when(F.col("side"), F.col("zero")).otherwise(F.col("one"))) - 1))
+    x = x.withColumn("other", other)
+    whole = F.col("side").isNull()
+    low = F.when(whole, F.least("own", "other")).when(F.col("side"), F.col("other")).otherwise(F.col("own"))
+    high = F.when(whole, F.greatest("own", "other")).when(F.col("side"), F.col("own")).otherwise(F.col("other"))
+    side = F.when(~whole, F.col("side")).when(F.col("own") != F.col("other"), F.col("own") < F.col("other"))
+    return small.unionByName(x.select(F.xxhash64("cell", low, high).alias("cell"), "id", side.alias("side")))
+
+
 def meet(members: DataFrame, records: DataFrame, solve: Callable) -> DataFrame:
     """(id, root, links): what solve says of each cell, (cell, id, side) in members, over records (id, weight, payload).
 

@@ -123,7 +123,7 @@ def blind_trie(strings: list[bytes]) -> list[list[int]]:
     return out
 
 
-def deep_shallow(buf: np.ndarray, starts: np.ndarray, length: int, shallow: int = 24) -> tuple[np.ndarray, np.ndarray]:
+def deep_shallow(buf: np.ndarray, starts: np.ndarray, length: int, shallow: int = 40) -> tuple[np.ndarray, np.ndarray]:
     """Order of the suffixes buf[start : start + length], and for each place in it whether it differs from the one before."""
     if not len(starts):
         return np.zeros(0, np.int64), np.zeros(0, bool)

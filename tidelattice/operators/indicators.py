@@ -10,8 +10,9 @@ from __future__ import annotations
 import math
 from collections import deque
 from collections.abc import Callable, Iterator
+from itertools import groupby
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -54,10 +55,9 @@ def with_changes(bars: DataFrame, x: str = "close") -> DataFrame:
 
 
 def bollinger(x: str, n: int, k: float) -> dict[str, Column]:
-    """Population deviation from window sums of squares, never below 0."""
+    """Population deviation around the window's mean."""
     w = back(n - 1)
-    mean = F.avg(x).over(w)
-    sd = F.sqrt(F.greatest(F.avg(F.col(x) * F.col(x)).over(w) - mean * mean, F.lit(0.0)))
+    mean, sd = F.avg(x).over(w), F.stddev_pop(x).over(w)
     low, high = mean - k * sd, mean + k * sd
     return {"middle": mean, "lower": low, "upper": high, "percent_b": F.when(high > low, (F.col(x) - low) / F.nullif(high - low, F.lit(0.0))).otherwise(F.lit(0.0))}
 
@@ -66,25 +66,31 @@ def relative_deviation(x: str, span_ms: int) -> Column:
     """Population deviation over mean of the bars in [t - span, t]."""
     w = Window.partitionBy("symbol").orderBy("open_time").rangeBetween(-span_ms, 0)
     mean = F.avg(x).over(w)
-    var = F.greatest(F.avg(F.col(x) * F.col(x)).over(w) - mean * mean, F.lit(0.0))
-    return F.when(mean > 0, F.sqrt(var) / F.nullif(mean, F.lit(0.0))).otherwise(F.lit(0.0))
+    return F.when(mean > 0, F.stddev_pop(x).over(w) / F.nullif(mean, F.lit(0.0))).otherwise(F.lit(0.0))
 
 
 def regression(x: str, n: int, weight: str | None = None) -> dict[str, Column]:
-    """Least squares on the places 0 .. m-1 of the last n bars; needs a column i of places.  Weights that are all 0 count as equal."""
+    """Least squares on the places 0 .. m-1 of the last n bars; needs a column i of places.  Weights that are all 0 count as equal.
+
+    Moments are taken around the means, so that large places and prices cost no digits.
+    """
     w = back(n - 1)
     i = F.col("i").cast("double")
-    total = F.sum(weight).over(w) if weight else None
-    g = F.when(total > 0, F.col(weight)).otherwise(F.lit(1.0)) if weight else F.lit(1.0)
-    if weight:  # the choice belongs to the window, not to the row
-        s = lambda e: F.when(total > 0, F.sum(F.col(weight) * e).over(w)).otherwise(F.sum(e).over(w))
-    else:
-        s = lambda e: F.sum(g * e).over(w)
-    s0, si, sx, sii, six = s(F.lit(1.0)), s(i), s(F.col(x)), s(i * i), s(i * F.col(x))
     base = F.min(i).over(w)
-    var = sii - si * si / s0
-    slope = F.when(var > 1e-9, (six - si * sx / s0) / F.nullif(var, F.lit(0.0))).otherwise(F.lit(0.0))
-    at0 = sx / s0 - slope * (si / s0 - base)
+    if weight:  # the last n bars as an array: the mean first, then what is left
+        rows = F.collect_list(F.struct(i.alias("i"), F.col(x).cast("double").alias("x"), F.col(weight).cast("double").alias("w"))).over(w)
+        total = F.sum(weight).over(w)
+        of = lambda r: F.when(total > 0, r["w"]).otherwise(1.0)
+        add = lambda f: F.aggregate(rows, F.lit(0.0), lambda acc, r: acc + f(r))
+        s0 = add(of)
+        mi, mx = add(lambda r: of(r) * (r["i"] - base)) / s0, add(lambda r: of(r) * r["x"]) / s0
+        var = add(lambda r: of(r) * (r["i"] - base - mi) * (r["i"] - base - mi))
+        both = add(lambda r: of(r) * (r["i"] - base - mi) * (r["x"] - mx))
+    else:
+        mi, mx = F.avg(i).over(w) - base, F.avg(x).over(w)
+        var, both = F.var_pop(i).over(w), F.covar_pop(i, F.col(x)).over(w)
+    slope = F.when(var > 1e-9, both / F.nullif(var, F.lit(0.0))).otherwise(F.lit(0.0))
+    at0 = mx - slope * mi
     fitted = at0 + slope * (i - base)
     return {"slope": slope, "intercept": at0, "fitted": fitted, "next": fitted + slope}
 
@@ -99,9 +105,7 @@ def price_range(n: int) -> tuple[Column, Column]:
 
 def log_return_volatility(n: int) -> Column:
     """Population deviation of the last n log returns; needs a column lr."""
-    w = back(n - 1)
-    mean = F.avg("lr").over(w)
-    return F.sqrt(F.greatest(F.avg(F.col("lr") * F.col("lr")).over(w) - mean * mean, F.lit(0.0)))
+    return F.stddev_pop("lr").over(back(n - 1))
 
 
 def temperature(scale: float, horizon: int, sigma: Column | None = None) -> Column:
@@ -128,13 +132,12 @@ def quadratic(x: str, n: int) -> dict[str, Column]:
     """a, b, c of the least-squares parabola over the last n bars, t from 0; null until the window is full. Needs i."""
     w = back(n - 1)
     t = F.col("i").cast("double") - F.min("i").over(w)
-    m, first = float(n), F.min("i").over(w)
-    # sums of powers of 0 .. n-1 are constants; sums with x follow from sums over absolute places
+    m = float(n)
+    # sums of powers of 0 .. n-1 are constants; those with x are over the places in the window
     p1, p2, p3, p4 = (float(sum(k**e for k in range(n))) for e in (1, 2, 3, 4))
-    i = F.col("i").cast("double")
-    y0, y1, y2 = F.sum(x).over(w), F.sum(i * F.col(x)).over(w), F.sum(i * i * F.col(x)).over(w)
-    s1 = y1 - first * y0
-    s2 = y2 - 2 * first * y1 + first * first * y0
+    rows = F.collect_list(F.col(x).cast("double")).over(w)
+    add = lambda f: F.aggregate(F.transform(rows, f), F.lit(0.0), lambda acc, v: acc + v)
+    y0, s1, s2 = add(lambda v, k: v), add(lambda v, k: v * k), add(lambda v, k: v * k * k)
     det = p4 * (p2 * m - p1 * p1) - p3 * (p3 * m - p1 * p2) + p2 * (p3 * p1 - p2 * p2)
     a = (s2 * (p2 * m - p1 * p1) - p3 * (s1 * m - p1 * y0) + p2 * (s1 * p1 - p2 * y0)) / det
     b = (p4 * (s1 * m - p1 * y0) - s2 * (p3 * m - p1 * p2) + p2 * (p3 * y0 - s1 * p2)) / det
@@ -147,19 +150,42 @@ def quadratic(x: str, n: int) -> dict[str, Column]:
 
 
 def scan(bars: DataFrame, columns: list[str], kernel: Callable[..., Iterator[tuple]], schema: str, keys: tuple = ("symbol",)) -> DataFrame:
-    """kernel(rows) yields a tuple for each row (a tuple of the columns, in time order) of a group."""
+    """kernel(rows) yields a tuple for each row (a tuple of the columns, in time order) of a group.
+
+    Groups are sorted by Spark, which spills, and reach the kernel as a stream: a kernel that holds a few numbers of state
+    needs no more memory for a long run than for a short one.
+    """
     names = [x.split()[0] for x in schema.split(",")]
     key_types = {f.name: f.dataType.simpleString() for f in bars.schema.fields}
+    head = ", ".join(f"{k} {key_types[k]}" for k in (*keys, "open_time"))
+    used = list(dict.fromkeys((*keys, "open_time", *columns)))
+    types = {"long": pa.int64(), "bigint": pa.int64(), "int": pa.int32(), "double": pa.float64(), "boolean": pa.bool_(), "string": pa.string()}
+    kinds = [types.get(x.split()[1]) for x in f"{head}, {schema}".split(", ")]
+    heads, body = [used.index(k) for k in (*keys, "open_time")], [used.index(c) for c in columns]
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("open_time", kind="stable")
-        out = pd.DataFrame(list(kernel(pdf[columns].itertuples(index=False, name=None))), columns=names)
-        for i, k in enumerate((*keys, "open_time")):
-            out.insert(i, k, pdf[k].to_numpy())
-        return out
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = (row for batch in batches for row in zip(*(batch.column(c).to_pylist() for c in range(len(used))), strict=True))
+        out: list[tuple] = []
+        for _, group in groupby(rows, key=lambda row: tuple(row[: len(keys)])):
+            waiting: deque = deque()
 
-    head = ", ".join(f"{k} {key_types[k]}" for k in (*keys, "open_time"))
-    return bars.select(*dict.fromkeys((*keys, "open_time", *columns))).groupBy(*keys).applyInPandas(run, f"{head}, {schema}")
+            def feed(group=group, waiting=waiting):
+                for row in group:
+                    waiting.append(tuple(row[k] for k in heads))
+                    yield tuple(row[k] for k in body)
+
+            for result in kernel(feed()):
+                out.append((*waiting.popleft(), *result))
+                if len(out) >= 10_000:
+                    yield batch_of(out)
+                    out = []
+        if out:
+            yield batch_of(out)
+
+    def batch_of(out: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(list(x), kind) for x, kind in zip(zip(*out, strict=True), kinds, strict=True)], [*keys, "open_time", *names])
+
+    return bars.select(*used).repartition(*keys).sortWithinPartitions(*keys, "open_time").mapInArrow(run, f"{head}, {schema}")
 
 
 def alpha_of(period: float) -> float:
@@ -326,10 +352,9 @@ def dmi(n: int):
                 up.step(u if u > d and u > 0 else 0.0)
                 down.step(d if d > u and d > 0 else 0.0)
                 true.step(max(h - low, abs(h - last[2]), abs(low - last[2])))
-                if true.value > 0:
-                    p, m = 100 * up.value / true.value, 100 * down.value / true.value
-                    direction = p - m
-                    adx.step(100 * abs(p - m) / (p + m) if p + m > 0 else 0.0)
+                p, m = (100 * up.value / true.value, 100 * down.value / true.value) if true.value > 0 else (0.0, 0.0)
+                direction = p - m
+                adx.step(100 * abs(p - m) / (p + m) if p + m > 0 else 0.0)
             last = (h, low, c)
             yield direction, adx.value
 

@@ -42,13 +42,16 @@ def common_times(bars: DataFrame) -> DataFrame:
 
 
 def nearest(left: DataFrame, right: DataFrame, time: str = "event_time") -> DataFrame:
-    """Each row of left (symbol, time, id) with the nearest time and price of right; ties go to the earlier one."""
+    """Each row of left (symbol, time, id) with the nearest time and price of right; ties go to the earlier one.
+
+    Both sides are running windows, one in each direction of time, so that a symbol costs its rows and no more.
+    """
     rows = left.select("symbol", time, "id", F.lit(None).cast("struct<t:bigint,p:double>").alias("e")).unionByName(
         right.select("symbol", time, F.lit(None).cast("long").alias("id"), F.struct(F.col(time).alias("t"), F.col("price").alias("p")).cast("struct<t:bigint,p:double>").alias("e"))
     )
-    w = Window.partitionBy("symbol").orderBy(time)
-    before = F.last("e", ignorenulls=True).over(w.rangeBetween(Window.unboundedPreceding, 0))
-    after = F.first("e", ignorenulls=True).over(w.rangeBetween(0, Window.unboundedFollowing))
+    w = Window.partitionBy("symbol")
+    before = F.last("e", ignorenulls=True).over(w.orderBy(time).rangeBetween(Window.unboundedPreceding, 0))
+    after = F.last("e", ignorenulls=True).over(w.orderBy(F.desc(time)).rangeBetween(Window.unboundedPreceding, 0))
     rows = rows.withColumns({"b": before, "a": after}).where("id is not null")
     later = F.col("b").isNull() | (F.col("a.t") - F.col(time) < F.col(time) - F.col("b.t"))
     near = F.when(later, F.col("a")).otherwise(F.col("b"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections import deque
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -23,46 +23,50 @@ def fills(lineitem: DataFrame, orders: DataFrame) -> DataFrame:
     )
 
 
-LOTS = "account long, lot long, side string, opened double, remaining double, profit double, break_even double, status string"
-
-
 def lots(rows: DataFrame, fee: float = 0.001, slip: float = 0.0005) -> DataFrame:
-    """Fills in order of (time, id) make lots: a fill closes opposite lots first in, first out, and opens one with the rest.
+    """Fills in order of (time, id, side, quantity, quote) make lots: a fill closes opposite lots first in, first out, and opens one with the rest.
 
-    Quantities are rounded to 8 places and amounts to 6 after each change.
+    First in, first out means that on the axis of all quantity ever opened on a side a lot is an interval, and that what a fill closes is one too:
+    running sums place both, and where they overlap the fill closes the lot.  Quantities are rounded to 8 places, amounts to 6.
     """
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        open_: dict[str, deque] = {"long": deque(), "short": deque()}
-        every = []
-        for f in pdf.sort_values(["time", "id"]).itertuples():
-            own, other, sign = ("long", "short", 1) if f.side == "buy" else ("short", "long", -1)
-            unit, left = (f.quote + sign * f.fee) / f.quantity, f.quantity
-            while left > 1e-8 and open_[other]:
-                lot = open_[other][0]
-                q = min(left, lot["remaining"])
-                lot["remaining"] = round(lot["remaining"] - q, 8)
-                # a long's money is what is still to be earned back, a short's what is still to be spent
-                lot["money"] = round(lot["money"] - q * unit, 6)
-                left = round(left - q, 8)
-                if lot["remaining"] <= 1e-8:
-                    lot["remaining"] = 0.0
-                    open_[other].popleft()
-            if left > 1e-8:
-                lot = {"lot": f.id, "side": own, "opened": left, "remaining": left, "money": round(left * unit, 6)}
-                open_[own].append(lot)
-                every.append(lot)
-        out = []
-        for x in every:
-            closed = x["remaining"] == 0
-            profit = (-x["money"] if x["side"] == "long" else x["money"]) if closed else None
-            up = 1 + fee + slip
-            even = None if closed else x["money"] / x["remaining"] * up if x["side"] == "long" else x["money"] / x["remaining"] / up**2
-            status = "closed" if closed else "partially-closed" if x["remaining"] < x["opened"] else "open"
-            out.append((pdf["account"].iloc[0], x["lot"], x["side"], x["opened"], x["remaining"], profit, even, status))
-        return pd.DataFrame(out, columns=[c.split()[0] for c in LOTS.split(", ")])
-
-    return rows.groupBy("account").applyInPandas(run, LOTS)
+    time_order = Window.partitionBy("account").orderBy("time", "id", "side", "quantity", "quote")
+    rows = rows.withColumn("n", F.row_number().over(time_order))
+    time_order = Window.partitionBy("account").orderBy("n")
+    signed = F.when(F.col("side") == "buy", F.col("quantity")).otherwise(-F.col("quantity"))
+    x = rows.withColumn("after", F.round(F.sum(signed).over(time_order.rowsBetween(Window.unboundedPreceding, 0)), 8))
+    x = x.withColumn("before", F.coalesce(F.lag("after").over(time_order), F.lit(0.0)))
+    x = x.withColumn("unit", (F.col("quote") + F.when(F.col("side") == "buy", F.col("fee")).otherwise(-F.col("fee"))) / F.col("quantity"))
+    # what each fill opens (more of the side) and closes (less of it); a fill that turns the position does both
+    moves = []
+    for side, sign in (("long", 1), ("short", -1)):
+        change = F.round(F.greatest(sign * F.col("after"), F.lit(0.0)) - F.greatest(sign * F.col("before"), F.lit(0.0)), 8)
+        moves.append(F.struct(F.lit(side).alias("side"), change.alias("change")))
+    x = x.select("account", "n", "id", "unit", F.explode(F.array(*moves)).alias("m")).select("account", "n", "id", "unit", "m.*").where(F.abs("change") > 1e-8)
+    opens = F.col("change") > 0
+    by = Window.partitionBy("account", "side")
+    upto = by.orderBy("n").rowsBetween(Window.unboundedPreceding, 0)
+    start = F.when(opens, F.round(F.sum(F.greatest("change", F.lit(0.0))).over(upto) - F.col("change"), 8)).otherwise(F.round(F.sum(F.greatest(-F.col("change"), F.lit(0.0))).over(upto) + F.col("change"), 8))
+    x = x.withColumn("start", start)
+    closed = F.round(F.sum(F.when(~opens, -F.col("change")).otherwise(0.0)).over(by), 8)
+    x = x.withColumn("closed", closed)
+    # both kinds on one axis; from each start to the next the last opened and the last closing one hold
+    axis = by.orderBy("start").rangeBetween(Window.unboundedPreceding, 0)
+    x = x.withColumn("lot", F.last(F.when(opens, F.struct("n", "id", "unit", "change")), ignorenulls=True).over(axis))
+    x = x.withColumn("closing", F.last(F.when(~opens, F.struct("id", "unit")), ignorenulls=True).over(axis))
+    x = x.groupBy("account", "side", "start").agg(F.first("lot").alias("lot"), F.first("closing").alias("closing"), F.first("closed").alias("closed"))
+    end = F.coalesce(F.lead("start").over(by.orderBy("start")), F.round(F.col("lot.change") + F.col("start"), 8))
+    # beyond all that is closed nothing closes
+    x = x.withColumn("end", end).withColumn("q", F.round(F.greatest(F.least("end", "closed") - F.col("start"), F.lit(0.0)), 8))
+    matched = F.when(F.col("q") > 1e-8, F.round(F.col("q") * F.col("closing.unit"), 6)).otherwise(0.0)
+    x = x.groupBy("account", "side", F.col("lot.n").alias("n"), F.col("lot.id").alias("lot"), F.col("lot.change").alias("opened"), F.col("lot.unit").alias("unit")).agg(F.sum("q").alias("gone"), F.sum(matched).alias("paid"))
+    remaining = F.round(F.col("opened") - F.col("gone"), 8)
+    x = x.withColumn("remaining", F.when(remaining > 1e-8, remaining).otherwise(0.0)).withColumn("money", F.round(F.round(F.col("opened") * F.col("unit"), 6) - F.col("paid"), 6))
+    # a long's money is what is still to be earned back, a short's what is still to be spent
+    done, up = F.col("remaining") == 0, 1 + fee + slip
+    long_ = F.col("side") == "long"
+    even = F.when(~done, F.col("money") / F.nullif("remaining", F.lit(0.0)) * F.when(long_, F.lit(up)).otherwise(F.lit(1 / up**2)))
+    status = F.when(done, "closed").when(F.col("remaining") < F.col("opened"), "partially-closed").otherwise("open")
+    return x.select("account", "lot", "side", "opened", "remaining", F.when(done, F.when(long_, -F.col("money")).otherwise(F.col("money"))).alias("profit"), even.alias("break_even"), status.alias("status"))
 
 
 def closed_summary(lot_rows: DataFrame) -> DataFrame:

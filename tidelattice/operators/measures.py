@@ -61,14 +61,16 @@ def zigzag(percent: float):
     def run(rows):
         anchor, way, turns = None, 0, 0
         for (x,) in rows:
+            # from a price that isn't positive no percentage is taken
+            far = anchor is not None and anchor > 0 and abs(x / anchor - 1) * 100 >= percent
             if anchor is None:
                 anchor = x
             elif way == 0:
-                if abs(x / anchor - 1) * 100 >= percent:
+                if far:
                     way, anchor = (1 if x > anchor else -1), x
             elif (x - anchor) * way > 0:
                 anchor = x
-            elif abs(x / anchor - 1) * 100 >= percent:
+            elif far:
                 way, anchor, turns = -way, x, turns + 1
             yield (turns,)
 

@@ -11,6 +11,8 @@ from ..functions import scalars as fx
 from ..operators import bars, indicators as ind, joins, ledger, measures, oracles, portfolio, ranking, signals
 
 H = fx.HOUR
+#: Amounts end in a five often; this much beside it, both engines round them alike.
+OFF_TIES = 0.0000133
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
 
@@ -222,7 +224,9 @@ def interval_movement(spark, sf):
     return measures.movement(hourly(spark, sf))
 
 
-@query()
+@query(""", z AS (SELECT symbol, rn, close AS a, 0 AS way, 0 AS turns FROM bars WHERE rn = 1 UNION ALL
+SELECT symbol, rn, CASE WHEN way <> 0 AND on_ OR far THEN close ELSE a END, CASE WHEN way = 0 THEN CASE WHEN far THEN CASE WHEN close > a THEN 1 ELSE -1 END ELSE 0 END WHEN NOT on_ AND far THEN -way ELSE way END, turns + CASE WHEN way <> 0 AND NOT on_ AND far THEN 1 ELSE 0 END
+FROM (SELECT b.symbol, b.rn, b.close, z.a, z.way, z.turns, (b.close - z.a) * z.way > 0 AS on_, z.a > 0 AND abs(b.close / z.a - 1) * 100 >= 50 AS far FROM z JOIN bars b ON b.symbol = z.symbol AND b.rn = z.rn + 1)) SELECT symbol, CAST(max(turns) AS BIGINT) AS turns FROM z GROUP BY symbol""")
 def zigzag_turns(spark, sf):
     x = ind.scan(hourly(spark, sf), ["close"], measures.zigzag(50.0), "turns long")
     return x.groupBy("symbol").agg(F.max("turns").alias("turns"))
@@ -284,42 +288,50 @@ def efficiency_ratio(spark, sf):
     return ind.with_changes(hourly(spark, sf)).select("symbol", "open_time", ind.efficiency_ratio("close", 10).alias("er"))
 
 
-@query(f", x AS (SELECT symbol, open_time, close, avg(close) {_w(20)} AS m, sqrt(greatest(avg(close * close) {_w(20)} - (avg(close) {_w(20)}) * (avg(close) {_w(20)}), 0)) AS s FROM bars) SELECT symbol, open_time, round(m, 6) AS middle, round(m - 2 * s, 4) AS lower, round(m + 2 * s, 4) AS upper FROM x WHERE s > 0.001")
+@query(f", x AS (SELECT symbol, open_time, avg(close) {_w(20)} AS m, stddev_pop(close) {_w(20)} AS s FROM bars) SELECT symbol, open_time, round(m, 6) AS middle, round(m - 2 * s, 6) AS lower, round(m + 2 * s, 6) AS upper FROM x")
 def bollinger_bands(spark, sf):
     b = ind.bollinger("close", 20, 2.0)
-    x = hourly(spark, sf).select("symbol", "open_time", *[b[k].alias(k) for k in ("middle", "lower", "upper")]).where("upper - middle > 0.002")
-    return x.select("symbol", "open_time", "middle", *[F.round(k, 4).alias(k) for k in ("lower", "upper")])
+    return hourly(spark, sf).select("symbol", "open_time", *[b[k].alias(k) for k in ("middle", "lower", "upper")])
 
 
-@query(", x AS (SELECT symbol, open_time, avg(close) OVER w AS m, avg(close * close) OVER w AS q FROM bars WINDOW w AS (PARTITION BY symbol ORDER BY open_time RANGE BETWEEN 86400000 PRECEDING AND CURRENT ROW)) SELECT symbol, open_time, round(CASE WHEN m > 0 THEN sqrt(greatest(q - m * m, 0)) / m ELSE 0 END, 4) AS deviation FROM x")
+@query(", x AS (SELECT symbol, open_time, avg(close) OVER w AS m, stddev_pop(close) OVER w AS s FROM bars WINDOW w AS (PARTITION BY symbol ORDER BY open_time RANGE BETWEEN 86400000 PRECEDING AND CURRENT ROW)) SELECT symbol, open_time, round(CASE WHEN m > 0 THEN s / m ELSE 0 END, 6) AS deviation FROM x")
 def relative_deviation(spark, sf):
-    return hourly(spark, sf).select("symbol", "open_time", F.round(ind.relative_deviation("close", fx.DAY), 4).alias("deviation"))
+    return hourly(spark, sf).select("symbol", "open_time", ind.relative_deviation("close", fx.DAY).alias("deviation"))
 
 
-@query(f", x AS (SELECT symbol, open_time, regr_slope(close, rn - 1) {_w(12)} AS s, regr_intercept(close, rn - 1) {_w(12)} AS i, rn - 1 AS p, count(*) {_w(12)} AS n FROM bars) SELECT symbol, open_time, round(s, 5) + 0.0 AS slope, round(i + s * p, 5) + 0.0 AS fitted, round(i + s * (p + 1), 5) + 0.0 AS next FROM x WHERE n > 1")
+@query(f", x AS (SELECT symbol, open_time, close, CASE WHEN rn = 1 THEN 0 ELSE regr_slope(close, rn - 1) {_w(12)} END AS s, CASE WHEN rn > 1 THEN regr_intercept(close, rn - 1) {_w(12)} END AS i, rn - 1 AS p FROM bars) SELECT symbol, open_time, round(s, 6) + 0.0 AS slope, round(coalesce(i + s * p, close), 6) + 0.0 AS fitted, round(coalesce(i + s * (p + 1), close), 6) + 0.0 AS next FROM x")
 def linear_regression(spark, sf):
     g = ind.regression("close", 12)
-    x = ind.placed(hourly(spark, sf)).select("symbol", "open_time", "i", *[F.round(g[k] + 0.0, 5).alias(k) for k in ("slope", "fitted", "next")])
-    return x.where("i > 0").drop("i")
+    return ind.placed(hourly(spark, sf)).select("symbol", "open_time", *[(g[k] + 0.0).alias(k) for k in ("slope", "fitted", "next")])
 
 
-@query()
+_NEAR = ", p AS (SELECT b.symbol, b.open_time, b.rn, y.rn - greatest(b.rn - 11, 1) AS t, least(b.rn - 1, 11) AS pos, y.close AS v, y.volume AS q FROM bars b JOIN bars y ON y.symbol = b.symbol AND y.rn BETWEEN b.rn - 11 AND b.rn)"
+
+
+@query(_NEAR + """, w AS (SELECT *, CASE WHEN sum(q) OVER k > 0 THEN q ELSE 1 END AS w FROM p WINDOW k AS (PARTITION BY symbol, rn)),
+c AS (SELECT *, sum(w * t) OVER k / sum(w) OVER k AS mt, sum(w * v) OVER k / sum(w) OVER k AS mv FROM w WINDOW k AS (PARTITION BY symbol, rn)),
+g AS (SELECT symbol, open_time, any_value(pos) AS pos, any_value(mt) AS mt, any_value(mv) AS mv, sum(w * (t - mt) * (t - mt)) AS var, sum(w * (t - mt) * (v - mv)) AS cov FROM c GROUP BY symbol, open_time),
+s AS (SELECT *, CASE WHEN var > 1e-9 THEN cov / var ELSE 0 END AS s FROM g) SELECT symbol, open_time, round(s, 6) + 0.0 AS slope, round(mv + s * (pos + 1 - mt), 6) + 0.0 AS next FROM s""")
 def weighted_regression(spark, sf):
     g = ind.regression("close", 12, "volume")
-    return ind.placed(hourly(spark, sf)).select("symbol", "open_time", g["slope"].alias("slope"), g["next"].alias("next"))
+    return ind.placed(hourly(spark, sf)).select("symbol", "open_time", (g["slope"] + 0.0).alias("slope"), (g["next"] + 0.0).alias("next"))
 
 
-@query()
+@query(_NEAR + """, g AS (SELECT symbol, open_time, sum(v) AS y0, sum(v * t) AS y1, sum(v * t * t) AS y2 FROM p GROUP BY symbol, open_time, rn HAVING count(*) = 12),
+d AS (SELECT *, 39974 * (506 * 12 - 66 * 66) - 4356 * (4356 * 12 - 66 * 506) + 506 * (4356 * 66 - 506 * 506) AS det FROM g)
+SELECT b.symbol, b.open_time, round((y2 * (506 * 12 - 66 * 66) - 4356 * (y1 * 12 - 66 * y0) + 506 * (y1 * 66 - 506 * y0)) / det, 6) + 0.0 AS a,
+round((39974 * (y1 * 12 - 66 * y0) - y2 * (4356 * 12 - 66 * 506) + 506 * (4356 * y0 - y1 * 506)) / det, 6) + 0.0 AS b,
+round((39974 * (506 * y0 - 66 * y1) - 4356 * (4356 * y0 - y1 * 506) + y2 * (4356 * 66 - 506 * 506)) / det, 6) + 0.0 AS c FROM bars b LEFT JOIN d ON d.symbol = b.symbol AND d.open_time = b.open_time""")
 def quadratic_fit(spark, sf):
     g = ind.quadratic("close", 12)
-    return ind.placed(hourly(spark, sf)).select("symbol", "open_time", g["a"].alias("a"), g["b"].alias("b"), g["c"].alias("c")).where("a is not null")
+    return ind.placed(hourly(spark, sf)).select("symbol", "open_time", *[(g[k] + 0.0).alias(k) for k in "abc"])
 
 
-@query(_LR + f", x AS (SELECT symbol, open_time, avg(r) {_w(24)} AS m, avg(r * r) {_w(24)} AS q FROM lr) SELECT symbol, open_time, round(sqrt(greatest(q - m * m, 0)), 5) AS sigma, round(0.5 * sqrt(24) * sqrt(greatest(q - m * m, 0)), 5) AS temperature FROM x")
+@query(_LR + f", x AS (SELECT symbol, open_time, stddev_pop(r) {_w(24)} AS s FROM lr) SELECT symbol, open_time, round(s, 6) AS sigma, round(0.5 * sqrt(24) * s, 6) AS temperature FROM x")
 def volatility_temperature(spark, sf):
     x = joins.log_returns(hourly(spark, sf)).withColumn("lr", F.col("r"))
     s = ind.log_return_volatility(24)
-    return x.select("symbol", "open_time", F.round(s, 5).alias("sigma"), F.round(ind.temperature(0.5, 24, s), 5).alias("temperature"))
+    return x.select("symbol", "open_time", s.alias("sigma"), ind.temperature(0.5, 24, s).alias("temperature"))
 
 
 @query(f"SELECT symbol, open_time, round(avg((high - low) / open * 100) {_w(100)}, 6) AS mean_range, round(max((high - low) / open * 100) {_w(100)}, 6) AS max_range FROM bars")
@@ -403,12 +415,15 @@ def mean_transition_interval(spark, sf):
     return signals.mean_interval(signals.transitions(_hold(spark, sf), "state"))
 
 
-@query()
+@query(_KAMA + """, t AS (SELECT symbol, rn, open_time, d / kama * 10000 AS rate FROM k), h AS (SELECT symbol, rn, open_time, CASE WHEN abs(rate) > 60 THEN rate ELSE 0 END AS r FROM t WHERE rn = 1 UNION ALL
+SELECT t.symbol, t.rn, t.open_time, CASE WHEN h.r <> 0 AND t.rate * h.r > 0 AND abs(t.rate) >= 20 OR abs(t.rate) > CASE WHEN h.r = 0 THEN 60 ELSE 40 END THEN t.rate ELSE 0 END FROM h JOIN t ON t.symbol = h.symbol AND t.rn = h.rn + 1) SELECT symbol, open_time, CAST(sign(r) AS BIGINT) AS state FROM h""")
 def signal_hysteresis(spark, sf):
     return _hold(spark, sf, "hysteresis")
 
 
-@query()
+@query(_HOLD + """, s AS (SELECT h.symbol, h.rn, h.open_time, CAST(sign(h.r) AS BIGINT) AS w, b.close FROM h JOIN bars b ON b.symbol = h.symbol AND b.rn = h.rn), a AS (SELECT symbol, rn, open_time, w AS before, w AS accepted, CASE WHEN w <> 0 THEN close END AS last, w <> 0 AS taken FROM s WHERE rn = 1 UNION ALL
+SELECT symbol, rn, open_time, w, CASE WHEN taken THEN w ELSE accepted END, CASE WHEN taken THEN close ELSE last END, taken FROM (SELECT s.symbol, s.rn, s.open_time, s.w, s.close, a.accepted, a.last, s.w <> a.before AND s.w <> a.accepted AND (a.last IS NULL OR abs(s.close - a.last) > a.last * 0.002) AS taken FROM a JOIN s ON s.symbol = a.symbol AND s.rn = a.rn + 1))
+SELECT symbol, open_time, accepted, taken FROM a""")
 def accepted_signals(spark, sf):
     x = _hold(spark, sf).join(hourly(spark, sf).select("symbol", "open_time", "close"), ["symbol", "open_time"])
     return ind.scan(x, ["state", "close"], signals.accepted_signals(0.002), "accepted int, taken boolean")
@@ -471,14 +486,29 @@ def rebalance_factor(spark, sf):
     return x.select("l_orderkey", "l_linenumber", fx.rebalance_factor("x", "a", 0.001).alias("factor"))
 
 
-@query()
+_LOTS = """WITH f AS (SELECT o_custkey AS account, row_number() OVER (PARTITION BY o_custkey ORDER BY l_shipdate, l_orderkey * 10 + l_linenumber, CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END, l_quantity, l_extendedprice) AS n, l_orderkey * 10 + l_linenumber AS id, CASE WHEN l_returnflag = 'R' THEN -1 ELSE 1 END AS sign, l_quantity AS q, (l_extendedprice + CASE WHEN l_returnflag = 'R' THEN -1 ELSE 1 END * l_extendedprice * l_tax) / l_quantity AS unit FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
+p AS (SELECT *, sum(sign * q) OVER w AS after, sum(sign * q) OVER w - sign * q AS before FROM f WINDOW w AS (PARTITION BY account ORDER BY n)),
+m AS (SELECT account, n, id, unit, s, greatest(s * after, 0) - greatest(s * before, 0) AS c FROM p, (SELECT unnest([1, -1]) AS s)),
+o AS (SELECT account, s, n, id, unit, c, sum(c) OVER w - c AS a, sum(c) OVER w AS b FROM m WHERE c > 1e-8 WINDOW w AS (PARTITION BY account, s ORDER BY n)),
+k AS (SELECT account, s, unit, sum(-c) OVER w + c AS a, sum(-c) OVER w AS b FROM m WHERE c < -1e-8 WINDOW w AS (PARTITION BY account, s ORDER BY n)),
+g AS (SELECT o.account, o.s, o.n, o.id, any_value(o.c) AS opened, any_value(o.unit) AS unit, coalesce(sum(least(o.b, k.b) - greatest(o.a, k.a)) FILTER (k.a IS NOT NULL), 0) AS gone, coalesce(sum(round((least(o.b, k.b) - greatest(o.a, k.a)) * k.unit, 6)) FILTER (k.a IS NOT NULL), 0) AS paid
+  FROM o LEFT JOIN k ON k.account = o.account AND k.s = o.s AND k.a < o.b AND k.b > o.a GROUP BY ALL),
+l AS (SELECT account, id AS lot, s, opened, opened - gone AS remaining, round(opened * unit, 6) - paid AS money FROM g),
+lots AS (SELECT account, lot, CASE WHEN s = 1 THEN 'long' ELSE 'short' END AS side, opened, remaining, CASE WHEN remaining = 0 THEN -s * money END AS profit,
+  CASE WHEN remaining > 0 THEN money / remaining * CASE WHEN s = 1 THEN 1.0015 ELSE 1 / (1.0015 * 1.0015) END END AS break_even, CASE WHEN remaining = 0 THEN 'closed' WHEN remaining < opened THEN 'partially-closed' ELSE 'open' END AS status FROM l)
+"""
+
+
+@query(_LOTS + f"SELECT account, lot, side, {r('opened', 'remaining')}, round(profit + 0.0000133, 3) + 0.0 AS profit, round(break_even + 0.0000133, 3) + 0.0 AS break_even, status FROM lots")
 def position_lots(spark, sf):
-    return ledger.lots(ledger.fills(table(spark, sf, "lineitem"), table(spark, sf, "orders")))
+    x = ledger.lots(ledger.fills(table(spark, sf, "lineitem"), table(spark, sf, "orders")))
+    return x.withColumns({c: F.round(F.col(c) + OFF_TIES, 3) + 0.0 for c in ("profit", "break_even")})
 
 
-@query()
+@query(_LOTS + "SELECT account, count(*) AS lots, count(*) FILTER (status = 'closed') AS closed, count(*) FILTER (status = 'closed' AND profit > 0) AS profitable, round(sum(coalesce(profit, 0)) + 0.0000133, 3) + 0.0 AS profit FROM lots GROUP BY account")
 def closed_position_summary(spark, sf):
-    return ledger.closed_summary(ledger.lots(ledger.fills(table(spark, sf, "lineitem"), table(spark, sf, "orders"))))
+    x = ledger.closed_summary(ledger.lots(ledger.fills(table(spark, sf, "lineitem"), table(spark, sf, "orders"))))
+    return x.withColumn("profit", F.round(F.col("profit") + OFF_TIES, 3) + 0.0)
 
 
 @query("SELECT o_custkey AS account, CASE l_returnflag WHEN 'R' THEN 'sell' ELSE 'buy' END AS side, round(sum(l_quantity), 6) AS quantity, round(sum(l_extendedprice), 4) AS quote, round(sum(l_extendedprice * l_tax), 4) AS fee, count(*) AS n FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY ALL")

@@ -20,8 +20,11 @@ def tick_bars(ticks: DataFrame, width: str = "1 hour", late: str = "10 minutes")
 
 
 def closed_once(bars: DataFrame, late: str = "10 minutes") -> DataFrame:
-    """Closed bars, each (symbol, open time) once."""
-    x = bars.where("closed").withColumn("at", F.timestamp_millis("open_time")).withWatermark("at", late)
+    """Closed bars, each (symbol, open time) once.
+
+    at, the column of the watermark, is a day after the open time: a watermark begins at the epoch, and what is not after it counts as late.
+    """
+    x = bars.where("closed").withColumn("at", F.timestamp_millis(F.col("open_time") + F.lit(86_400_000))).withWatermark("at", late)
     return x.dropDuplicatesWithinWatermark(["symbol", "open_time"])
 
 

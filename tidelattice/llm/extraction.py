@@ -166,13 +166,16 @@ def key_of(token) -> int:
 
 def text_sizes(tokens: list) -> dict[str, int]:
     """Characters outside of links below each path."""
-    out: dict[str, int] = {}
+    own: dict[str, int] = {}
     for x in tokens:
         if not isinstance(x, str):
-            at = len(x.path)
-            while at > 0:
-                out[x.path[:at]] = out.get(x.path[:at], 0) + x.size - x.linked
-                at = x.path.rfind(">", 0, at)
+            own[x.path] = own.get(x.path, 0) + x.size - x.linked
+    out: dict[str, int] = {}
+    for path, size in own.items():
+        at = len(path)
+        while at > 0:
+            out[path[:at]] = out.get(path[:at], 0) + size
+            at = path.rfind(">", 0, at)
     return out
 
 
@@ -191,7 +194,8 @@ def occurrences(pages: DataFrame) -> DataFrame:
                 for i, x in enumerate(keys):
                     first.setdefault(x, i)
                 number = batch.column("number")[k].as_py()
-                own = [int.from_bytes(blake2b(f"{number}:{n}".encode(), digest_size=8).digest(), "little", signed=True) for n in counts.values()]
+                parts = {n: int.from_bytes(blake2b(f"{number}:{n}".encode(), digest_size=8).digest(), "little", signed=True) for n in set(counts.values())}
+                own = [parts[n] for n in counts.values()]
                 chars = [sizes.get(tokens[i], 0) if isinstance(tokens[i], str) else 0 for i in first.values()]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([host] * len(counts)), pa.array(list(counts), pa.int64()), pa.array(own, pa.int64()), *[pa.array(list(x), pa.int64()) for x in (counts.values(), first.values(), chars)]],

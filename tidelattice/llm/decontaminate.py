@@ -105,12 +105,12 @@ def contamination(docs: DataFrame, items: DataFrame, size: int = 13, percent: in
 
     items: item_id, text.  A document word inside an occurrence of a window is hit;
     contaminated: some word is hit, and at least percent of 100 words are.  A null
-    text has no words.  A row with a null id isn't searched (n_hit 0); rows that repeat an id
-    and text have the same result; an empty table on either side gives no hits.
+    text has no words.  A null id is one like any other; rows that repeat an id and
+    text have the same result, those that repeat an id alone their own; other columns are not looked at; items with a null id are left out; an empty table on either side gives no hits.
     """
-    docs = common.texts(docs, id_col, text_col)
+    docs = common.texts(docs, id_col, text_col).withColumn("row", F.xxhash64("doc_id", "text"))
     wins = common.cut(windows(items.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text")).where("item_id is not null"), size))
-    index = build_index(docs.where("doc_id is not null"), wins.select(F.explode("terms").alias("term")).distinct())
+    index = build_index(docs.select(F.col("row").alias("doc_id"), "text"), wins.select(F.explode("terms").alias("term")).distinct())
     found = common.cut(phrases(index, wins))
     # starts of a document in runs: a word is counted once, however many windows cover it
     by = Window.partitionBy("doc_id").orderBy("start", "end")
@@ -120,8 +120,8 @@ def contamination(docs: DataFrame, items: DataFrame, size: int = 13, percent: in
     hits = spans.select("doc_id", new.alias("new")).groupBy("doc_id").agg(F.sum("new").cast("long").alias("n_hit"))
     own = found.select("win", "doc_id").distinct().join(wins.select("win", "item_id").distinct(), "win").groupBy("doc_id")
     own = own.agg(F.sort_array(F.collect_set("item_id")).alias("item_ids"))
-    rows = docs.select("doc_id", F.size(words(F.col("text"))).cast("long").alias("n_words"))
-    out = rows.join(hits.join(own, "doc_id"), "doc_id", "left")
+    rows = docs.select("doc_id", "row", F.size(words(F.col("text"))).cast("long").alias("n_words"))
+    out = rows.join(hits.join(own, "doc_id").withColumnRenamed("doc_id", "row"), "row", "left")
     n_hit = F.coalesce("n_hit", F.lit(0)).cast("long")
     ids = F.coalesce("item_ids", F.array().cast("array<string>"))
     return out.select(

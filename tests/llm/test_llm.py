@@ -122,6 +122,14 @@ def test_pack(docs):
     assert packing.pack(nothing(docs), packing.word_count()).count() == 0
 
 
+def test_odd_lengths_and_shards(spark):
+    rows = spark.createDataFrame([(1, "a", None, 3), (2, None, 99, None), (None, "b" * 100, 1, 7), (2, "a", -1, 3)], "doc_id long, text string, shard int, n_tokens int")
+    out = sharding.reshard(rows, F.col("shard"), 2, 3).collect()
+    assert len(out) == 4 and {r["old_shard"] for r in out} == {0, 1}
+    out = packing.pack(rows, F.col("n_tokens"), buckets=2, budget=10).collect()
+    assert sorted(r["n_tokens"] for r in out) == [0, 3, 3, 7]
+
+
 def test_quality(docs):
     rows = {r["doc_id"]: r for r in quality.judge(docs).collect()}
     for i, t in rows_of(docs):
@@ -233,6 +241,12 @@ def test_contamination(spark, docs):
         assert (got[i]["n_words"], got[i]["n_hit"], got[i]["item_ids"]) == (len(w), len(hit), sorted(found)), i
         assert got[i]["contaminated"] == (len(hit) > 0 and 20 * len(hit) >= len(w))
     assert decontaminate.contamination(nothing(docs), spark.createDataFrame(items, "item_id long, text string")).count() == 0
+    # rows that repeat an id are searched each by itself, and those without one too
+    odd = spark.createDataFrame([(7, "aa bb cc"), (7, "dd ee ff"), (None, "x aa bb cc dd"), (8, None)], "doc_id long, text string")
+    out = decontaminate.contamination(odd, spark.createDataFrame([(1, "bb cc dd ee"), (2, "aa bb cc")], "item_id long, text string"))
+    assert sorted((r["doc_id"] or 0, r["n_words"], r["n_hit"]) for r in out.collect()) == [(0, 5, 3), (7, 3, 0), (7, 3, 3), (8, 0, 0)]
+    empty = decontaminate.contamination(odd, spark.createDataFrame([], "item_id long, text string"))
+    assert [r["n_hit"] for r in empty.collect()] == [0] * 4
     # a benchmark too large for a broadcast
     most, common.is_small.__defaults__ = common.is_small.__defaults__, (0,)
     try:

@@ -14,6 +14,7 @@ from __future__ import annotations
 import html as html_
 import re
 from collections import Counter
+from functools import lru_cache
 from hashlib import blake2b
 
 import pyarrow as pa
@@ -158,10 +159,16 @@ def parse(page: str) -> list:
     return tokens
 
 
+def _bits(value: str) -> int:
+    return int.from_bytes(blake2b(value.encode("utf-8", "replace"), digest_size=8).digest(), "little") >> 1
+
+
+_tag_bits = lru_cache(1 << 14)(_bits)  # a host's pages have few different ones
+
+
 def key_of(token) -> int:
     """63 bits that are the same in every process."""
-    value = token if isinstance(token, str) else f"{token.path}#{token.text()}"
-    return int.from_bytes(blake2b(value.encode("utf-8", "replace"), digest_size=8).digest(), "little") >> 1
+    return _tag_bits(token) if isinstance(token, str) else _bits(f"{token.path}#{token.text()}")
 
 
 def text_sizes(tokens: list) -> dict[str, int]:

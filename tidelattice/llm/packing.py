@@ -77,14 +77,14 @@ def pack(
 
     A batch is a bucket's next floor(budget / padded_to) documents (one, if a
     document alone is over the budget), in an order by a hash of the id.  Documents
-    of length 0 form buckets like others; an empty table gives no rows.  Null ids and
+    of length 0, or null, form buckets like others; an empty table gives no rows.  Null ids and
     repeated rows are rows like any other.
     The driver holds the histogram: one entry for each distinct length.
     """
     spark = docs.sparkSession
     added = ["n_tokens", "bucket", "padded_to", "batch", "place"]
     kept = [c for c in docs.columns if c.lower() not in added]
-    rows = docs.select(*[F.col(f"`{c}`") for c in kept], length.cast("long").alias("n_tokens"))
+    rows = docs.select(*[F.col(f"`{c}`") for c in kept], F.coalesce(length.cast("long"), F.lit(0)).alias("n_tokens"))
     histogram = sorted((r["n_tokens"], r["n"]) for r in rows.groupBy("n_tokens").agg(F.count("*").alias("n")).collect())
     ends, _ = best_boundaries([x for x, _ in histogram], [n for _, n in histogram], buckets)
     count = sum(n for _, n in histogram)

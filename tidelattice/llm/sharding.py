@@ -88,7 +88,8 @@ def reshard(
     """doc_id, size, text_crc32, old_shard, shard, slot, moved for every row of docs.
 
     size: UTF-8 bytes of the text plus 8 (a null text has no bytes and the CRC of
-    nothing).  A null id and repeated rows are rows like any other; an empty table
+    nothing).  A null id and repeated rows are rows like any other; a null old shard, or one that
+    is not among them, counts as shard 0; other columns are not looked at; an empty table
     gives no rows.  capacities: bytes of each new shard, equal parts if None; their sum must be
     the sum of the sizes.  Shard i of the new layout stands where the old shard i stood:
     bytes that stay cost nothing.
@@ -99,7 +100,7 @@ def reshard(
         F.col(id_col).cast("long").alias("doc_id"),
         (F.octet_length(text).cast("long") + 8).alias("size"),
         F.crc32(text.cast("binary")).alias("text_crc32"),
-        old_shard.cast("int").alias("old_shard"),
+        F.when(old_shard.between(0, old_shards - 1), old_shard).otherwise(0).cast("int").alias("old_shard"),
     )
     sizes = {r["old_shard"]: (r["b"], r["n"]) for r in rows.groupBy("old_shard").agg(F.sum("size").alias("b"), F.count("*").alias("n")).collect()}
     supply = [sizes.get(i, (0, 0))[0] for i in range(old_shards)]

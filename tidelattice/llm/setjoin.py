@@ -154,13 +154,13 @@ def cells(postings: DataFrame) -> DataFrame:
 
 
 def split(members: DataFrame) -> DataFrame:
-    """(cell, id, side) with at most BLOCK records of a side in a cell, from cells of any size; side is null where all meet all."""
+    """(cell, id, side) with at most BLOCK records of a side in a cell, from cells of any size; side is null where all meet all.  Cells that lack a side go."""
     parts = members.groupBy("cell", "side").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts"))
     of = parts.groupBy("cell").agg(F.max(F.when(~F.col("side"), F.col("parts"))).alias("zero"), F.max(F.when(F.col("side"), F.col("parts"))).alias("one"), F.max(F.when(F.col("side").isNull(), F.col("parts"))).alias("all"))
-    large = of.where("all > 1 or zero > 1 or one > 1")
-    x = members.join(large, "cell", "left")
-    small = x.where("all is null and zero is null and one is null").select("cell", "id", "side")
-    x = x.where("all is not null or zero is not null or one is not null")
+    of = of.where("all is not null or (zero is not null and one is not null)")
+    x = members.join(of, "cell")
+    few = F.coalesce(F.greatest("all", "zero", "one"), F.lit(1)) == 1
+    small, x = x.where(few).select("cell", "id", "side"), x.where(~few)
     own = F.pmod(F.xxhash64("id"), F.coalesce("all", F.when(F.col("side"), F.col("one")).otherwise(F.col("zero"))))
     x = x.withColumn("own", own.cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.coalesce("all", F.when(F.col("side"), F.col("zero")).otherwise(F.col("one"))) - 1))

@@ -404,6 +404,23 @@ def test_pipeline(spark):
     assert set(corpus_pipeline.COLUMNS) <= set(out.columns)
 
 
+def test_pipeline_stages_on_odd_rows(spark):
+    import corpus_pipeline as cp
+
+    rng = random.Random(58)
+    one, two, three = (text(rng, 60) for _ in range(3))
+    rows = [(None, one, "en", "s", 1), (5, two, "en", None, None), (5, three, None, "s", 1), (6, three + " tail", "en", "s", 1), (7, None, "en", "s", 1), (8, "", "en", "s", 1), (5, two, "en", None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    sf = "/root/testdata/sf0.001"
+    kept = cp.near_duplicates(spark, docs, sf).collect()
+    assert sorted((r["doc_id"] or 0, r["text"] or "") for r in kept) == sorted([(0, one), (5, two), (5, two), (5, three), (7, ""), (8, "")])
+    assert cp.decontamination(spark, docs, sf).count() == len(rows)
+    assert cp.quality_rules(spark, docs, sf).where("doc_id = 7 or doc_id = 8").count() == 0
+    none = docs.where("false")
+    for _, stage in cp.STAGES:
+        assert stage(spark, none, sf).count() == 0
+
+
 def test_fuzzy_lines_find_every_similar_pair(spark):
     rng = random.Random(11)
     vocab = [f"v{i}" for i in range(60)]

@@ -12,7 +12,7 @@ from ..operators import bars, indicators as ind, joins, ledger, measures, oracle
 
 H = fx.HOUR
 #: Amounts end in a five often; this much beside it, both engines round them alike.
-OFF_TIES = 0.0000133
+OFF_TIES = 0.00001331971
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
 
@@ -499,13 +499,13 @@ lots AS (SELECT account, lot, CASE WHEN s = 1 THEN 'long' ELSE 'short' END AS si
 """
 
 
-@query(_LOTS + f"SELECT account, lot, side, {r('opened', 'remaining')}, round(profit + 0.0000133, 3) + 0.0 AS profit, round(break_even + 0.0000133, 3) + 0.0 AS break_even, status FROM lots")
+@query(_LOTS + f"SELECT account, lot, side, {r('opened', 'remaining')}, round(profit + 0.00001331971, 3) + 0.0 AS profit, round(break_even + 0.00001331971, 3) + 0.0 AS break_even, status FROM lots")
 def position_lots(spark, sf):
     x = ledger.lots(ledger.fills(table(spark, sf, "lineitem"), table(spark, sf, "orders")))
     return x.withColumns({c: F.round(F.col(c) + OFF_TIES, 3) + 0.0 for c in ("profit", "break_even")})
 
 
-@query(_LOTS + "SELECT account, count(*) AS lots, count(*) FILTER (status = 'closed') AS closed, count(*) FILTER (status = 'closed' AND profit > 0) AS profitable, round(sum(coalesce(profit, 0)) + 0.0000133, 3) + 0.0 AS profit FROM lots GROUP BY account")
+@query(_LOTS + "SELECT account, count(*) AS lots, count(*) FILTER (status = 'closed') AS closed, count(*) FILTER (status = 'closed' AND profit > 0) AS profitable, round(sum(coalesce(profit, 0)) + 0.00001331971, 3) + 0.0 AS profit FROM lots GROUP BY account")
 def closed_position_summary(spark, sf):
     x = ledger.closed_summary(ledger.lots(ledger.fills(table(spark, sf, "lineitem"), table(spark, sf, "orders"))))
     return x.withColumn("profit", F.round(F.col("profit") + OFF_TIES, 3) + 0.0)
@@ -577,3 +577,96 @@ def dedupe_last_at_first(spark, sf):
 def scalar_functions(spark, sf):
     d = F.col("p_size") - 25.0
     return table(spark, sf, "part").select("p_partkey", fx.slug("p_name").alias("slug"), fx.path_part("p_brand").alias("path"), fx.softplus(d).alias("softplus"), fx.sigmoid(d).alias("sigmoid"), fx.floor_to_step("p_retailprice", 0.25).alias("stepped"))
+
+
+# --- formulas over the driver's tables ---------------------------------------------------
+
+
+@query("""WITH x AS (SELECT l_orderkey, l_linenumber, l_quantity AS q, l_extendedprice AS p, l_discount AS d, l_tax AS t, CASE WHEN l_returnflag = 'R' THEN 'sell' ELSE 'buy' END AS side, CASE WHEN l_linestatus = 'F' THEN 'limit' ELSE 'stop' END AS kind, l_extendedprice * (0.98 + l_discount / 5) AS trig FROM lineitem)
+SELECT l_orderkey, CAST(l_linenumber AS BIGINT) AS l_linenumber, round(greatest(p * (1 + CASE WHEN side = 'buy' THEN 1 ELSE -1 END * 25 / 10000), 1e-6), 6) AS slipped, round(p / (1 / 3.0 + 0.002), 6) AS capacity,
+q > 0 AND q >= 5 AND q <= 45 AND q * p >= 100000 AS valid, CASE WHEN kind = 'limit' THEN CASE WHEN side = 'buy' THEN p <= trig ELSE p >= trig END ELSE CASE WHEN side = 'buy' THEN p >= trig ELSE p <= trig END END AS reached,
+round(p * (1 - 0.01 * l_linenumber), 6) AS buy_level, round(p * (1 + 0.01 * l_linenumber), 6) AS sell_level, CASE WHEN q - 10 <= 0 THEN 'pending' WHEN q - 25 <= 0 THEN 'closed' WHEN q - 25 < q - 10 THEN 'partially-closed' ELSE 'open' END AS status, abs(p - trig) > trig * 0.01 AS beyond FROM x""")
+def order_formulas(spark, sf):
+    x = table(spark, sf, "lineitem").withColumns({
+        "side": F.when(F.col("l_returnflag") == "R", "sell").otherwise("buy"), "kind": F.when(F.col("l_linestatus") == "F", "limit").otherwise("stop"),
+        "trig": F.col("l_extendedprice") * (0.98 + F.col("l_discount") / 5), "q": F.col("l_quantity"), "p": F.col("l_extendedprice"),
+    })
+    return x.select(
+        "l_orderkey", "l_linenumber", fx.slipped("p", "side", 25).alias("slipped"), fx.order_capacity("p", 3.0, 0.002).alias("capacity"), fx.order_valid("q", "p", 5, 45, 100_000).alias("valid"),
+        fx.limit_reached("kind", "side", "p", "trig").alias("reached"), fx.grid_price("p", 0.01, "l_linenumber", "buy").alias("buy_level"), fx.grid_price("p", 0.01, "l_linenumber", "sell").alias("sell_level"),
+        fx.lot_status(F.col("q") - 10, F.col("q") - 25).alias("status"), fx.beyond_friction("p", "trig", 0.01).alias("beyond"),
+    )
+
+
+@query("""WITH x AS (SELECT p_partkey, (p_size - 25.5) / 10 AS z, p_size / 51.0 AS u, p_retailprice / 1000 AS w FROM part)
+SELECT p_partkey, round(greatest(z, w) + ln(1 + exp(least(z, w) - greatest(z, w))), 6) AS log_sum, round(ln(u) - ln(1 - u), 6) AS logit, round(exp(-0.5 * (z / w) * (z / w)), 6) AS bell, round(exp(ln(1 + u / 100) * 900000 / 3600000) - 1, 6) AS compounded,
+round(least(greatest(z, -1), 1), 6) + 0.0 AS clamped, round((SELECT ln(sum(exp(z * (-1 + 0.1 * k)))) FROM range(21) t(k)), 6) AS log_partition, round(least(greatest(-0.5 * ln(1 - least(greatest(u * u, 0), 1 - 2.220446049250313e-16)) / ln(21), 0), 1), 6) AS oracle_information,
+round(least(greatest(0.5 * ln(w / u) / ln(21), 0), 1), 6) AS state_information, round(0.25 * exp(-0.5 * (z / w) * (z / w)), 6) AS sized FROM x""")
+def probability_formulas(spark, sf):
+    x = table(spark, sf, "part").select("p_partkey", ((F.col("p_size") - 25.5) / 10).alias("z"), (F.col("p_size") / 51.0).alias("u"), (F.col("p_retailprice") / 1000).alias("w"))
+    return x.select(
+        "p_partkey", fx.log_add_exp("z", "w").alias("log_sum"), fx.logit("u").alias("logit"), fx.gaussian("z", "w").alias("bell"), fx.compound_per_bar(F.col("u") / 100, F.lit(900_000)).alias("compounded"), (fx.clamp("z", -1.0, 1.0) + 0.0).alias("clamped"),
+        fx.truncated_exponential_log_partition("z", -1.0, 1.0, 21).alias("log_partition"), fx.gaussian_oracle_information("u", 21).alias("oracle_information"), fx.gaussian_state_information("w", "u", 21).alias("state_information"), fx.sized(0.25, "z", "w").alias("sized"),
+    )
+
+
+@query("""WITH x AS (SELECT c_custkey, upper(replace(c_name, '#', '')) || ['USDT', 'USDC', 'FDUSD', 'BUSD', 'BTC', 'ETH', 'EUR', 'XYZ'][1 + c_custkey % 8] AS s, (1 + c_custkey % 90) || ['s', 'm', 'h', 'd', 'w', 'x'][1 + c_custkey % 6] AS t, c_mktsegment AS m FROM customer),
+q AS (SELECT *, CASE WHEN suffix(s, 'USDT') THEN 'USDT' WHEN suffix(s, 'USDC') THEN 'USDC' WHEN suffix(s, 'FDUSD') THEN 'FDUSD' WHEN suffix(s, 'BUSD') THEN 'BUSD' WHEN suffix(s, 'BTC') THEN 'BTC' WHEN suffix(s, 'ETH') THEN 'ETH' WHEN suffix(s, 'EUR') THEN 'EUR' ELSE 'USDT' END AS quote,
+CAST(regexp_extract(t, '^([0-9]+)', 1) AS BIGINT) * CASE right(t, 1) WHEN 's' THEN 1000 WHEN 'm' THEN 60000 WHEN 'h' THEN 3600000 WHEN 'd' THEN 86400000 WHEN 'w' THEN 604800000 END AS ms FROM x)
+SELECT c_custkey, quote, CASE WHEN suffix(s, quote) AND length(s) > length(quote) THEN left(s, length(s) - length(quote)) ELSE s END AS base, lower(s || ' ' || m) AS text, ms, CASE WHEN ms % 86400000 = 0 THEN (ms // 86400000) || 'd' WHEN ms % 3600000 = 0 THEN (ms // 3600000) || 'h' WHEN ms % 60000 = 0 THEN (ms // 60000) || 'm' ELSE (ms // 1000) || 's' END AS written FROM q""")
+def market_names(spark, sf):
+    pick = lambda xs: F.element_at(F.array(*[F.lit(x) for x in xs]), (1 + F.col("c_custkey") % len(xs)).cast("int"))
+    x = table(spark, sf, "customer").withColumn("s", F.concat(F.upper(F.replace("c_name", F.lit("#"), F.lit(""))), pick(["USDT", "USDC", "FDUSD", "BUSD", "BTC", "ETH", "EUR", "XYZ"])))
+    x = x.withColumn("ms", fx.interval_ms_column(F.concat((1 + F.col("c_custkey") % 90).cast("string"), pick(["s", "m", "h", "d", "w", "x"]))))
+    written = F.when(F.col("ms").isNotNull(), fx.format_interval("ms"))
+    return x.select("c_custkey", fx.quote_asset("s").alias("quote"), fx.base_asset("s").alias("base"), fx.searchable("s", "c_mktsegment").alias("text"), "ms", written.alias("written"))
+
+
+@query("""WITH x AS (SELECT l_orderkey, l_linenumber, (l_discount - 0.05) * 24 AS f, 0.5 + l_quantity / 50 AS m, CASE l_returnflag WHEN 'R' THEN 1 WHEN 'A' THEN -1 ELSE 0 END AS o, l_tax AS t FROM lineitem),
+y AS (SELECT *, abs(f) AS a, 1 - abs(f) + abs(f) * m AS lng, 1 + abs(f) - abs(f) * m AS sht FROM x)
+SELECT l_orderkey, CAST(l_linenumber AS BIGINT) AS l_linenumber, round(CASE WHEN a >= 1 THEN sign(f) WHEN f > 0 THEN CASE WHEN lng > 2.220446049250313e-16 THEN a * m / lng ELSE 1 END WHEN f < 0 THEN CASE WHEN sht > 2.220446049250313e-16 THEN -a * m / sht ELSE -1 END ELSE 0 END, 6) + 0.0 AS marked,
+round(CASE WHEN o > 0 THEN least(greatest(f, 0), 1) WHEN o < 0 THEN least(greatest(-f, 0), 1) ELSE 1 - least(greatest(abs(f), 0), 1) END, 6) + 0.0 AS credit, round(0.2 * t + 0.6 * m + 0.2 * a, 6) AS score, round(CASE WHEN t > 0 THEN m / t ELSE -1 END, 6) AS ratio FROM y""")
+def exposure_formulas(spark, sf):
+    x = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", ((F.col("l_discount") - 0.05) * 24).alias("f"), (0.5 + F.col("l_quantity") / 50).alias("m"), F.when(F.col("l_returnflag") == "R", 1).when(F.col("l_returnflag") == "A", -1).otherwise(0).alias("o"), F.col("l_tax").alias("t"))
+    return x.select("l_orderkey", "l_linenumber", (fx.marked_exposure("f", "m") + 0.0).alias("marked"), (fx.agreement_credit("f", "o") + 0.0).alias("credit"), fx.signal_score("t", "m", F.abs("f")).alias("score"), fx.ratio_or("m", "t", -1.0).alias("ratio"))
+
+
+@query("""WITH k AS (SELECT unnest(range(7)) AS k), l AS (SELECT k, (7 - k) / 28.0 AS linear, pow(0.8, k) AS g FROM k) SELECT CAST(k AS BIGINT) AS k, round(linear, 6) AS linear, round(g / sum(g) OVER (), 6) AS geometric FROM l""")
+def grid_level_weights(spark, sf):
+    x = spark.range(1).select(F.posexplode(F.arrays_zip(fx.grid_weights(7).alias("linear"), fx.grid_weights(7, 0.8).alias("geometric"))).alias("k", "w"))
+    return x.select("k", "w.linear", "w.geometric")
+
+
+@query("SELECT seq, CAST(floor(event_time / 900000.0) * 900000 AS BIGINT) AS down, CAST(ceil(event_time / 900000.0) * 900000 AS BIGINT) AS up, CAST(floor(event_time / 86400000.0) * 86400000 AS BIGINT) AS day FROM ticks")
+def aligned_times(spark, sf):
+    return bars.ticks(table(spark, sf, "events")).select("seq", fx.align_down("event_time", 900_000).cast("long").alias("down"), fx.align_up("event_time", 900_000).cast("long").alias("up"), fx.day_start("event_time").cast("long").alias("day"))
+
+
+@query("""SELECT c_custkey, round(CASE WHEN c_nationkey - 12 > 0 AND c_acctbal - 4000 < 0 THEN -(c_acctbal - 4000) / ((c_nationkey - 12) * 0.998) WHEN c_nationkey - 12 < 0 AND c_acctbal - 4000 > 0 THEN -(c_acctbal - 4000) * 0.998 / (c_nationkey - 12) END, 4) AS price FROM customer""")
+def liquidation_prices(spark, sf):
+    p = ledger.liquidation_price(F.col("c_acctbal") - 4000, (F.col("c_nationkey") - 12).cast("double"), 0.998)
+    return table(spark, sf, "customer").select("c_custkey", F.round(p, 4).alias("price"))
+
+
+@query("SELECT c_custkey, row_number() OVER (ORDER BY CASE c_mktsegment WHEN 'MACHINERY' THEN 1 WHEN 'BUILDING' THEN 2 ELSE 3 END, c_custkey) AS place FROM customer")
+def market_order(spark, sf):
+    return ranking.market_order(table(spark, sf, "customer"), ["MACHINERY", "BUILDING"], "c_mktsegment", "c_custkey").select("c_custkey", F.col("place"))
+
+
+@query("""WITH x AS (SELECT CASE WHEN l_returnflag = 'R' THEN 'sell' ELSE 'buy' END AS side, l_extendedprice AS q, (l_quantity - 25) * 20000 AS lag, l_discount - 0.05 AS pct FROM lineitem)
+SELECT side, round(sum(q), 2) AS quote, round(sum(q * abs(lag)) / sum(q), 3) AS mean_lag, round(sum(CASE WHEN abs(lag) / 300000 <= 1 AND abs(pct) / 0.0203 <= 1 THEN q ELSE 0 END) / sum(q) * 100, 6) AS within_pct FROM x GROUP BY side""")
+def extrema_order_mass(spark, sf):
+    x = table(spark, sf, "lineitem").select(F.when(F.col("l_returnflag") == "R", "sell").otherwise("buy").alias("side"), F.col("l_extendedprice").alias("quote"), ((F.col("l_quantity") - 25) * 20_000).alias("lag_ms"), (F.col("l_discount") - 0.05).alias("price_pct"))
+    out = ledger.extrema_mass(x, percent=0.0203)
+    return out.withColumns({"quote": F.round("quote", 2), "mean_lag": F.round("mean_lag", 3)})
+
+
+@query(_HOLD + """, tr AS (SELECT symbol, open_time, s FROM (SELECT symbol, open_time, CAST(sign(r) AS BIGINT) AS s, coalesce(lag(CAST(sign(r) AS BIGINT)) OVER (PARTITION BY symbol ORDER BY open_time), 0) AS f FROM h) WHERE s <> f),
+c AS (SELECT symbol, open_time AS time, s AS state, open_time // 7200000 * 7200000 AS m FROM tr), o AS (SELECT symbol, open_time // 7200000 * 7200000 AS time, s AS state, max(open_time) AS m FROM tr GROUP BY ALL)
+SELECT c.time AS c_time, c.state AS c_state, c.m AS c_match, o.time AS o_time, o.state AS o_state, o.m AS o_match FROM (SELECT * FROM c WHERE symbol = 'view') c FULL OUTER JOIN (SELECT * FROM o WHERE symbol = 'view') o ON c.state = o.state AND c.m = o.time AND o.m = c.time""")
+def reciprocal_pairs(spark, sf):
+    t = signals.transitions(_hold(spark, sf), "state").where("symbol = 'view'")
+    near = F.expr("open_time div 7200000 * 7200000")
+    c = t.select(F.col("open_time").alias("time"), "state", near.alias("matched_time"))
+    o = t.groupBy(near.alias("time"), "state").agg(F.max("open_time").alias("matched_time"))
+    return joins.reciprocal(c, o)

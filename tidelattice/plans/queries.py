@@ -670,3 +670,37 @@ def reciprocal_pairs(spark, sf):
     c = t.select(F.col("open_time").alias("time"), "state", near.alias("matched_time"))
     o = t.groupBy(near.alias("time"), "state").agg(F.max("open_time").alias("matched_time"))
     return joins.reciprocal(c, o)
+
+
+@query("SELECT symbol, CAST(open_time AS BIGINT) AS open_time, round(close, 6) AS close FROM bars QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY open_time DESC) <= 5")
+def latest_bars(spark, sf):
+    return bars.latest(hourly(spark, sf), 5).select("symbol", "open_time", "close")
+
+
+@query(", w AS (SELECT symbol, open_time AS a, open_time + 18000000 AS b FROM bars WHERE rn % 7 = 0) SELECT DISTINCT bars.symbol, CAST(open_time AS BIGINT) AS open_time, round(close, 6) AS close FROM bars JOIN w ON w.symbol = bars.symbol AND open_time >= a AND open_time < b")
+def preloaded_windows(spark, sf):
+    x = ind.placed(hourly(spark, sf))
+    w = x.where((F.col("i") + 1) % 7 == 0).select("symbol", F.col("open_time").alias("start"), (F.col("open_time") + 5 * H).alias("end"))
+    return bars.preload(x, w, H).select("symbol", "open_time", "close")
+
+
+@query(", p AS (SELECT symbol, (max(close) OVER (PARTITION BY symbol ORDER BY open_time) - close) / max(close) OVER (PARTITION BY symbol ORDER BY open_time) * 100 AS d FROM bars) SELECT symbol, round(max(d), 6) AS max_drawdown_pct FROM p GROUP BY symbol")
+def max_drawdown(spark, sf):
+    return measures.drawdown(hourly(spark, sf))
+
+
+@query(_LR + " SELECT a.symbol AS a, b.symbol AS b, count(*) AS n, round(sum(a.r), 6) + 0.0 AS sx, round(sum(b.r), 6) + 0.0 AS sy, round(sum(a.r * b.r), 6) + 0.0 AS sxy, CAST(min(a.open_time) AS BIGINT) AS first, CAST(max(a.open_time) AS BIGINT) AS last FROM lr a JOIN lr b ON a.open_time = b.open_time AND a.symbol < b.symbol GROUP BY ALL")
+def merged_pair_sums(spark, sf):
+    lr = joins.log_returns(hourly(spark, sf))
+    odd = F.floor(F.col("open_time") / H) % 2 == 1
+    return joins.merge_pairs(joins.pair_sums(lr.where(odd)), joins.pair_sums(lr.where(~odd))).select("a", "b", "n", *[(F.col(c) + 0.0).alias(c) for c in ("sx", "sy", "sxy")], "first", "last")
+
+
+@query(", x AS (SELECT symbol, open_time, max(high) OVER w AS h, min(low) OVER w AS l FROM bars WINDOW w AS (PARTITION BY symbol ORDER BY open_time RANGE BETWEEN 43200000 PRECEDING AND CURRENT ROW)) SELECT symbol, CAST(open_time AS BIGINT) AS open_time, round((h - l) / l * 100, 6) AS span FROM x")
+def rolling_span(spark, sf):
+    return hourly(spark, sf).select("symbol", "open_time", ind.rolling_span(fx.DAY // 2).alias("span"))
+
+
+@query(_LR + ", m AS (SELECT open_time, avg(r) AS r FROM lr GROUP BY open_time), s AS (SELECT stddev_samp(r) AS sd FROM m), n AS (SELECT count(DISTINCT symbol) AS n FROM lr) SELECT DISTINCT symbol, round(least(0.05 / sd, 1.5) / n, 6) AS weight FROM lr, s, n")
+def volatility_target_weights(spark, sf):
+    return portfolio.volatility_target(joins.log_returns(hourly(spark, sf)), 0.05, 1.5)

@@ -3,6 +3,10 @@
 from __future__ import annotations
 
 import numpy as np
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from .indicators import scan
 
 EPS = 2.0**-52
 
@@ -35,6 +39,51 @@ def perfect_margin(start: float, leverage: float, friction: float):
     return run
 
 
+def margin_parents(start: float, leverage: float, friction: float):
+    """Kernel over prices: for each bar from which state the best way to flat, long and short came (two bits each), and the best state so far."""
+    size = start * leverage
+    open_ = size * friction
+
+    def run(rows):
+        best, last = None, None
+        for (p,) in rows:
+            if best is None:
+                best, came = [(0.0, 0, 0), (-open_, 1, 1), (-open_, 1, 2)], (0, 0, 0)
+            else:
+                move = size * (p / last - 1 if last > 0 else 0.0)
+                now = [(best[0][0], best[0][1], 0), (best[1][0] + move, best[1][1], 1), (best[2][0] - move, best[2][1], 2)]
+                # to go over from long to short, or back, takes two orders
+                cost = lambda k, to: now[k] if k == to else (now[k][0] - open_ * (2 if k and to else 1), now[k][1] + 1, k)  # noqa: B023, E731
+                best = [_most(cost(to, to), *[cost(k, to) for k in range(3) if k != to]) for to in range(3)]
+                came = tuple(x[2] for x in best)
+            last = p
+            top = _most(*[(v, n, k) for k, (v, n, _) in enumerate(best)])
+            yield came[0] | came[1] << 2 | came[2] << 4, top[2]
+
+    return run
+
+
+def traced(rows):
+    """Kernel over (parents, best) from the last bar back to the first: the state at each bar on the best way."""
+    state = None
+    for came, best in rows:
+        state = best if state is None else state
+        yield (state,)
+        state = came >> 2 * state & 3
+
+
+def margin_path(bars: DataFrame, start: float, leverage: float, friction: float) -> DataFrame:
+    """(symbol, open_time, from_state, state): where the best way in hindsight goes to another state; 0 flat, 1 long, 2 short, flat before the first bar.
+
+    The dynamic program runs forwards, its parents are followed backwards: two passes over sorted rows that hold a few numbers of state.
+    """
+    forth = scan(bars, ["close"], margin_parents(start, leverage, friction), "parents int, best int")
+    back = scan(forth.withColumn("open_time", -F.col("open_time")), ["parents", "best"], traced, "state int")
+    out = back.withColumn("open_time", -F.col("open_time"))
+    out = out.withColumn("from_state", F.coalesce(F.lag("state").over(Window.partitionBy("symbol").orderBy("open_time")), F.lit(0)))
+    return out.where("state <> from_state").select("symbol", "open_time", "from_state", "state")
+
+
 def _most(*options):
     """The largest value; of equals (16 eps, relative) the one with fewer transitions."""
     best = options[0]

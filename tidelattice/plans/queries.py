@@ -704,3 +704,29 @@ def rolling_span(spark, sf):
 @query(_LR + ", m AS (SELECT open_time, avg(r) AS r FROM lr GROUP BY open_time), s AS (SELECT stddev_samp(r) AS sd FROM m), n AS (SELECT count(DISTINCT symbol) AS n FROM lr) SELECT DISTINCT symbol, round(least(0.05 / sd, 1.5) / n, 6) AS weight FROM lr, s, n")
 def volatility_target_weights(spark, sf):
     return portfolio.volatility_target(joins.log_returns(hourly(spark, sf)), 0.05, 1.5)
+
+
+def _pick(*options: str) -> str:
+    """SQL of the option (v, n, s) with the largest v; of nearly equal ones that with the smaller n."""
+    out = options[0]
+    for x in options[1:]:
+        out = f"(SELECT CASE WHEN y.v > x.v + 16 * 2.220446049250313e-16 * greatest(1, abs(x.v), abs(y.v)) OR abs(y.v - x.v) <= 16 * 2.220446049250313e-16 * greatest(1, abs(x.v), abs(y.v)) AND y.n < x.n THEN y ELSE x END FROM (SELECT {out} AS x, {x} AS y))"
+    return out
+
+
+def _way(k: str, cost: int, s: int) -> str:
+    return f"{{'v': m.{k}.v - {cost}, 'n': m.{k}.n + {int(cost > 0)}, 's': {s}}}"
+
+
+_PATH = f""", d AS (SELECT symbol, rn, open_time, {{'v': CAST(0 AS DOUBLE), 'n': 0, 's': 0}} AS f, {{'v': CAST(-2 AS DOUBLE), 'n': 1, 's': 0}} AS l, {{'v': CAST(-2 AS DOUBLE), 'n': 1, 's': 0}} AS h FROM bars WHERE rn = 1 UNION ALL
+SELECT m.symbol, m.rn, m.open_time, {_pick(_way("f", 0, 0), _way("l", 2, 1), _way("h", 2, 2))}, {_pick(_way("l", 0, 1), _way("f", 2, 0), _way("h", 4, 2))}, {_pick(_way("h", 0, 2), _way("f", 2, 0), _way("l", 4, 1))}
+FROM (SELECT b.symbol, b.rn, b.open_time, {{'v': d.f.v, 'n': d.f.n}} AS f, {{'v': d.l.v + 2000 * (b.close / b.prev - 1), 'n': d.l.n}} AS l, {{'v': d.h.v - 2000 * (b.close / b.prev - 1), 'n': d.h.n}} AS h FROM d JOIN bars b ON b.symbol = d.symbol AND b.rn = d.rn + 1) m),
+e AS (SELECT symbol, rn, {_pick("{'v': f.v, 'n': f.n, 's': 0}", "{'v': l.v, 'n': l.n, 's': 1}", "{'v': h.v, 'n': h.n, 's': 2}")}.s AS state FROM d QUALIFY rn = max(rn) OVER (PARTITION BY symbol)),
+t AS (SELECT symbol, rn, state FROM e UNION ALL SELECT d.symbol, d.rn - 1, CASE t.state WHEN 0 THEN d.f.s WHEN 1 THEN d.l.s ELSE d.h.s END FROM t JOIN d ON d.symbol = t.symbol AND d.rn = t.rn WHERE t.rn > 1),
+p AS (SELECT bars.symbol, bars.open_time, t.state, coalesce(lag(t.state) OVER (PARTITION BY bars.symbol ORDER BY bars.rn), 0) AS from_state FROM t JOIN bars ON bars.symbol = t.symbol AND bars.rn = t.rn)
+SELECT symbol, CAST(open_time AS BIGINT) AS open_time, CAST(from_state AS BIGINT) AS from_state, CAST(state AS BIGINT) AS state FROM p WHERE state <> from_state"""
+
+
+@query(_PATH)
+def perfect_margin_path(spark, sf):
+    return oracles.margin_path(hourly(spark, sf), 1000.0, 2.0, 0.001)

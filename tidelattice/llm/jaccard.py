@@ -183,9 +183,9 @@ def candidates(slices: DataFrame, lengths: DataFrame, k: int, percent: int) -> D
 
 
 def links_of(percent: int):
-    """Solves a cell: links at a similarity of `percent` or more."""
+    """Solves cells: links at a similarity of `percent` or more."""
 
-    def solve(payloads: list[bytes], weights: np.ndarray, side: np.ndarray | None):
+    def one(payloads: list[bytes], weights: np.ndarray, side: np.ndarray | None):
         records = [np.frombuffer(x, np.uint64) for x in payloads]
         size = np.array([len(x) for x in records], np.int64)
         roots, links = setjoin.Roots(len(records)), np.zeros(len(records), np.int64)
@@ -197,7 +197,7 @@ def links_of(percent: int):
                 roots.join(q, i)
         return np.array([roots.find(i) for i in range(len(records))], np.int64), links
 
-    return solve
+    return lambda cells: (one(*x) for x in cells)
 
 
 def jaccard_classes(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

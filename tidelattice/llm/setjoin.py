@@ -172,41 +172,46 @@ def split(members: DataFrame) -> DataFrame:
     return small.unionByName(x.select(F.xxhash64("cell", low, high).alias("cell"), "id", side.alias("side")))
 
 
+#: Records of the cells that are solved at once.
+BATCH = 4096
+
+
 def meet(members: DataFrame, records: DataFrame, solve: Callable) -> DataFrame:
     """(id, root, links): what solve says of each cell, (cell, id, side) in members, over records (id, weight, payload).
 
-    solve takes a list of payloads, an array of weights and an array of sides (or None) and gives for each record its root (a place in the list) and its links.
-    Records without links give no row.
+    solve takes a list of cells, each a list of payloads, an array of weights and an array of sides (or None), and gives for
+    each cell the records' roots (places in the cell) and links.  Records without links give no row.
     """
 
     def run(batches):
         name, ids, weights, sides, held = None, [], [], [], []
+        waiting: list = []
+
+        def close() -> None:
+            if len(ids) > 1:
+                waiting.append((np.array(ids, np.int64), (held, np.array(weights, np.int64), None if sides[0] is None else np.array(sides, bool))))
 
-        def close():
-            if len(ids) < 2:
-                return None
-            other = None if sides[0] is None else np.array(sides, bool)
-            root, links = solve(held, np.array(weights, np.int64), other)
-            own = np.array(ids, np.int64)
-            use = np.flatnonzero((root != np.arange(len(own))) | (np.bincount(root, minlength=len(own)) > 1) | (links > 0))
-            return pa.RecordBatch.from_arrays([pa.array(own[use]), pa.array(own[root[use]]), pa.array(links[use])], ["id", "root", "links"]) if len(use) else None
+        def solved():
+            for (own, _), (root, links) in zip(waiting, solve([x for _, x in waiting]), strict=True):
+                use = np.flatnonzero((root != np.arange(len(own))) | (np.bincount(root, minlength=len(own)) > 1) | (links > 0))
+                if len(use):
+                    yield pa.RecordBatch.from_arrays([pa.array(own[use]), pa.array(own[root[use]]), pa.array(links[use])], ["id", "root", "links"])
+            waiting.clear()
 
         for batch in batches:
-            cell, side = batch.column("cell").to_pylist(), batch.column("side").to_pylist()
-            own, weight, payload = batch.column("id").to_pylist(), batch.column("weight").to_pylist(), batch.column("payload").to_pylist()
-            for i, c in enumerate(cell):
-                if c != name:
-                    out = close()
-                    if out is not None:
-                        yield out
-                    name, ids, weights, sides, held = c, [], [], [], []
-                ids.append(own[i])
-                weights.append(weight[i])
-                sides.append(side[i])
-                held.append(payload[i])
-        out = close()
-        if out is not None:
-            yield out
+            columns = [batch.column(c).to_pylist() for c in ("cell", "side", "id", "weight", "payload")]
+            for cell, side, own, weight, payload in zip(*columns, strict=True):
+                if cell != name:
+                    close()
+                    if sum(len(x) for x, _ in waiting) >= BATCH:
+                        yield from solved()
+                    name, ids, weights, sides, held = cell, [], [], [], []
+                ids.append(own)
+                weights.append(weight)
+                sides.append(side)
+                held.append(payload)
+        close()
+        yield from solved()
 
     x = members.join(records, "id").select("cell", "id", "side", "weight", "payload")
     x = x.repartition(common.cells(members.sparkSession), "cell").sortWithinPartitions("cell", "id")

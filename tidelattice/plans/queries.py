@@ -467,9 +467,13 @@ def exposure_value_oracle(spark, sf):
     return ind.scan(b, ["close"], run, "mean double, second double, mode double, entropy double, opportunity double", ("symbol", "segment"))
 
 
-@query()
+@query(_HOLD + """, g AS (SELECT h.symbol, h.rn, h.open_time, sign(h.r) * 0.003 AS a, coalesce(lag(sign(h.r) * 0.003) OVER (PARTITION BY h.symbol ORDER BY h.rn), 0) AS x, CASE WHEN h.rn > 1 THEN b.close / b.prev ELSE 1 END AS m FROM h JOIN bars b ON b.symbol = h.symbol AND b.rn = h.rn),
+e AS (SELECT *, 1 - x + x * m AS w, 1 - x + CASE WHEN x >= 0 THEN x * m * 0.999 ELSE x * m / 0.999 END AS net FROM g), d AS (SELECT *, CASE WHEN net > 0 THEN x * m / w ELSE 0 END AS y FROM e),
+i AS (SELECT *, CASE WHEN net > 0 THEN ln(greatest(w, 2.220446049250313e-16)) ELSE CAST('-inf' AS DOUBLE) END + CASE WHEN abs(a - y) <= 2.220446049250313e-16 THEN 0 WHEN a > y THEN ln(0.999 + 0.001 * y) - ln(0.999 + 0.001 * a) ELSE ln(1 - 0.001 * y) - ln(1 - 0.001 * a) END AS inc FROM d),
+l AS (SELECT symbol, rn, open_time, CASE WHEN bool_or(isinf(inc)) OVER w THEN CAST('-inf' AS DOUBLE) ELSE sum(CASE WHEN isinf(inc) THEN 0 ELSE inc END) OVER w END AS lg FROM i WINDOW w AS (PARTITION BY symbol ORDER BY rn))
+SELECT symbol, open_time, round(lg, 6) + 0.0 AS log_equity, round(1 - exp(lg - greatest(max(lg) OVER (PARTITION BY symbol ORDER BY rn), 0)), 6) + 0.0 AS drawdown FROM l""")
 def exposure_path_return(spark, sf):
-    x = _hold(spark, sf).join(hourly(spark, sf).select("symbol", "open_time", "close"), ["symbol", "open_time"]).withColumn("a", F.col("state") * 0.5)
+    x = _hold(spark, sf).join(hourly(spark, sf).select("symbol", "open_time", "close"), ["symbol", "open_time"]).withColumn("a", F.col("state") * 0.003)
     return ind.scan(x, ["a", "close"], oracles.exposure_return(0.001), "log_equity double, drawdown double")
 
 

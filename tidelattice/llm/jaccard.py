@@ -119,22 +119,27 @@ def list_lengths(slices: DataFrame, k: int, buckets: int) -> DataFrame:
                         rows["keys"].append(tv.squeeze(tv.rising(keys[own])))
                         rows["n"].append(tv.squeeze(n[own]))
                 yield pa.RecordBatch.from_pydict(rows, schema=pa.schema([("slice", pa.int64()), ("bucket", pa.int32()), ("keys", pa.binary()), ("n", pa.binary())]))
+                del x, at, keys, n, rows
+            tv.trim()
 
     def add(pdf: pd.DataFrame) -> pd.DataFrame:
-        keys = [np.cumsum(tv.unsqueeze(x), dtype=np.uint64) for x in pdf["keys"]]
-        every = np.concatenate(keys)
+        every = np.concatenate([np.cumsum(tv.unsqueeze(x), dtype=np.uint64) for x in pdf["keys"]])
         n = np.concatenate([tv.unsqueeze(x).view(np.int64) for x in pdf["n"]])
-        order = np.argsort(every, kind="stable")
-        new = np.flatnonzero(tv.changes(every[order]))
-        total = np.empty(len(every), np.int64)
-        total[order] = np.repeat(np.add.reduceat(n[order], new), np.diff(np.append(new, len(every))))
+        order = np.argsort(every)
+        first = np.flatnonzero(tv.changes(every[order]))
+        n[order] = np.repeat(np.add.reduceat(n[order], first), np.diff(np.append(first, len(every))))
+        del order, first
         out, lengths, at = [], [], 0
-        for x in keys:
-            own = total[at : at + len(x)]
-            out.append(tv.squeeze(tv.rising(x[own > 1])))
-            lengths.append(tv.squeeze(own[own > 1]))
-            at += len(x)
-        return pd.DataFrame({"slice": pdf["slice"], "bucket": pdf["bucket"], "keys": out, "n": lengths})
+        for x in pdf["keys"]:
+            own = slice(at, at + int.from_bytes(x[:6], "little"))
+            at = own.stop
+            use = n[own] > 1
+            out.append(tv.squeeze(tv.rising(every[own][use])))
+            lengths.append(tv.squeeze(n[own][use]))
+        done = pd.DataFrame({"slice": pdf["slice"], "bucket": pdf["bucket"], "keys": out, "n": lengths})
+        del every, n
+        tv.trim()
+        return done
 
     sent = slices.mapInArrow(send, "slice long, bucket int, keys binary, n binary")
     return sent.groupBy("bucket").applyInPandas(add, "slice long, bucket int, keys binary, n binary")
@@ -177,7 +182,9 @@ def candidates(slices: DataFrame, lengths: DataFrame, k: int, percent: int) -> D
                 end = a + int(size[i] - need[r] + 1)
                 short = own_keys[a:end][length[a:end] > 1].view(np.int64)
                 out.append(((x.slice << 20) + int(rows[r]), int(size[i]), int(x.prints[0][rows[r]].view(np.int64)), int(x.prints[1][rows[r]].view(np.int64)), x.keys[at[a:b]].tobytes(), short))
-        return pd.DataFrame(out, columns=["id", "n", "f1", "f2", "members", "short"])
+        done = pd.DataFrame(out, columns=["id", "n", "f1", "f2", "members", "short"])
+        tv.trim()
+        return done
 
     return slices.groupBy("slice").cogroup(lengths.groupBy("slice")).applyInPandas(find, "id long, n long, f1 long, f2 long, members binary, short array<long>")
 
@@ -214,7 +221,7 @@ def jaccard_classes(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     """
     slices = ps.slice_rows(common.texts(docs, id_col, text_col))
     prints = common.stored(fingerprints(slices, k))
-    lengths = list_lengths(slices, k, common.cells(docs.sparkSession))
+    lengths = list_lengths(slices, k, 2 * common.cells(docs.sparkSession))  # a bucket is sorted whole in one task
     found = common.stored(candidates(slices, lengths, k, percent))
     groups = prints.where("n > 0").groupBy("f1", "f2", "n").agg(F.min("doc_id").alias("least"), F.count("*").alias("weight"))
     reps = found.groupBy("f1", "f2", "n").agg(F.min("id").alias("id"))

@@ -164,6 +164,8 @@ def entries(slices: DataFrame, of: Callable[[dict], tuple[np.ndarray, list[np.nd
                         for name, x in zip(names, columns, strict=True):
                             rows[name].append(tv.squeeze(x[own]))
                 yield pa.RecordBatch.from_pydict(rows, schema=pa.schema([("slice", pa.int64()), ("bucket", pa.int32()), *[(x, pa.binary()) for x in ("key", *names)]]))
+                del key, columns, order, rows
+            tv.trim()
 
     return slices.mapInArrow(run, _packed_schema(names))
 
@@ -193,6 +195,8 @@ def regrouped(packed: DataFrame, by: str, names: list[str], f: Callable, out: li
                 rows["key"].append(tv.squeeze(tv.rising(key[own][mine])))
                 for name, c in zip(out, columns, strict=True):
                     rows[name].append(tv.squeeze(np.ascontiguousarray(c[own][mine])))
+        del slice_of, key, columns, use
+        tv.trim()
         return pd.DataFrame(rows)
 
     return packed.groupBy(by).applyInPandas(run, _packed_schema(out))

@@ -286,6 +286,8 @@ def score(docs: DataFrame, model: Model, lot: int, lots: int) -> DataFrame:
                 part = batch.slice(a, b - a)
                 cols = [pa.nulls(b - a, pa.int64()) if x is None else pa.array(x) for x in out.values()]
                 yield pa.RecordBatch.from_arrays([*map(part.column, ("doc_id", "th", "lang")), *cols], ["doc_id", "th", "lang", *out])
+                del c, at, g, of, in_lot, p, out, cols
+            tv.trim()
 
     return docs.select("doc_id", "th", "lang", "by", "text").mapInArrow(run, SCORED)
 

@@ -7,6 +7,7 @@ from prefix sums, so no Python object is made for a word.
 
 from __future__ import annotations
 
+import ctypes
 import zlib
 
 import numpy as np
@@ -22,6 +23,20 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
 
+try:
+    _LIBC = ctypes.CDLL(None)
+    _LIBC.malloc_trim  # not every C library has it
+except (OSError, AttributeError):
+    _LIBC = None
+
+
+def trim() -> None:
+    """Gives memory that is free in this process back to the system: workers are used again, and what one task needed should not stay with the next one's."""
+    pa.default_memory_pool().release_unused()
+    if _LIBC is not None:
+        _LIBC.malloc_trim(0)
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijective 64-bit finaliser."""
     x = x ^ (x >> np.uint64(31))

@@ -99,10 +99,15 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
 
 
 def stored(df: DataFrame) -> DataFrame:
-    """df written as Parquet below the shared checkpoint folder and read again; smaller than a checkpoint for large tables."""
+    """df written as Parquet below the shared checkpoint folder and read again; smaller than a checkpoint for large tables.
+
+    The files go when the driver's JVM ends: tables that read them may be used until then.
+    """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)
     return spark.read.schema(df.schema).parquet(path)
 
 

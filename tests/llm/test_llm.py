@@ -412,6 +412,12 @@ def test_pipeline_stages_on_odd_rows(spark):
     rows = [(None, one, "en", "s", 1), (5, two, "en", None, None), (5, three, None, "s", 1), (6, three + " tail", "en", "s", 1), (7, None, "en", "s", 1), (8, "", "en", "s", 1), (5, two, "en", None, None)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
     sf = "/root/testdata/sf0.001"
+    cp._LEFT.clear()
+    first = cp.near_duplicates(spark, docs, sf)
+    left = list(cp._LEFT)
+    assert left and cp.packed(spark, first, sf).count() == 6  # what its input reads is still there
+    cp.packed(spark, docs, sf)
+    assert not set(left) & set(cp._LEFT)
     kept = cp.near_duplicates(spark, docs, sf).collect()
     assert sorted((r["doc_id"] or 0, r["text"] or "") for r in kept) == sorted([(0, one), (5, two), (5, two), (5, three), (7, ""), (8, "")])
     assert cp.decontamination(spark, docs, sf).count() == len(rows)

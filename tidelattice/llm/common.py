@@ -98,6 +98,23 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     return ids.join(roots, "id", "left").select("id", F.coalesce("component", "id").alias("component"))
 
 
+#: Folders that stored() has written in this process.
+MADE: list[str] = []
+
+
+def release(spark: SparkSession, folders: list[str], docs: DataFrame) -> list[str]:
+    """Deletes those of the folders that docs does not read; returns the others."""
+    read = docs.inputFiles() if folders else []
+    kept = []
+    for path in folders:
+        if any(path.rsplit("/", 1)[1] in x for x in read):
+            kept.append(path)
+        else:
+            where = spark._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+    return kept
+
+
 def stored(df: DataFrame) -> DataFrame:
     """df written as Parquet below the shared checkpoint folder and read again; smaller than a checkpoint for large tables.
 
@@ -108,6 +125,7 @@ def stored(df: DataFrame) -> DataFrame:
     df.write.option("compression", "zstd").parquet(path)
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)
+    MADE.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

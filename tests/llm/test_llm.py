@@ -644,3 +644,25 @@ def test_lines_whole(spark):
     gone = Counter(p[1] for f, p in places if p != stay[of[f]])
     got = Counter((r["doc_id"], r["n_removed"], r["gone"], r["th"]) for r in lines.dedup_lines(docs).collect())
     assert got == Counter((i, gone[r], "g", 3) for r, (i, _) in enumerate(rows)) and len(pairs) > 0
+
+
+def shuffle_files(spark) -> int:
+    files = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().mkString("\n")
+    return files.count("/shuffle_")
+
+
+def test_stored_leaves_no_shuffle_files(spark):
+    rows = spark.range(1000).groupBy(F.pmod(F.xxhash64("id"), F.lit(7)).alias("k")).count()
+    common.sweep(spark)
+    before = shuffle_files(spark)
+    held = [common.stored(rows), common.stored_by(rows, "k")]
+    assert shuffle_files(spark) <= before  # rows is still held
+    assert [sum(r["count"] for r in x.collect()) for x in held] == [1000, 1000]
+
+
+def test_score_reads_slices_without_a_shuffle(spark):
+    docs = spark.createDataFrame([(i, f"a b c {i % 3} a b") for i in range(40)], "doc_id long, text string")
+    out = suffixtree.score_texts(docs)
+    assert out.count() == 40
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(slice") == 1  # the answers, not the texts

@@ -5,6 +5,7 @@ from __future__ import annotations
 import gc
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 import numpy as np
 import pandas as pd
@@ -115,6 +116,21 @@ def release(spark: SparkSession, folders: list[str], docs: DataFrame) -> list[st
     return kept
 
 
+@contextmanager
+def shuffles_go(spark: SparkSession):
+    """Shuffle files of what is run inside go as soon as it ends; without this they stay until the driver happens to collect its garbage."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(name)
+        else:
+            spark.conf.set(name, before)
+
+
 def stored(df: DataFrame) -> DataFrame:
     """df written as Parquet below the shared checkpoint folder and read again; smaller than a checkpoint for large tables.
 
@@ -122,13 +138,29 @@ def stored(df: DataFrame) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    with shuffles_go(spark):
+        df.write.option("compression", "zstd").parquet(path)
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)
     MADE.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def stored_by(df: DataFrame, column: str) -> DataFrame:
+    """As stored(), in buckets of a column: what is grouped by it later reads them as they are, without a shuffle of df."""
+    spark = df.sparkSession
+    name = f"stored_{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/{name}"
+    with shuffles_go(spark):
+        df.write.bucketBy(cells(spark, 1), column).option("compression", "zstd").option("path", path).saveAsTable(name)
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)
+    MADE.append(path)
+    out = spark.table(name)
+    spark.sql(f"DROP TABLE {name}")  # its name alone: the files stay, as they have a path of their own
+    return out
+
+
 def sweep(spark: SparkSession) -> None:
     """Has Spark drop the shuffle files of plans that nobody holds any more, as it would when the driver next collects its garbage."""
     gc.collect()

@@ -46,7 +46,7 @@ def token_hashes(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
 
 
 def coded(rows: DataFrame) -> DataFrame:
-    """Stored slices (slice, ids, there, train, lens, vocab, tokens) of rows (doc_id, train, text), in their order; tokens are places in vocab, which ascends."""
+    """Slices (slice, ids, there, train, lens, vocab, tokens) of rows (doc_id, train, text), in their order, stored by slice; tokens are places in vocab, which ascends."""
 
     def run(batches):
         task, made = TaskContext.get().partitionId(), 0
@@ -61,7 +61,7 @@ def coded(rows: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array([task << 20 | made]), *[pa.array([tv.squeeze(x)], pa.binary()) for x in packed]], ["slice", *CODED])
                 made += 1
 
-    return common.stored(rows.select("doc_id", "train", "text").mapInArrow(run, "slice long, " + ", ".join(f"{c} binary" for c in CODED)))
+    return common.stored_by(rows.select("doc_id", "train", "text").mapInArrow(run, "slice long, " + ", ".join(f"{c} binary" for c in CODED)), "slice")
 
 
 CODED = ["ids", "there", "train", "lens", "vocab", "tokens"]
@@ -277,11 +277,9 @@ def score_texts(docs: DataFrame, train: Column | None = None, depth: int = 2, bi
     n, v = answers.agg(F.sum("n"), F.sum("v")).first()
     n, v = n or 0, v or 0
     answers = answers.drop("n", "v")
-    common.sweep(docs.sparkSession)
     for d in range(1, depth + 1):
         more = common.stored(next_counts(slices, answers, n, v, d, bits, buckets))
         answers = answers.unionByName(more)
-        common.sweep(docs.sparkSession)
 
     def score(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         out = []

@@ -666,3 +666,19 @@ def test_score_reads_slices_without_a_shuffle(spark):
     assert out.count() == 40
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning(slice") == 1  # the answers, not the texts
+
+
+def test_small_arrays_are_packed_without_frames_of_their_own():
+    # n slices send n buckets such arrays each: what one costs counts with the square of the input
+    for x in ([5], [3, 0, 1], [-1, 7], list(range(1000)), [1 << 40, 2]):
+        x = np.array(x, np.int64)
+        packed = tv.squeeze(x)
+        assert len(packed) <= 7 + 8 * len(x)
+        assert (tv.unsqueeze(packed).view(np.int64) == x).all()
+    assert len(tv.squeeze(np.array([5]))) == 8
+
+
+def test_scoring_works_on_smaller_slices():
+    rows = pa.array(["x" * 1000] * 4000)
+    seen = [len(raw) for _, _, raw, _ in tv.slices(rows, quality.SCORE_BYTES)]
+    assert sum(seen) == 4_000_000 and max(seen) <= quality.SCORE_BYTES < tv.SLICE

@@ -221,7 +221,8 @@ def drop_repeats(docs: DataFrame, length: int = 50, seed: int = 20, id_col: str
         h = Contexts(s, length, seed).seeds()
         return h, np.zeros((len(h), 0), np.uint8)
 
-    seeds = common.stored(ps.recurring(slices, seeds_of, buckets).drop("letters"))
+    # seeds are few beside the text they stand for: a quarter of the buckets, each slice sends a blob to each
+    seeds = common.stored(ps.recurring(slices, seeds_of, common.cells(docs.sparkSession)).drop("letters"))
 
     def pieces(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         rows = {"slice": [], "bucket": [], "text": [], "count": [], "id": []}

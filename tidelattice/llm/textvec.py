@@ -8,7 +8,6 @@ from prefix sums, so no Python object is made for a word.
 from __future__ import annotations
 
 import ctypes
-import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -81,12 +80,12 @@ def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def slices(column: pa.Array):
-    """(first row, end row, bytes, offsets) of runs of whole texts of about SLICE bytes."""
+def slices(column: pa.Array, size: int = SLICE):
+    """(first row, end row, bytes, offsets) of runs of whole texts of about so many bytes."""
     raw, offsets = buffers(column)
     row, n = 0, len(offsets) - 1
     while row < n:
-        end = max(row + 1, int(np.searchsorted(offsets, offsets[row] + SLICE, "right")) - 1)
+        end = max(row + 1, int(np.searchsorted(offsets, offsets[row] + size, "right")) - 1)
         yield row, end, raw[offsets[row] : offsets[end]], offsets[row : end + 1] - offsets[row]
         row = end
 
@@ -190,27 +189,48 @@ def as_signed(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
 
 
+#: Which bytes of a number a mask names.
+_PLANES = [np.flatnonzero([m >> i & 1 for i in range(8)]) for m in range(256)]
+#: Arrays of up to so many numbers are not compressed one by one: a corpus of n slices sends n buckets such arrays each, and the shuffle compresses them together.
+SMALL = 1 << 10
+
+
 def squeeze(x: np.ndarray) -> bytes:
     """Whole numbers as planes of bytes; planes of zeros take no room, others no more than their bytes."""
     x = np.ascontiguousarray(x).view(np.uint64)
-    out = [len(x).to_bytes(6, "little")]
-    for plane in np.ascontiguousarray(x.view(np.uint8).reshape(-1, 8).T) if len(x) else ():
+    n = len(x)
+    if not n:
+        return bytes(6)
+    top = int(np.bitwise_or.reduce(x))
+    mask = sum(1 << i for i in range(8) if top >> 8 * i & 255)
+    planes = x.view(np.uint8).reshape(-1, 8)[:, _PLANES[mask]].T
+    head = n.to_bytes(6, "little") + bytes([mask])
+    if n <= SMALL:
+        return head + planes.tobytes()
+    out = [head]
+    for plane in np.ascontiguousarray(planes):
         raw = plane.tobytes()
-        small = zlib.compress(raw, 1) if len(np.unique(plane[:4096])) < 200 else raw
-        small = small if len(small) < len(raw) else raw
+        small = pa.compress(raw, codec="zstd", asbytes=True) if np.count_nonzero(np.bincount(plane[:4096])) < 200 else raw
+        small = small if len(small) < n else raw
         out += [len(small).to_bytes(6, "little"), small]
     return b"".join(out)
 
 
 def unsqueeze(data: bytes) -> np.ndarray:
     n = int.from_bytes(data[:6], "little")
-    planes, at = np.zeros((8, n), np.uint8), 6
-    for i in range(8 if n else 0):
+    out = np.zeros((n, 8), np.uint8)
+    if not n:
+        return out.view(np.uint64).ravel()
+    own, at = _PLANES[data[6]], 7
+    if n <= SMALL:
+        out[:, own] = np.frombuffer(data, np.uint8, n * len(own), at).reshape(-1, n).T
+        return out.view(np.uint64).ravel()
+    for i in own.tolist():
         size = int.from_bytes(data[at : at + 6], "little")
         raw = data[at + 6 : at + 6 + size]
-        planes[i] = np.frombuffer(raw if size == n else zlib.decompress(raw), np.uint8)
+        out[:, i] = np.frombuffer(raw if size == n else pa.decompress(raw, n, codec="zstd", asbytes=True), np.uint8)
         at += 6 + size
-    return np.ascontiguousarray(planes.T).view(np.uint64).ravel()
+    return out.view(np.uint64).ravel()
 
 
 def rising(x: np.ndarray) -> np.ndarray:

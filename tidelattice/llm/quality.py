@@ -22,6 +22,8 @@ SYMBOLS = np.zeros(256, bool)
 SYMBOLS[list(b"#*$%&|<>")] = True
 #: The models learn from texts with at most one symbol in so many characters: symbol junk must not teach them that it is likely.
 SYMBOL_SHARE = 50
+#: Texts are scored so many bytes at a time: a character needs some hundred bytes of working memory, beside the model that each worker holds.
+SCORE_BYTES = tv.SLICE // 4
 
 
 def char_ids(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -98,6 +100,8 @@ def count_ngrams(docs: DataFrame, order: int) -> DataFrame:
                 yield from out()
                 held, size = {}, 0
         yield from out()
+        held.clear()
+        tv.trim()
 
     rows = docs.select("text", "lang").mapInArrow(count, "lang string, g long, c long")
     return rows.groupBy("lang", "g").agg(F.sum("c").alias("c"))
@@ -271,7 +275,7 @@ def score(docs: DataFrame, model: Model, lot: int, lots: int) -> DataFrame:
         m = shared.value
         for batch in batches:
             names, which = _by_lang(batch.column("by"), batch.num_rows)
-            for a, b, raw, offsets in tv.slices(batch.column("text")):
+            for a, b, raw, offsets in tv.slices(batch.column("text"), SCORE_BYTES):
                 c, at = char_ids(raw, offsets)
                 g = packed(c, at, m.order)
                 of = np.repeat(which[a:b], np.diff(at))

@@ -682,3 +682,38 @@ def test_scoring_works_on_smaller_slices():
     rows = pa.array(["x" * 1000] * 4000)
     seen = [len(raw) for _, _, raw, _ in tv.slices(rows, quality.SCORE_BYTES)]
     assert sum(seen) == 4_000_000 and max(seen) <= quality.SCORE_BYTES < tv.SLICE
+
+
+def test_lines_meet_by_runs_of_three_words(spark):
+    # lines of one small vocabulary share their pairs of words, but hardly a run of three; what is similar meets nevertheless, at every length
+    assert lines.tiers(0.8) == [(3, 6, 1 << 40), (2, 0, 5)]
+    rng = random.Random(31)
+    vocab = [f"v{i}" for i in range(30)]
+    found = [[rng.choice(vocab) for _ in range(rng.randint(4, 40))] for _ in range(900)]
+    for base in [[rng.choice(vocab) for _ in range(n)] for n in range(4, 41)]:
+        for _ in range(3):
+            near = list(base)
+            for _ in range(max(1, len(base) // 5)):
+                k = rng.randrange(len(near))
+                near[k : k + 1] = rng.choice([[rng.choice(vocab)], [], [near[k], rng.choice(vocab)]])
+            found.append(near)
+        found.append(base)
+    found = [list(x) for x in dict.fromkeys(map(tuple, found))]
+    first = np.concatenate([[0], np.cumsum([len(x) for x in found])])
+    words = tv.mix(np.array([int(w[1:]) for x in found for w in x], np.uint64))
+    keys, line = lines.tiered_keys(words, first, np.zeros(len(words), np.uint64), 0.8)
+    size = np.diff(first)
+    least, kind = lines.least_keys(keys, size[line], 0.8), lines.length_class(size, 0.8)
+    held = [{} for _ in found]
+    for k, i, n in zip(keys.tolist(), line.tolist(), least.tolist(), strict=True):
+        held[i].setdefault(k & 1, (n, set()))[1].add(k)
+
+    def meet(a, b):
+        return any(len(held[a][t][1] & held[b][t][1]) >= max(held[a][t][0], held[b][t][0]) for t in held[a].keys() & held[b].keys())
+
+    near = [(a, b) for (a, x), (b, y) in itertools.combinations(enumerate(found), 2) if abs(len(x) - len(y)) <= max(len(x), len(y)) // 5 and 5 * lines.edit_distance(x, y) <= max(len(x), len(y))]
+    assert len(near) > 100 and all(meet(a, b) and abs(kind[a] - kind[b]) <= 1 for a, b in near)
+    assert kind.max() > 5
+    # of the random ones, which pairs of words made meet by thousands
+    long_ = [i for i in range(900) if len(found[i]) >= 10]
+    assert sum(meet(a, b) for a, b in itertools.combinations(long_, 2)) < 50

@@ -717,3 +717,15 @@ def test_lines_meet_by_runs_of_three_words(spark):
     # of the random ones, which pairs of words made meet by thousands
     long_ = [i for i in range(900) if len(found[i]) >= 10]
     assert sum(meet(a, b) for a, b in itertools.combinations(long_, 2)) < 50
+
+
+def test_a_depth_reads_answers_without_a_shuffle(spark):
+    docs = spark.createDataFrame([(i, True, f"a b c {i % 3} a b") for i in range(40)], "doc_id long, train boolean, text string")
+    slices = suffixtree.coded(docs)
+    made = len(common.MADE)
+    answers = common.stored(suffixtree.word_counts(slices, 8)).drop("n", "v")
+    first = sorted(map(str, answers.collect()))
+    held = suffixtree.by_slice(answers, made)
+    assert len(common.MADE) == made + 1 and sorted(map(str, held.collect())) == first
+    plan = suffixtree.next_counts(slices, held, 240, 6, 1, 2.0, 8)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(slice") == 0 and plan.count("Exchange hashpartitioning(bucket") == 1

@@ -261,6 +261,14 @@ def next_counts(slices: DataFrame, answers: DataFrame, total: int, kinds: int, d
     return sent.groupBy("bucket").applyInPandas(test, ANSWER)
 
 
+def by_slice(answers: DataFrame, made: int) -> DataFrame:
+    """answers stored by slice, for which what was stored since there were `made` folders goes: the next depth reads them without shuffle files that would stay as long as its own."""
+    spark = answers.sparkSession
+    out = common.stored_by(answers.repartition(common.cells(spark, 1), "slice"), "slice")  # one file a task
+    common.discard(spark, made, out)
+    return out
+
+
 def score_texts(docs: DataFrame, train: Column | None = None, depth: int = 2, bits: float = 2.0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_tokens, n_known, train_tokens, base_score, score for every row of docs.
 
@@ -273,11 +281,14 @@ def score_texts(docs: DataFrame, train: Column | None = None, depth: int = 2, bi
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(train, F.lit(False)).alias("train"), F.col(text_col).cast("string").alias("text"))
     buckets = 2 * common.cells(docs.sparkSession)  # a bucket is sorted whole in one task
     slices = coded(rows)
+    made = len(common.MADE)
     answers = common.stored(word_counts(slices, buckets))
     n, v = answers.agg(F.sum("n"), F.sum("v")).first()
     n, v = n or 0, v or 0
     answers = answers.drop("n", "v")
     for d in range(1, depth + 1):
+        if d > 1:
+            answers = by_slice(answers, made)
         more = common.stored(next_counts(slices, answers, n, v, d, bits, buckets))
         answers = answers.unionByName(more)
 

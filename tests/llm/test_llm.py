@@ -729,3 +729,48 @@ def test_a_depth_reads_answers_without_a_shuffle(spark):
     assert len(common.MADE) == made + 1 and sorted(map(str, held.collect())) == first
     plan = suffixtree.next_counts(slices, held, 240, 6, 1, 2.0, 8)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning(slice") == 0 and plan.count("Exchange hashpartitioning(bucket") == 1
+
+
+def test_lines_of_a_common_key_are_counted_before_they_are_rows(spark):
+    # lines that share a very common passage, in many groups: what a bucket finds grows with lines times groups and must not be a row each
+    rng = random.Random(41)
+    common_ = [f"c{i}" for i in range(30)]
+    rows = []
+    for g in range(12):
+        own = [f"g{g}w{i}" for i in range(30)]
+        for _ in range(6):
+            near = list(own)
+            near[rng.randrange(30)] = f"x{rng.random()}"
+            rows.append(" ".join([*common_, *near] if g % 2 else [*near, *common_]))
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string").withColumn("th", F.lit(0).cast("long"))
+    slices = lines.line_slices(docs)
+    met = lines.meeting(slices, lines.forms(slices, 4), np.zeros(1 << lines.SKETCH_BITS, np.uint64), 0.8, 4)
+    _, key, (place, size, label) = lines.ps.unpacked(lines.labelled(met, 0.8).toPandas(), lines.MET)
+    _, every, (at, _, _) = lines.ps.unpacked(met.toPandas(), lines.MET)
+    assert 0 < len(key) < len(every) and set(place.tolist()) == set(at.tolist())
+    members = lines.cells(met, 0.8, 4)
+    held = [(r["cell"], r["id"], r["side"]) for r in members.collect()]
+    assert len(held) == len(set(held)) and len({i for _, i, _ in held}) == len(rows)
+    got = Counter(r["n_removed"] for r in lines.dedup_lines(docs.drop("th")).collect())
+    assert got == Counter({0: 12, 1: 60})
+
+
+def test_lines_leave_out_common_keys_and_still_meet():
+    # two lines order their keys alike; each leaves out its last DROP, and of `least` that they share so many are left
+    rng = random.Random(43)
+    for _ in range(300):
+        least = rng.randint(1, 8)
+        shared = rng.sample(range(100), least)
+        a, b = (sorted({*shared, *rng.sample(range(100), rng.randint(0, 20))}) for _ in range(2))
+        out = least - int(lines.left(np.array([least]))[0])
+        assert len(set(a[: len(a) - out]) & set(b[: len(b) - out])) >= least - out >= 1
+
+
+def test_lines_within_some_edits():
+    rng = random.Random(47)
+    for _ in range(500):
+        a, b = ([rng.randint(0, 3) for _ in range(rng.randint(0, 14))] for _ in range(2))
+        if rng.random() < 0.5:
+            b = a[: rng.randint(0, len(a))] + b[:2] + a[rng.randint(0, len(a)) :]
+        for most in (0, 1, 3, 6):
+            assert lines.within(np.array(a, np.uint64), np.array(b, np.uint64), most) == (lines.edit_distance(a, b) <= most)
